@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .chunk_recipes import OP3_SQL, op3_chunk_recipes
 from .minhash_join import op7_minhash_join
+from .nnls_packing import op8_nnls_packing
 from .qda_quality import op1_qda_quality
+from .trie_counts import op4_trie_counts
 from .two_pass_shuffle import op6_two_pass_shuffle
 
 QUERIES = {
     "op1_qda_quality": op1_qda_quality,
     "op3_chunk_recipes": op3_chunk_recipes,
+    "op4_trie_counts": op4_trie_counts,
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
     "op7_minhash_join": op7_minhash_join,
+    "op8_nnls_packing": op8_nnls_packing,
 }
 
 ORACLE_SQL = {
