@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chunk_recipes import OP3_SQL, op3_chunk_recipes
+from .ctw_scoring import op2_ctw_scoring
 from .minhash_join import op7_minhash_join
 from .nnls_packing import op8_nnls_packing
 from .qda_quality import op1_qda_quality
@@ -11,6 +12,7 @@ from .two_pass_shuffle import op6_two_pass_shuffle
 
 QUERIES = {
     "op1_qda_quality": op1_qda_quality,
+    "op2_ctw_scoring": op2_ctw_scoring,
     "op3_chunk_recipes": op3_chunk_recipes,
     "op4_trie_counts": op4_trie_counts,
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
