@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chunk_recipes import OP3_SQL, op3_chunk_recipes
+from .column_bwt import op10_column_bwt
 from .ctw_scoring import op2_ctw_scoring
 from .minhash_join import op7_minhash_join
 from .nnls_packing import op8_nnls_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
     "op7_minhash_join": op7_minhash_join,
     "op8_nnls_packing": op8_nnls_packing,
+    "op10_column_bwt": op10_column_bwt,
 }
 
 ORACLE_SQL = {
