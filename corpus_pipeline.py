@@ -3,13 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from helixframe.llm.chunk_recipes import exact_dedup
+from helixframe.llm.common import materialise, table
+from helixframe.llm.minhash_join import keep_one, near_duplicates
+from helixframe.llm.nnls_packing import digests, pack
+from helixframe.llm.qda_quality import accepted, document_statistics, train
+from helixframe.llm.temperature_mixing import mix
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the quality classifier scores below 0.3."""
+    return accepted(docs, train(document_statistics(docs), table(spark, sf_dir, "labels")))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal after lower-casing A-Z, the document with the largest id stays."""
+    return docs.join(exact_dedup(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the document with the least id stays."""
+    classes = near_duplicates(docs)
+    return docs.join(classes.filter(keep_one(classes)).select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents of smaller sources, twice at most; none is lost."""
+    return mix(docs).select("record.*")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of 4096 tokens; one row for each piece."""
+    return digests(pack(docs))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Scores, similarity classes and token ids are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{k}")
     return docs

@@ -8,6 +8,7 @@ from .ctw_scoring import op2_ctw_scoring
 from .minhash_join import op7_minhash_join
 from .nnls_packing import op8_nnls_packing
 from .qda_quality import op1_qda_quality
+from .temperature_mixing import op5_temperature_mixing
 from .trie_counts import op4_trie_counts
 from .two_pass_shuffle import op6_two_pass_shuffle
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_ctw_scoring": op2_ctw_scoring,
     "op3_chunk_recipes": op3_chunk_recipes,
     "op4_trie_counts": op4_trie_counts,
+    "op5_temperature_mixing": op5_temperature_mixing,
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
     "op7_minhash_join": op7_minhash_join,
     "op8_nnls_packing": op8_nnls_packing,
