@@ -10,6 +10,7 @@ ids move once, to their places.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ BINS, DEPTH = 256, 3
 #: Rows or windows that one task of a ranking holds.
 RANKED, STREAM_WINDOWS = 50_000, 1024
 #: Words whose ids a worker keeps; when full they are dropped and gathered anew.
-KEPT = 1_000_000
+KEPT = 1_200_000
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def default_tokenizer() -> str:
@@ -60,23 +62,35 @@ class WordIds(dict):
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.parts: dict[str, list[int]] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.direct and (word.isascii() or (max(text) < "ɐ" and "\x85" not in text and "\xa0" not in text and unicodedata.is_normalized("NFC", text))):
-            ids: list[int] = []
-            for part in self.PRE_TOKENS.findall(text.lower()):
-                known = self.parts.get(part)
-                if known is None:
-                    mapped = part if part.isascii() and part.isprintable() else "".join(self.letters[b] for b in part.encode())
-                    known = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
-                ids += known
+        stem = word.rstrip(PUNCTUATION)
+        if not self.direct:
+            ids = self._whole(word)
+        elif word.isalpha():  # ASCII letters alone are one pre-token
+            ids = self._part(word.decode())
+        elif len(stem) < len(word) and stem[-1:].isalnum():
+            # Marks after a letter or digit are a pre-token of their own.
+            out = self[word] = self[stem] + self[word[len(stem) :]]
+            return out
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        out = self[word] = np.array(ids, self.kind).tobytes()
+            text = word.decode("utf-8", "replace")
+            if word.isascii() or (max(text) < "ɐ" and "\x85" not in text and "\xa0" not in text and unicodedata.is_normalized("NFC", text)):
+                ids = array(self.code)
+                for part in self.PRE_TOKENS.findall(text.lower()):
+                    ids += self._part(part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()]))
+            else:
+                ids = self._whole(word)
+        out = self[word] = ids.tobytes()
         return out
 
+    def _part(self, mapped: str) -> array:
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)])
+
+    def _whole(self, word: bytes) -> array:
+        return array(self.code, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
     def of(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, text.lower().split())) if text else b""
 
@@ -97,7 +111,6 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for part in slices(batch, 2):
                 if len(words) > KEPT:
                     words.clear()
-                    words.parts.clear()
                 ids = [words.of(t) + end for t in part.column(2).to_pylist()]
                 n = [len(x) // words.kind.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "n_tokens", "ids"])
