@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +67,7 @@ def huffman_codes(lengths: list[int], symbols: list[int]) -> tuple[np.ndarray, n
 
 
 def huffman_lookup(lengths: list[int], symbols: list[int]) -> np.ndarray:
-    """symbol << 8 | bits for each word of 16 bits."""
+    """symbol << 8 | bits for each word of 16 bits that begins with the symbol's code."""
     out = np.zeros(1 << 16, np.int64)
     codes, bits = huffman_codes(lengths, symbols)
     for s in symbols:
@@ -81,8 +83,19 @@ def _grid(mcus: int) -> tuple[int, int]:
 # ---------------------------------------------------------------- encoding
 
 
+#: Magnitude bits of values from -2048 to 2047.
+_SIZES = np.array([int(abs(v)).bit_length() for v in range(-2048, 2048)])
+
+
 def _size_of(v: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(np.abs(v) + 1)).astype(np.int64)
+    return _SIZES[v + 2048]
+
+
+@lru_cache(256)
+def _raster(wide: int, high: int) -> np.ndarray:
+    """Places, among blocks in order of MCU, of the luma blocks in raster order."""
+    y, x = np.mgrid[0 : 2 * high, 0 : 2 * wide]
+    return (((y >> 1) * wide + (x >> 1)) * 6 + (y & 1) * 2 + (x & 1)).ravel()
 
 
 def _pack(value: np.ndarray, bits: np.ndarray, interval: np.ndarray, intervals: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,26 +105,23 @@ def _pack(value: np.ndarray, bits: np.ndarray, interval: np.ndarray, intervals:
     """
     each = np.bincount(interval, bits, intervals).astype(np.int64)
     size = np.maximum(-(-each // 8), 1)
-    pad = size * 8 - each
     base = np.cumsum(size) - size
     first = np.cumsum(bits) - bits
-    start = first - (np.cumsum(each) - each)[interval] + base[interval] * 8
-    value = np.concatenate([value, (np.int64(1) << pad) - 1])
-    bits = np.concatenate([bits, pad])
-    start = np.concatenate([start, base * 8 + each])
-    used = bits > 0
-    value, bits, start = value[used], bits[used], start[used]
-    order = np.argsort(start, kind="stable")
-    value, bits, start = value[order], bits[order], start[order]
+    start = first + (base * 8 - np.cumsum(each) + each)[interval]
+    if not bits.all():
+        used = bits > 0
+        value, bits, start = value[used], bits[used], start[used]
     total = int(size.sum())
     word = start >> 5
     placed = value.astype(np.uint64) << (64 - (start & 31) - bits).astype(np.uint64)
-    lead = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     words = np.zeros(total // 4 + 3, np.uint64)
-    words[word[lead]] = np.add.reduceat(placed, lead)
+    if len(word):
+        lead = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[lead]] = np.add.reduceat(placed, lead)
     out32 = (words >> np.uint64(32)).astype(np.uint32)
     out32[1:] += (words[:-1] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     raw = out32.astype(">u4").view(np.uint8)[:total]
+    raw[base + size - 1] |= ((1 << size * 8 - each) - 1).astype(np.uint8)
 
     full = raw == 0xFF
     extra = full.astype(np.int64)
@@ -134,18 +144,20 @@ def _first_pass(x: np.ndarray, interval: np.ndarray) -> tuple[np.ndarray, np.nda
     codes, sizes = huffman_codes(*AC_TABLE)
     width = x.shape[1]
     b, k = np.nonzero(x)
-    v = x[b, k]
+    v = x[x != 0].astype(np.int64)
     fresh = np.concatenate([[True], b[1:] != b[:-1]])[: len(b)]
     run = k - np.where(fresh, -1, np.concatenate([[0], k[:-1]])[: len(k)]) - 1
     size = _size_of(v)
     symbol = (run & 15) << 4 | size
     magnitude = np.where(v > 0, v, v + (np.int64(1) << size) - 1)
-    parts = [((b * (width + 1) + k) * 2 + 1, codes[symbol] << size | magnitude, sizes[symbol] + size, interval[b])]
-    if (run > 15).any():
-        far = np.repeat(np.flatnonzero(run > 15), run[run > 15] >> 4)
-        parts.insert(0, ((b[far] * (width + 1) + k[far]) * 2, np.full(len(far), codes[0xF0]), np.full(len(far), sizes[0xF0]), interval[b[far]]))
+    value, bits, where = codes[symbol] << size | magnitude, sizes[symbol] + size, interval[b]
     last = np.full(len(x), -1)
     last[b] = k
+    upto = np.cumsum(np.bincount(b, minlength=len(x)))  # codes up to the end of each block
+    if (run > 15).any():
+        far = np.repeat(np.flatnonzero(run > 15), run[run > 15] >> 4)
+        value, bits, where = (np.insert(c, far, e) for c, e in ((value, codes[0xF0]), (bits, sizes[0xF0]), (where, where[far])))
+        upto += np.cumsum(np.bincount(b[far], minlength=len(x)))
     tail = last < width - 1
     if tail.any():
         goes_on = np.zeros(len(x), bool)
@@ -154,12 +166,8 @@ def _first_pass(x: np.ndarray, interval: np.ndarray) -> tuple[np.ndarray, np.nda
         length = np.bincount(np.cumsum(begins)[tail] - 1)
         n = np.floor(np.log2(length)).astype(np.int64)
         at = np.flatnonzero(begins)
-        parts.append(((at * (width + 1) + width) * 2 + 1, codes[n << 4] << n | (length - (np.int64(1) << n)), sizes[n << 4] + n, interval[at]))
-    if len(parts) == 1:
-        return parts[0][1:]
-    key, value, bits, where = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    return value[order], bits[order], where[order]
+        value, bits, where = (np.insert(c, upto[at], e) for c, e in ((value, codes[n << 4] << n | (length - (np.int64(1) << n))), (bits, sizes[n << 4] + n), (where, interval[at])))
+    return value, bits, where
 
 
 def _refinement(x: np.ndarray, interval: np.ndarray, intervals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +177,7 @@ def _refinement(x: np.ndarray, interval: np.ndarray, intervals: int) -> tuple[np
     n = np.floor(np.log2(blocks)).astype(np.int64)
     head = (codes[n << 4] << n | (blocks - (np.int64(1) << n)), sizes[n << 4] + n)
     there = (x != 0).astype(np.int64)
-    bit = np.abs(x) & 1 & there
+    bit = (np.abs(x) & 1).astype(np.int64)
     groups = range(0, x.shape[1], 21)
     value, bits = (np.zeros((len(x), len(groups)), np.int64) for _ in range(2))
     for g, k in enumerate(groups):
@@ -199,13 +207,10 @@ def encode(coefficients: list[tuple[np.ndarray, int, int]]) -> list[bytes]:
     magnitudes up to 1023, in AC none of one.
     """
     counts = np.array([len(c) for c, _, _ in coefficients])
-    mcus = np.concatenate([c for c, _, _ in coefficients]).astype(np.int64)
+    mcus = np.concatenate([c for c, _, _ in coefficients])
     image = np.repeat(np.arange(len(counts)), counts)
     # Luma blocks in raster order of the whole image, as scans of one component have them.
-    raster = []
-    for base, (_, wide, high) in zip(np.cumsum(counts) - counts, coefficients, strict=True):
-        y, x = np.mgrid[0 : 2 * high, 0 : 2 * wide]
-        raster.append((((base + (y >> 1) * wide + (x >> 1)) * 6) + (y & 1) * 2 + (x & 1)).ravel())
+    raster = [_raster(wide, high) + base * 6 for base, (_, wide, high) in zip(np.cumsum(counts) - counts, coefficients, strict=True)]
     luma = mcus.reshape(-1, 64)[np.concatenate(raster)]
     planes = {0: (luma, np.repeat(np.arange(len(counts)), counts * 4)), 1: (mcus[:, 4], image), 2: (mcus[:, 5], image)}
 
@@ -222,9 +227,9 @@ def encode(coefficients: list[tuple[np.ndarray, int, int]]) -> list[bytes]:
             of, owner = intervals(image)
             unit = np.repeat(of, 6)
             if before:
-                value, bits, where = mcus[:, :, 0].ravel() & 1, np.ones(len(unit), np.int64), unit
+                value, bits, where = mcus[:, :, 0].ravel().astype(np.int64) & 1, np.ones(len(unit), np.int64), unit
             else:
-                dc = mcus[:, :, 0] >> now
+                dc = mcus[:, :, 0].astype(np.int64) >> now
                 diff = np.empty_like(dc)
                 fresh = np.concatenate([[True], of[1:] != of[:-1]])[:, None]
                 diff[:, 1:4] = dc[:, 1:4] - dc[:, :3]
@@ -242,7 +247,7 @@ def encode(coefficients: list[tuple[np.ndarray, int, int]]) -> list[bytes]:
             if before:
                 value, bits, where = _refinement(band, of, len(owner))
             else:
-                value, bits, where = _first_pass(np.sign(band) * (np.abs(band) >> now), of)
+                value, bits, where = _first_pass((band + ((1 << now) - 1) * (band < 0).astype(np.int16)) >> now, of)
         data, at = _pack(value, bits, where, len(owner), owner)
         head = _segment(0xDA, bytes([len(components), *(x for c in components for x in (c + 1, 0)), low, high, before << 4 | now]))
         data = data.tobytes()
@@ -300,6 +305,19 @@ class _Lanes:
         self.total += len(blocks)
 
 
+@lru_cache(256)
+def _units(across: int, down: int, components: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    """Blocks of a scan in order, the component of each, and the blocks of a unit of restart intervals."""
+    if len(components) == 1:
+        _, _, base, stride, wide, high = components[0]
+        rows, columns = np.divmod(np.arange(wide * high), wide)
+        return base + rows * stride + columns, np.zeros(wide * high, np.int64), 1
+    my, mx = np.divmod(np.arange(across * down), across)
+    units = np.stack([base + (my * v + dy) * stride + mx * h + dx for h, v, base, stride, _, _ in components for dy in range(v) for dx in range(h)], 1)
+    component = np.concatenate([np.full(c[0] * c[1], k) for k, c in enumerate(components)])
+    return units.ravel(), np.tile(component, across * down), units.shape[1]
+
+
 def _extend(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(bits < (1 << size >> 1), bits - (1 << size) + 1, bits)
 
@@ -314,11 +332,16 @@ def decode(streams: list[bytes]) -> tuple[list[Image], np.ndarray]:
     codes = data[marks + 1]
     keep = np.ones(len(data), bool)
     keep[stuffed] = False
-    plain = data[keep].astype(np.int64)
+    plain = data[keep]
+    # At each byte, seven bytes from there on as one number.
     word = np.zeros(len(plain), np.int64)
-    word[:-3] = plain[:-3] << 24 | plain[1:-2] << 16 | plain[2:-1] << 8 | plain[3:]
+    for k in range(7):
+        word[:-6] |= plain[k : len(plain) - 6 + k].astype(np.int64) << 8 * (6 - k)
+    dropped = np.searchsorted(stuffed, marks)
+    after_mark = (marks + 2 - dropped) * 8
     restart = (codes >= 0xD0) & (codes <= 0xD7)
-    others = np.flatnonzero(~restart)
+    others = np.flatnonzero(~restart).tolist()
+    places = marks.tolist()
 
     images: list[Image] = []
     groups: dict[tuple, _Lanes] = defaultdict(_Lanes)
@@ -370,27 +393,18 @@ def decode(streams: list[bytes]) -> tuple[list[Image], np.ndarray]:
                 picks = [body[2 + 2 * k] for k in range(n)]
                 low, high, bits = body[1 + 2 * n : 4 + 2 * n]
                 before, now = bits >> 4, bits & 15
-                here = int(np.searchsorted(marks, at))
-                after = int(others[np.searchsorted(others, here, "right")])
-                starts = np.concatenate([[at + 2 + size], marks[here + 1 : after] + 2])
-                starts = (starts - np.searchsorted(stuffed, starts)) * 8
-                if n == 1:
-                    c = chosen[0]
-                    rows, columns = np.divmod(np.arange(c.wide * c.high), c.wide)
-                    units = c.base + rows * c.stride + columns
-                    component, each = np.zeros(len(units), np.int64), 1
-                else:
-                    my, mx = np.divmod(np.arange(image.across * image.down), image.across)
-                    units = np.concatenate([[c.base + (my * c.v + dy) * c.stride + mx * c.h + dx for dy in range(c.v) for dx in range(c.h)] for c in chosen]).T.ravel()
-                    component = np.tile(np.concatenate([np.full(c.h * c.v, k) for k, c in enumerate(chosen)]), image.across * image.down)
-                    each = len(units) // (image.across * image.down)
+                here = bisect_left(places, at)
+                after = others[bisect_right(others, here)]
+                starts = np.concatenate([[(at + 2 + size - dropped[here]) * 8], after_mark[here + 1 : after]])
+                units, component, each = _units(image.across, image.down, tuple((c.h, c.v, c.base - image.components[0].base, c.stride, c.wide, c.high) for c in chosen))
+                units = units + image.components[0].base
                 names = tuple(tables.get(p >> 4, b"") for p in picks) if low == 0 else (tables[0x10 | picks[0] & 15],)
                 key = (level, low, high, before, now, names if not (low == 0 and before) else ())
                 if key not in groups:
                     order[level].append(key)
                 groups[key].add(starts, units, interval * each if interval else len(units), component)
                 level += 1
-                at = int(marks[after])
+                at = places[after]
                 continue
             at += 2 + size
         images.append(image)
@@ -414,7 +428,7 @@ def decode(streams: list[bytes]) -> tuple[list[Image], np.ndarray]:
 
 
 def _peek(word: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    return (word[at >> 3] >> (32 - (at & 7) - n)) & ((1 << n) - 1)
+    return (word[at >> 3] >> (56 - (at & 7) - n)) & ((1 << n) - 1)
 
 
 def _dc_first(out, word, lookups, start, first, count, units, component, now) -> None:
@@ -437,39 +451,46 @@ def _dc_refine(out, plain, start, first, count, units, now) -> None:
     lane = np.repeat(np.arange(len(start)), count)
     step = np.arange(len(lane)) - np.repeat(np.cumsum(count) - count, count)
     at = start[lane] + step
-    out[units[first[lane] + step], 0] |= (((plain[at >> 3] >> (7 - (at & 7))) & 1) << now).astype(np.int16)
+    out[units[first[lane] + step], 0] |= ((plain[at >> 3].astype(np.int64) >> (7 - (at & 7))) & 1).astype(np.int16) << now
 
 
 def _ac_first(out, word, lookup, start, first, count, units, low, high, now) -> None:
+    # Of each code at once: bits it takes with what follows it, of these the magnitude or run bits, the run, and whether it codes a coefficient.
+    bits_of, symbol = lookup & 255, lookup >> 8
+    run_of, size_of = symbol >> 4, symbol & 15
+    extra_of = np.where(size_of > 0, size_of, np.where(run_of < 15, run_of, 0))
+    packed = (bits_of + extra_of) | extra_of << 8 | run_of << 12 | (size_of > 0) << 16
     flat = out.ravel()
     at, unit, end = start.copy(), first.copy(), first + count
-    k = np.full(len(at), low)
+    k, row = np.full(len(at), low), units[first] << 6
     while len(at):
-        found = lookup[_peek(word, at, 16)]
-        at = at + (found & 255)
-        run, size = found >> 12, (found >> 8) & 15
-        coded = size > 0
-        extra = np.where(coded, size, np.where(run < 15, run, 0))
-        bits = _peek(word, at, extra)
-        at += extra
+        w, shift = word[at >> 3], at & 7
+        found = packed[(w >> (40 - shift)) & 0xFFFF]
+        taken, extra, run = found & 255, (found >> 8) & 15, (found >> 12) & 15
+        mask = (1 << extra) - 1
+        bits = (w >> (56 - shift - taken)) & mask
+        at += taken
         place = k + run
+        coded = found >> 16 > 0
+        value = np.where(bits > mask >> 1, bits, bits - mask) << now
         if coded.all():
-            flat[(units[unit] << 6) + place] = _extend(bits, size) << now
+            flat[row + place] = value
             k = place + 1
             done = k > high
-            unit = unit + done
+            if not done.any():
+                continue
+            unit += done
         else:
-            c = np.flatnonzero(coded)
-            flat[(units[unit[c]] << 6) + place[c]] = _extend(bits[c], size[c]) << now
+            flat[(row + place)[coded]] = value[coded]
             ends = ~coded & (run < 15)
-            k = np.where(coded | ~ends, place + 1, high + 1)
+            k = np.where(ends, high + 1, place + 1)
             done = k > high
-            unit = unit + np.where(ends, (1 << np.where(ends, run, 0)) + bits, done)
-        k = np.where(done, low, k)
-        if done.any():
-            going = unit < end
-            if not going.all():
-                at, unit, end, k = at[going], unit[going], end[going], k[going]
+            unit += np.where(ends, (1 << np.where(ends, run, 0)) + bits, done)
+        k[done] = low
+        going = unit < end
+        if not going.all():
+            at, unit, end, k = at[going], unit[going], end[going], k[going]
+        row = units[unit] << 6
 
 
 def _ac_refine(out, plain, word, lookup, start, first, count, units, low, high, now) -> None:
@@ -488,39 +509,34 @@ def _ac_refine(out, plain, word, lookup, start, first, count, units, low, high,
         at += extra
         left = np.where(ends, (1 << np.where(ends, run, 0)) + bits, left)
         whole = left > 0
-        rows = out[units[unit], low : high + 1]
-        there = rows != 0
-        ahead = columns >= k[:, None]
-        if whole.all():
-            span, stop = there & ahead, None
-        else:
+        blocks = units[unit]
+        rows = out[blocks, low : high + 1]
+        span = rows != 0
+        stop = None
+        if not (whole.all() and (k == low).all()):
             # The place of the zero that follows so many others, up to which non-zero ones are corrected.
-            zeros = np.cumsum(~there & ahead, 1, dtype=np.int16)
-            reach = zeros > run[:, None]
+            ahead = columns >= k[:, None]
+            reach = np.cumsum(~span & ahead, 1, dtype=np.int16) > run[:, None]
             stop = np.where(reach.any(1), reach.argmax(1) + low, high + 1)
             stop = np.where(whole, high + 1, stop)
-            span = there & ahead & (columns < stop[:, None])
+            span &= ahead & (columns < stop[:, None])
         rank = np.cumsum(span, 1, dtype=np.int32)
-        n = rank[:, -1]
-        i, j = np.nonzero(span)
-        p = at[i] + rank[i, j] - 1
-        add = ((plain[p >> 3] >> (7 - (p & 7))) & 1).astype(bool)
-        i, j = i[add], j[add]
-        v = rows[i, j]
-        fresh = (np.abs(v) & step) == 0
-        rows[i, j] = np.where(fresh, v + np.sign(v) * step, v)
-        at += n
-        if stop is not None:
+        place = rank + (at - 1)[:, None]
+        bit = (plain[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+        bit &= span
+        rows += np.where(rows < 0, -step, step) * bit.astype(np.int16)
+        at += rank[:, -1]
+        if stop is None:
+            k[:] = high + 1
+        else:
             put = np.flatnonzero((size > 0) & (stop <= high))
             rows[put, stop[put] - low] = np.where(bits[put] == 1, step, -step)
             k = np.where(whole, high + 1, stop + 1)
-        else:
-            k = np.full(len(at), high + 1)
-        out[units[unit], low : high + 1] = rows
+        out[blocks, low : high + 1] = rows
         done = k > high
         left = np.where(whole, left - 1, left)
         unit = unit + done
-        k = np.where(done, low, k)
+        k[done] = low
         going = unit < end
         if not going.all():
             at, unit, end, k, left = at[going], unit[going], end[going], k[going], left[going]
@@ -554,17 +570,29 @@ def to_rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
     return np.stack([_round(y + 91881 * cr), _round(y - 22554 * cb - 46802 * cr), _round(y + 116130 * cb)], -1)
 
 
-def _plane(c: _Component, coefficients: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
-    blocks = inverse_transform(coefficients[c.base : c.base + c.stride * c.rows], quantiser)
-    return blocks.reshape(c.rows, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(c.rows * 8, c.stride * 8)
+def samples_of(images: list[Image], coefficients: np.ndarray) -> np.ndarray:
+    """Samples of all blocks of all images: (blocks, 8, 8); blocks of one quantiser are transformed together."""
+    by: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+    for image in images:
+        for c in image.components:
+            by[image.quantisers[c.table].tobytes()].append((c.base, c.stride * c.rows))
+    if len(by) == 1:
+        return inverse_transform(coefficients, np.frombuffer(next(iter(by)), np.int64))
+    out = np.zeros((len(coefficients), 8, 8), np.uint8)
+    for key, runs in by.items():
+        rows = np.concatenate([np.arange(base, base + n) for base, n in runs])
+        out[rows] = inverse_transform(coefficients[rows], np.frombuffer(key, np.int64))
+    return out
 
 
-def rgb_tensor(image: Image, coefficients: np.ndarray) -> np.ndarray:
+def rgb_tensor(image: Image, samples: np.ndarray) -> np.ndarray:
     """The image in full resolution: (height, width, 3); a single component gives grey."""
     planes = []
     for c in image.components:
-        p = _plane(c, coefficients, image.quantisers[c.table])
-        planes.append(p.repeat(image.v // c.v, 0).repeat(image.h // c.h, 1)[: image.height, : image.width])
+        p = samples[c.base : c.base + c.stride * c.rows].reshape(c.rows, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(c.rows * 8, c.stride * 8)
+        if (image.v, image.h) != (c.v, c.h):
+            p = p.repeat(image.v // c.v, 0).repeat(image.h // c.h, 1)
+        planes.append(p[: image.height, : image.width])
     if len(planes) == 1:
         return np.stack([planes[0]] * 3, -1)
     return to_rgb(*planes[:3])
@@ -593,10 +621,9 @@ def store(payloads: list[bytes]) -> list[bytes]:
 
 def read_back(image: Image, coefficients: np.ndarray) -> bytes:
     """The payload of a stored stream: its coefficients up to the first that is zero."""
-    y, cb, cr = image.components
-    rows, columns = np.divmod(np.arange(image.across * image.down), image.across)
-    order = np.stack([y.base + (2 * rows + dy) * y.stride + 2 * columns + dx for dy in (0, 1) for dx in (0, 1)] + [c.base + rows * c.stride + columns for c in (cb, cr)], 1)
-    v = coefficients[order.ravel()].ravel()
+    base = image.components[0].base
+    units, _, _ = _units(image.across, image.down, tuple((c.h, c.v, c.base - base, c.stride, c.wide, c.high) for c in image.components))
+    v = coefficients[units + base].ravel()
     v = v[v != 0]
     return np.where(v > 0, v, v + 255).astype(np.uint8).tobytes()
 
@@ -604,7 +631,7 @@ def read_back(image: Image, coefficients: np.ndarray) -> bytes:
 def feature_of(rgb: np.ndarray) -> str:
     """Size, channel sums and a histogram of eight levels for each channel."""
     flat = rgb.reshape(-1, 3)
-    levels = [np.bincount(flat[:, c] >> 5, minlength=8).tolist() for c in range(3)]
+    levels = np.bincount((np.arange(3, dtype=np.uint8) * 8 + (flat >> 5)).ravel(), minlength=24).reshape(3, 8).tolist()
     return f"{rgb.shape[1]}x{rgb.shape[0]} sum={','.join(map(str, flat.sum(0, dtype=np.int64)))} hist={';'.join(','.join(map(str, x)) for x in levels)}"
 
 
@@ -628,10 +655,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 texts = part.column(1).to_pylist()
                 media = store([payload_of(t, unit) for t in texts])
                 images, coefficients = decode(media)
+                samples = samples_of(images, coefficients)
                 out = []
                 for t, m, image in zip(texts, media, images, strict=True):
                     back = read_back(image, coefficients)
-                    rgb = rgb_tensor(image, coefficients)
+                    rgb = rgb_tensor(image, samples)
                     row = [len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(rgb)]
                     out.append(row + [m, image.width, image.height, rgb.tobytes()] * tensors)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]

@@ -7,6 +7,7 @@ from .column_bwt import op10_column_bwt
 from .ctw_scoring import op2_ctw_scoring
 from .minhash_join import op7_minhash_join
 from .nnls_packing import op8_nnls_packing
+from .progressive_jpeg import op9_progressive_jpeg
 from .qda_quality import op1_qda_quality
 from .temperature_mixing import op5_temperature_mixing
 from .trie_counts import op4_trie_counts
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
     "op7_minhash_join": op7_minhash_join,
     "op8_nnls_packing": op8_nnls_packing,
+    "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_column_bwt": op10_column_bwt,
 }
 
