@@ -24,6 +24,8 @@ from .common import materialise, table, text_of
 N_GRAM, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.999, 32
 #: Texts of one side of a unit; a larger group of candidates is split into tiles that meet two by two.
 TILE = 2048
+#: Word hashes that a task keeps; when full they are dropped and gathered anew.
+KEPT = 200_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -40,7 +42,7 @@ def ngrams(text: bytes, n: int, cache: dict[bytes, int]) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(cache) > 1_000_000:
+    if len(cache) > KEPT:
         cache.clear()
     hashes = []
     for w in words:

@@ -29,7 +29,7 @@ BINS, DEPTH = 256, 3
 #: Rows or windows that one task of a ranking holds.
 RANKED, STREAM_WINDOWS = 50_000, 1024
 #: Words whose ids a worker keeps; when full they are dropped and gathered anew.
-KEPT = 1_200_000
+KEPT = 900_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -114,6 +114,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids = [words.of(t) + end for t in part.column(2).to_pylist()]
                 n = [len(x) // words.kind.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "n_tokens", "ids"])
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     return rows.mapInArrow(run, "row long, doc_id long, n_tokens long, ids binary")
 
