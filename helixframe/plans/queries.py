@@ -317,10 +317,10 @@ def w09_anchor_index(spark, sf_dir):
     return n.select("o_custkey", M.anchor_indices(F.col("n"), 4).alias("anchors"))
 
 
-@query("""SELECT vec_id, [round((CAST(embedding[i] AS DOUBLE) * (64 - (i - 1)) + CAST(embedding[65 - i] AS DOUBLE) * (i - 1)) / 64, 9) FOR i IN range(1, 65)] AS blended FROM embeddings""")
+@query("""SELECT vec_id, [(CAST(embedding[i] AS DOUBLE) * (64 - (i - 1)) + CAST(embedding[65 - i] AS DOUBLE) * (i - 1)) / 64 FOR i IN range(1, 65)] AS blended FROM embeddings""")
 def w10_blend(spark, sf_dir):
     v = F.col("embedding").cast("array<double>")
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(M.blend(v, F.reverse(v)), lambda x: F.round(x, 9)).alias("blended"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", M.blend(v, F.reverse(v)).alias("blended"))
 
 
 @query()
@@ -486,7 +486,7 @@ def f26_prefix_suffix(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.startswith("url", F.lit("https")).alias("secure"), F.endswith("url", F.lit("1")).alias("ends"))
 
 
-@query("SELECT page_id, list_filter(string_split(url, '/'), x -> x <> '') AS pieces FROM pages")
+@query("SELECT page_id, [x FOR x IN string_split(url, '/') IF x <> ''] AS pieces FROM pages")
 def f27_tokens(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", S.tokens(F.col("url"), "/").alias("pieces"))
 
