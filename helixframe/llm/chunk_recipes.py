@@ -66,9 +66,10 @@ def exact_dedup(
         recipes = _with_ordinals(chunked, dictionary, clashing, hash_bits)
     recipes = materialise(recipes, "recipes")
 
-    # Partial aggregation keeps a large group from meeting in one task; the join back is one
-    # that adaptive execution splits.
+    # Partial aggregation keeps a large group from meeting in one task; since the groups are a
+    # written table, the join back is one that adaptive execution splits.
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(groups, "recipe-groups")
     return recipes.join(groups, "recipe").select(
         "doc_id",
         "keep_id",
