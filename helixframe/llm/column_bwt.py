@@ -215,7 +215,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_enough = given.filter(F.octet_length("text") >= length)
     listed = materialise(long_enough.select("row", "text").mapInArrow(scan, "row long, anchors array<struct<fp:long,first:int,last:int,at:int>>"), "anchors")
     each = listed.select("row", F.explode("anchors").alias("a")).select("row", "a.*")
-    common = each.groupBy("fp").count().filter("count > 1").select("fp")
+    # Written, so that the join with a very frequent anchor's rows can be split.
+    common = materialise(each.groupBy("fp").count().filter("count > 1").select("fp"), "common")
     wanted = each.join(common, "fp").groupBy("row").agg(F.collect_set(F.struct("fp", "first", "last", "at")).alias("anchors"))
 
     # Texts with such anchors, once, in buckets by row: neither of the two later reads moves them.
