@@ -521,3 +521,75 @@ def b05_nibbles(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(v.alias("v"))
     packed = rows.select("user_id", B.pack_nibbles(F.col("v")).alias("packed"), F.size("v").alias("n"))
     return packed.select("user_id", "packed", B.unpack_nibbles(F.col("packed"), F.col("n")).alias("restored"))
+
+
+_MESSAGES = ", ".join(f"('{k}', '{v}')" for k, v in P.VALIDITY.items())
+
+
+@query(ORACLE_SQL["a10_validity"].replace("SELECT user_id, CASE", ", o AS (SELECT user_id, CASE").replace("FROM g", "FROM g)") + f" SELECT user_id, m.message FROM o JOIN (VALUES {_MESSAGES}) m(code, message) USING (code)")
+def a11_messages(spark, sf_dir):
+    return a10_validity(spark, sf_dir).select("user_id", P.validity_message(F.col("code")).alias("message"))
+
+
+@query("""SELECT t.event_type, coalesce(list(e.event_id ORDER BY e.event_id) FILTER (e.event_id IS NOT NULL), []) AS held, coalesce(arg_min(e.value, e.event_id), 0.0) AS first_value
+FROM (VALUES ('click'), ('view'), ('nothing')) t(event_type) LEFT JOIN events e USING (event_type) GROUP BY t.event_type""")
+def a14_lists_by_type(spark, sf_dir):
+    types = spark.createDataFrame([("click",), ("view",), ("nothing",)], "event_type string")
+    held = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_list("event_id")).alias("held"), F.min_by("value", "event_id").alias("first_value"))
+    out = types.join(held, "event_type", "left")
+    return out.select("event_type", F.coalesce("held", F.array().cast("array<bigint>")).alias("held"), F.coalesce("first_value", F.lit(0.0)).alias("first_value"))
+
+
+@query("SELECT DISTINCT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey")
+def o02_lookup_order(spark, sf_dir):
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").orderBy("s_name", "s_suppkey")
+
+
+@query(_TORSION + "SELECT vec_id, CAST(pos // 3 AS INTEGER) AS idx, round(max(torsion) FILTER (pos % 3 = 0), 6) AS psi, round(max(torsion) FILTER (pos % 3 = 1), 6) AS omega, round(max(torsion) FILTER (pos % 3 = 2), 6) AS phi FROM tor GROUP BY vec_id, pos // 3")
+def k13_torsion_rows(spark, sf_dir):
+    t = C.torsion_array(C.points_of(F.col("embedding")))
+    zipped = F.arrays_zip(*[M.every_third(t, k).alias(n) for k, n in enumerate(("psi", "omega", "phi"))])
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(zipped).alias("idx", "a"))
+    return rows.select("vec_id", "idx", *[F.round(F.col("a")[n], 6).alias(n) for n in ("psi", "omega", "phi")])
+
+
+@query("""SELECT o.o_orderpriority, round(sum(l.l_quantity) / count(*), 6) AS mean_quantity, round(sum(l.l_discount) / count(*), 6) AS mean_discount
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderpriority""")
+def f33_map_means(spark, sf_dir):
+    joined = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sums = joined.groupBy("o_orderpriority").agg(F.create_map(F.lit("q"), F.sum("l_quantity"), F.lit("d"), F.sum("l_discount")).alias("sums"), F.count(F.lit(1)).alias("n"))
+    means = sums.select("o_orderpriority", F.transform_values("sums", lambda _, v: v / F.col("n")).alias("m"))
+    return means.select("o_orderpriority", F.round(F.col("m")["q"], 6).alias("mean_quantity"), F.round(F.col("m")["d"], 6).alias("mean_discount"))
+
+
+_SIDES = ", ".join(f"({i}, '{n}', {len(R.dictionary()[n].side) if n in R.dictionary() else 0})" for i, n in enumerate(R.NAMES))
+
+
+@query(f"SELECT p_partkey, s.name, CAST(s.n AS INTEGER) AS torsions FROM part JOIN (VALUES {_SIDES}) s(i, name, n) ON s.i = p_partkey % 24")
+def f19_side_chain_torsions(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").select("p_partkey", R.index_to_three((F.col("p_partkey") % 24).cast("int")).alias("name"))
+    return rows.select("p_partkey", "name", R.side_chain_torsions(F.col("name")).alias("torsions"))
+
+
+_CONSTANTS = [(r.name, kind, f"{s.before[2]}_{s.name}", v) for r in R.dictionary().values() for s in r.side for kind, v in (("length", s.length), ("angle", s.angle))]
+
+
+@query("SELECT name, kind, variable, value FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}::DOUBLE)" for a, b, c, d in _CONSTANTS) + ") t(name, kind, variable, value)")
+def k17_residue_constants(spark, sf_dir):
+    return spark.createDataFrame(_CONSTANTS, "name string, kind string, variable string, value double")
+
+
+@query("""SELECT user_id, list_reverse(list(event_id ORDER BY event_id)) AS backwards, list(event_id ORDER BY event_id)[2:4] AS piece FROM events GROUP BY user_id""")
+def o04_reverse_slice(spark, sf_dir):
+    held = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("v"))
+    return held.select("user_id", F.reverse("v").alias("backwards"), F.slice("v", 2, 3).alias("piece"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n, first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS head
+FROM lineitem""")
+def j11_group_value_to_rows(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    over = W.partitionBy("l_orderkey")
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return rows.withColumn("n", F.count(F.lit(1)).over(over)).withColumn("head", F.first("l_partkey").over(over.orderBy("l_linenumber", "l_partkey", "l_suppkey")))

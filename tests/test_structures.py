@@ -148,3 +148,21 @@ def test_streaming_ingest(spark, tmp_path):
     ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["name"], r["error"]) for r in rows] == [("test_af.fcz", None)]
+
+
+def test_api():
+    from helixframe import api
+
+    text = (DATA / "test_af.pdb").read_text()
+    blob = api.compress("t" * 71, text)
+    assert len(blob) == 698
+    name, out = api.decompress(blob)
+    assert name == "t" * 71 and out.count("ATOM  ") == 243 and out.startswith("TITLE     " + "t" * 70 + "\nTITLE    2 t\n")
+    measured, stored = api.get_data(text), api.get_data(blob)
+    assert len(measured["phi"]) == 27 and len(stored["phi"]) == 28 and measured["residues"] == stored["residues"]
+    assert np.abs(np.array(measured["psi"]) - np.array(stored["psi"][:27])).max() < 0.1
+    assert len(api.split_pdb_by_chain((DATA / "multichain.pdb").read_text())) == 2
+    with pytest.raises(api.Error):
+        api.compress("x", (DATA / "multichain.pdb").read_text())
+    with pytest.raises(api.Error):
+        api.compress("x", "nothing")
