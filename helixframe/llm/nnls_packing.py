@@ -27,7 +27,7 @@ TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Length bins of a window, and the most pieces that a combination has.
 BINS, DEPTH = 256, 3
 #: Rows or windows that one task of a ranking holds.
-RANKED, STREAM_WINDOWS = 50_000, 1024
+RANKED, STREAM_WINDOWS = 50_000, 128
 #: Words whose ids a worker keeps; when full they are dropped and gathered anew.
 KEPT = 900_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
