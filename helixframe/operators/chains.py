@@ -51,17 +51,23 @@ def breaks(df: DataFrame, keys: list[str], order: list[str], cutoff: float = 2.0
     return bond_lengths(df, keys, order, coord).filter(F.col("length") > cutoff)
 
 
+def _along(points: Column, span: int, at) -> Column:
+    """at(points, i) for each run of span points; points are computed once."""
+
+    def over(p: Column) -> Column:
+        n = F.size(p)
+        return F.when(n >= span, F.transform(F.sequence(F.lit(0), n - span), lambda i: at(p, i))).otherwise(F.array().cast("array<double>"))
+
+    return G.let(points, over)
+
+
 def torsion_array(points: Column) -> Column:
     """Torsions of an array of points, without a shuffle."""
-    n = F.size(points)
-    at = lambda i: G.torsion(points[i], points[i + 1], points[i + 2], points[i + 3])
-    return F.when(n > 3, F.transform(F.sequence(F.lit(0), n - 4), at)).otherwise(F.array().cast("array<double>"))
+    return _along(points, 4, lambda p, i: G.torsion(p[i], p[i + 1], p[i + 2], p[i + 3]))
 
 
 def angle_array(points: Column) -> Column:
-    n = F.size(points)
-    at = lambda i: G.bond_angle(points[i], points[i + 1], points[i + 2])
-    return F.when(n > 2, F.transform(F.sequence(F.lit(0), n - 3), at)).otherwise(F.array().cast("array<double>"))
+    return _along(points, 3, lambda p, i: G.bond_angle(p[i], p[i + 1], p[i + 2]))
 
 
 def rebuild(first: Column, lengths: Column, angles: Column, twists: Column) -> Column:

@@ -181,6 +181,19 @@ def _category(columns: dict[str, list], prefix: str = "_atom_site.") -> Iterator
         )
 
 
+def _component(columns: dict[str, list]) -> Iterator[tuple]:
+    """Atom rows of a chemical component's table: a model for each set of coordinates that it has."""
+    at = "_chem_comp_atom."
+    n = len(columns.get(at + "atom_id", ()))
+    sets = (("x", "y", "z"), *(tuple(f"{p}cartn_{k}{q}" for k in "xyz") for p, q in (("model_", ""), ("pdbx_model_", "_ideal"))))
+    for model, names in enumerate(sets, 1):
+        held = [columns.get(at + c, []) for c in names]
+        if n and all(len(c) == n for c in held):
+            residue = columns.get(at + "comp_id", ["UNL"] * n)
+            for k, (atom, *xyz) in enumerate(zip(columns[at + "atom_id"], *held, strict=True)):
+                yield (model, k + 1, atom, None, residue[k], "", 1, None, *(_number(v, float("nan")) for v in xyz), 1.0, 0.0, "HETATM")
+
+
 def parsed_atoms(texts: DataFrame, kind: str, name: str = "name", content: str = "content") -> DataFrame:
     """Atom rows of CIF or mmJSON texts, whose syntax column expressions cannot follow."""
     schema = ATOM_SCHEMA.replace("pos long", "line_no long")
@@ -194,7 +207,8 @@ def parsed_atoms(texts: DataFrame, kind: str, name: str = "name", content: str =
                 else:
                     block = next(iter(json.loads(text).values()))
                     columns = {f"_{category}.{k}".lower(): v for category, held in block.items() for k, v in held.items()}
-                rows = [(n, r[0], k, *r[1:]) for k, r in enumerate(_category(columns))]
+                table = _category if any(k.startswith("_atom_site.") for k in columns) else _component
+                rows = [(n, r[0], k, *r[1:]) for k, r in enumerate(table(columns))]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return _regrouped(texts.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, schema))
@@ -247,3 +261,20 @@ def write_archive(rows: DataFrame, path: str, name: str = "name", content: str =
 
     rows.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, "members long, archive binary").write.parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+def torsion_text(spark: SparkSession, path: str) -> DataFrame:
+    """angle, a number in each line of a text file; lines that are none go."""
+    return spark.read.text(path).select(F.trim("value").try_cast("double").alias("angle")).filter("angle is not null")
+
+
+def output_target(given: str, out: str | None, suffix: str, is_folder: bool, archive: bool = False, database: bool = False) -> str:
+    """Where results go: the path asked for, else one named after the input and the kind of output."""
+    if out:
+        return out
+    base = given.rstrip("/")
+    if database:
+        return f"{base}_db"
+    if archive:
+        return f"{base}.{suffix}.tar"
+    return f"{base}_{suffix}/" if is_folder else f"{re.sub(r'[.][^./]*$', '', base)}.{suffix}"

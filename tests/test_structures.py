@@ -166,3 +166,13 @@ def test_api():
         api.compress("x", (DATA / "multichain.pdb").read_text())
     with pytest.raises(api.Error):
         api.compress("x", "nothing")
+
+
+def test_component_and_small_readers(spark, tmp_path):
+    text = "data_ALA\nloop_\n_chem_comp_atom.comp_id\n_chem_comp_atom.atom_id\n_chem_comp_atom.model_Cartn_x\n_chem_comp_atom.model_Cartn_y\n_chem_comp_atom.model_Cartn_z\nALA N 1 2 3\nALA CA 4 5 6\n"
+    rows = S.atoms(spark.createDataFrame([("c.cif", text.encode())], "name string, content binary")).orderBy("pos").collect()
+    assert [(r["model"], r["atom"], r["x"]) for r in rows] == [(2, "N", 1.0), (2, "CA", 4.0)]
+    (tmp_path / "t.txt").write_text("1.5\nx\n -2\n")
+    assert [r[0] for r in S.torsion_text(spark, str(tmp_path / "t.txt")).collect()] == [1.5, -2.0]
+    assert S.output_target("a/b.pdb", None, "fcz", False) == "a/b.fcz" and S.output_target("a/b/", None, "fcz", True) == "a/b_fcz/"
+    assert S.output_target("d", None, "fcz", True, archive=True) == "d.fcz.tar" and S.output_target("d", "e", "fcz", True) == "e" and S.output_target("d", None, "fcz", True, database=True) == "d_db"
