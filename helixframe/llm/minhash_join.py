@@ -78,21 +78,21 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, a: np.ndarray, b: np.n
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set_key (digest of the n-gram set) and the band hashes (none for an empty set)."""
-    source = docs.select(F.col("doc_id").cast("long"), text_of("text").cast("binary").alias("text"))
+    """row, doc_id, set_key (digest of the n-gram set) and the band hashes (none for an empty set)."""
+    source = docs.select("row", "doc_id", text_of("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(bands * rows)
         cache: dict[bytes, int] = {}
         for batch in batches:
             keys, hashes = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 g = ngrams(text, n, cache)
                 keys.append(hashlib.sha256(g.tobytes()).digest()[:16])
                 hashes.append(band_hashes(g, bands, rows, a, b) if len(g) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["row", "doc_id", "set_key", "bands"])
 
-    return source.mapInArrow(run, "doc_id long, set_key binary, bands array<long>")
+    return source.mapInArrow(run, "row long, doc_id long, set_key binary, bands array<long>")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -164,25 +164,31 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     tile: int = TILE,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, copy_of, class_id, n_links.
+    """One row per input row: doc_id, copy_of, class_id, n_links; with row_col also row and kept.
 
     copy_of is the least id with the same n-gram set; class_id the least id of all
     that links join, directly or not; n_links the number of other rows whose sets
     have a Jaccard similarity of at least the threshold. Words are split at white
     space and A-Z lower-cased. A text of fewer than n words has them all as its one
     n-gram. Empty and null texts are alike, link with each other and with nothing
-    else. Rows that repeat an id are one document, which has the greatest of their
-    texts; each gets its row. Rows with a null id are left
-    apart: class null, no links. Other columns are ignored. Empty in, empty out.
+    else. Rows that repeat an id are texts of their own. Rows with a null id are left
+    apart: class null, no links. row_col names a column of distinct numbers in a
+    written table; kept is true for one row of each class, one with the least id, and
+    for all rows left apart. Other columns are ignored. Empty in, empty out.
     """
     bands, rows = choose_bands(threshold, recall)
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    repeats = not given.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    plain = given.groupBy("doc_id").agg(F.max("text").alias("text")) if repeats else given
-    sketch = materialise(signatures(plain, n, bands, rows), "signatures")
-    named = sketch.filter("doc_id is not null")
-    copies = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by("bands", "doc_id").alias("bands")), "copies")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
+    # An id is its row's key only where none repeats.
+    by_row = bool(row_col) or not given.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if not row_col:
+        given = materialise(given.withColumn("row", F.monotonically_increasing_id()), "rows") if by_row else given.withColumn("row", F.col("doc_id"))
+    plain = given.filter("doc_id is not null")
+    named = materialise(signatures(plain, n, bands, rows), "signatures")
+    copies = materialise(
+        named.groupBy("set_key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by("bands", "row").alias("bands"), F.min(F.struct("doc_id", "row")).alias("first")), "copies"
+    )
 
     # A bucket gives an edge from each member to its least one, found by partial aggregation.
     places = copies.select("rep", F.explode("bands").alias("bucket"))
@@ -195,7 +201,7 @@ def near_duplicates(
     placed = groups.join(tiles, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     units = placed.select(F.col("node").alias("rep"), "label", "tiles", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     units = units.select("rep", "label", "tiles", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    held = units.join(copies.select("rep", "size"), "rep").join(plain.select(F.col("doc_id").alias("rep"), text_of("text").cast("binary").alias("text")), "rep")
+    held = units.join(copies.select("rep", "size"), "rep").join(plain.select(F.col("row").alias("rep"), text_of("text").cast("binary").alias("text")), "rep")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep", ignore_index=True)
@@ -213,13 +219,20 @@ def near_duplicates(
         whole = whole.union(split.select("rep").distinct().join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep")))
     degrees = verified.groupBy("rep").agg(F.sum("degree").alias("degree")).join(whole, "rep")
     classes = copies.join(degrees, "rep", "left").select(
-        "set_key", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("degree", F.lit(0)) + F.col("size") - 1).alias("n_links")
+        "set_key", "first", F.coalesce("class_id", "rep").alias("class"), (F.coalesce("degree", F.lit(0)) + F.col("size") - 1).alias("n_links")
+    )
+    if by_row:
+        heads = classes.groupBy("class").agg(F.min("first").alias("head"))
+        classes = classes.join(heads, "class")
+    else:
+        classes = classes.withColumn("head", F.struct(F.col("class").alias("doc_id"), F.col("class").alias("row")))
+    classes = classes.select("set_key", F.col("first.doc_id").alias("copy_of"), F.col("head.doc_id").alias("class_id"), "n_links", F.col("head.row").alias("head"))
+    out = named.select("row", "doc_id", "set_key").join(classes, "set_key").withColumn("kept", F.col("row") == F.col("head"))
+    apart = given.filter("doc_id is null").select(
+        "doc_id", *[F.lit(None).cast("long").alias(c) for c in ("copy_of", "class_id")], F.lit(0).cast("long").alias("n_links"), "row", F.lit(True).alias("kept")
     )
-    out = named.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "copy_of", "class_id", "n_links")
-    if repeats:
-        out = given.select("doc_id").join(out, "doc_id")
-    apart = given.filter("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("copy_of", "class_id")], F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(apart)
+    out = out.select(apart.columns).unionByName(apart)
+    return out if row_col else out.drop("row", "kept")
 
 
 def keep_one(classes: DataFrame) -> Column:

@@ -56,6 +56,13 @@ def test_join_on_awkward_rows(docs, no_docs):
     assert M.near_duplicates(no_docs).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_texts_of_their_own(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long), (5, "zzz other words"), (7, long + " tail"), (7, "zzz other words"), (8, "alone"), (5, long)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(expected(rows))
+
+
 def test_bands_meet_the_recall():
     for t in (0.5, 0.8, 0.95):
         bands, rows = M.choose_bands(t, 0.99)
