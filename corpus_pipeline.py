@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.chunk_recipes import exact_dedup
-from helixframe.llm.common import materialise, table
-from helixframe.llm.minhash_join import keep_one, near_duplicates
+from helixframe.llm.common import ascii_lower, materialise, table, text_of
+from helixframe.llm.minhash_join import near_duplicates
 from helixframe.llm.nnls_packing import digests, pack
 from helixframe.llm.qda_quality import accepted, document_statistics, train
 from helixframe.llm.temperature_mixing import mix
@@ -20,13 +20,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal after lower-casing A-Z, the document with the largest id stays."""
-    return docs.join(exact_dedup(docs).filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # A decision is one about an id, which may be null or repeat, and a text.
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    digest = F.sha2(ascii_lower(text_of("text")), 256)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (digest == F.col("text_sha256")), "left_semi")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document with the least id stays."""
-    classes = near_duplicates(docs)
-    return docs.join(classes.filter(keep_one(classes)).select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Of each class of near-duplicates, one document with the least id stays; so do all without an id."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    # Written, so that a row has the same number whenever it is read.
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    kept = near_duplicates(rows, row_col=row).filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

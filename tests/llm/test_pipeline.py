@@ -69,3 +69,45 @@ def test_packing(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert P.run(spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def awkward_docs(spark, docs):
+    """The awkward rows, and ids that repeat with other texts: one kept, the other rejected."""
+    more = [(1, "a text of its own", "s0", "r", 1, "b"), (9, "one", "s1", "r", 2, "b"), (None, "Unique and clean", None, "r", 3, "b"), (None, docs.filter("doc_id = 9").first()["text"], "s1", "r", 4, "b")]
+    return docs.unionByName(spark.createDataFrame(more, docs.schema))
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_exact_on_awkward_rows(spark, awkward_docs):
+    rows = pairs(awkward_docs)
+    best = {}
+    for d, t in rows:
+        key = lower(t or "")
+        best[key] = max(best.get(key, -1), -1 if d is None else d)
+    out = P.exact_stage(spark, awkward_docs, SF)
+    assert out.columns == awkward_docs.columns
+    assert pairs(out) == [(d, t) for d, t in rows if (-1 if d is None else d) == best[lower(t or "")]]
+
+
+def test_near_on_awkward_rows(spark, awkward_docs):
+    rows = pairs(awkward_docs)
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    heads = [named[k][0] for k, (_, c, _) in enumerate(expected([(k, t) for k, (_, t) in enumerate(named)])) if c == k]
+    out = P.near_stage(spark, awkward_docs, SF)
+    assert out.columns == awkward_docs.columns
+    got = pairs(out)
+    assert [r for r in got if r[0] is None] == [r for r in rows if r[0] is None]
+    assert sorted(d for d, _ in got if d is not None) == heads
+
+
+def test_other_stages_on_awkward_rows(spark, awkward_docs):
+    kept = P.quality_stage(spark, awkward_docs, SF)
+    assert kept.columns == awkward_docs.columns and set(pairs(kept)) <= set(pairs(awkward_docs))
+    scores = Q.quality(awkward_docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert kept.count() == scores.filter("score >= 0.3").count()
+    assert set(pairs(P.mixing_stage(spark, awkward_docs, SF))) == set(pairs(awkward_docs))
+    assert P.packing_stage(spark, awkward_docs, SF).filter("start = 0").count() == awkward_docs.count()
