@@ -44,7 +44,8 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins what it parts, so a text's ids
     are those of its words in order. Words of Latin letters go straight to the
-    tokenizer's model, one pre-token at a time; all others through the whole tokenizer.
+    tokenizer's model, one pre-token at a time; all others, and those that hold an
+    added token such as <|endoftext|>, through the whole tokenizer.
     """
 
     #: The tokenizer file's own pattern of pre-tokens.
@@ -55,7 +56,10 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens count as such only as a text spells them, so lower-cased words see none.
+        self.lowered = Tokenizer.from_file(path)
+        self.lowered.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.direct = path.endswith(TOKENIZER)
@@ -89,10 +93,20 @@ class WordIds(dict):
         return array(self.code, [t.id for t in self.model.tokenize(mapped)])
 
     def _whole(self, word: bytes) -> array:
-        return array(self.code, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return array(self.code, self.lowered.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _spelled(self, word: bytes) -> bytes:
+        """Ids of a word as the text has it, which may hold added tokens."""
+        if not any(t in word for t in self.added):
+            return self[word.lower()]
+        return array(self.code, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.lower().split())) if text else b""
+        if not text:
+            return b""
+        if any(t in text for t in self.added):
+            return b"".join(map(self._spelled, text.split()))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _kept: dict[str, WordIds] = {}

@@ -84,6 +84,15 @@ def test_word_ids_are_the_tokenizers(docs):
         assert np.frombuffer(words.of(t.encode()), words.kind).tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(N.default_tokenizer())
+    words = N.WordIds(N.default_tokenizer())
+    for t in ("x <|endoftext|> y", "x<|endoftext|>y, <|startoftext|>!", "<|ENDOFTEXT|> A数<|EndOfText|> é<|endoftext|>É", "plain"):
+        assert np.frombuffer(words.of(t.encode()), words.kind).tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("window", [4096, 64])
 def test_packing_keeps_every_id(docs, window):
     words = N.WordIds(N.default_tokenizer())
