@@ -55,7 +55,8 @@ def file_list(spark: SparkSession, path: str) -> DataFrame:
 
 def sniff(content: Column) -> Column:
     """mmjson, cif, entry or pdb, by how the content begins; blank and # lines are skipped."""
-    head = F.regexp_replace(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), r"^(\s|#[^\n]*\n)+", "")
+    # Possessive, so that neither a long run of such lines nor its lack takes the stack.
+    head = F.regexp_extract(F.decode(content, "ISO-8859-1"), r"^(?:\s++|#[^\n]*+\n)*+(.{0,5})", 1)
     return F.when(F.hex(F.substring(content, 1, 4)) == "46434D50", "entry").when(head.startswith("{"), "mmjson").when(F.lower(head).startswith("data_"), "cif").otherwise("pdb")
 
 

@@ -176,3 +176,10 @@ def test_component_and_small_readers(spark, tmp_path):
     assert [r[0] for r in S.torsion_text(spark, str(tmp_path / "t.txt")).collect()] == [1.5, -2.0]
     assert S.output_target("a/b.pdb", None, "fcz", False) == "a/b.fcz" and S.output_target("a/b/", None, "fcz", True) == "a/b_fcz/"
     assert S.output_target("d", None, "fcz", True, archive=True) == "d.fcz.tar" and S.output_target("d", "e", "fcz", True) == "e" and S.output_target("d", None, "fcz", True, database=True) == "d_db"
+
+
+def test_format_behind_long_comments(spark):
+    comments = b"# a comment\n\n \t\r\n" * 20_000
+    texts = {"cif": comments + b"DATA_x\nloop_", "mmjson": comments + b'{"data_x": {}}', "pdb": comments + b"ATOM      1", "entry": b"FCMP" + comments + b"{"}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()], "kind string, content binary")
+    assert all(r["kind"] == r["found"] for r in rows.select("kind", S.sniff(rows["content"]).alias("found")).collect())
