@@ -176,3 +176,18 @@ def test_trie_counts_match_whole_segmentations(docs, no_docs):
         if found is not None:
             assert r["n_tokens"] == sum(n for _, n in found) and r["log_score"] == pytest.approx(sum(s for s, _ in found))
     assert T.token_counts(docs).count() == docs.count() and T.token_counts(no_docs).count() == 0
+
+
+def test_parts_are_the_whole_tree(spark):
+    """Every context that occurs often enough counts, whatever their number; the tree in parts scores as one in memory."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdeé "), 200)) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    train = [t.encode() for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    for depth in (1, 2, 3, 4):
+        rows = rows_of(train, depth)
+        total = rows.groupby(["d", "context"])["n"].transform("sum")
+        tree = C.grow(rows[(total >= 3) | (rows["d"] == 0)], depth)
+        wanted = dict(enumerate((-tree.bits([t.encode() for t in texts]) * math.log10(2)).tolist()))
+        for r in C.score(docs, depth=depth, least=3, most=10).collect():
+            assert r["score"] == pytest.approx(wanted[r["doc_id"]], abs=0.05)
