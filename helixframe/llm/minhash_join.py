@@ -3,8 +3,9 @@
 Bands and rows follow from the threshold and a target recall. Band hashes find
 candidates; only identifiers move for that. Texts that share a bucket, directly
 or by way of others, meet in units of bounded size, where all pairs are verified
-on their full n-gram sets. Pairs are never rows: a unit returns each text's class
-and number of links.
+on their full n-gram sets. A group of candidates too large for one unit is dealt
+into tiles; two of them meet only where a bucket has members in both. Pairs are
+never rows: a unit returns each text's class and number of links.
 """
 
 from __future__ import annotations
@@ -21,20 +22,23 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table, text_of
 
-N_GRAM, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.999, 32
-#: Texts of one side of a unit; a larger group of candidates is split into tiles that meet two by two.
-TILE = 2048
+N_GRAM, THRESHOLD, RECALL, BANDS = 5, 0.8, 0.999, 32
+#: Texts and n-grams of a tile; a unit has two tiles at most.
+TILE, TILE_GRAMS = 256, 1 << 20
 #: Word hashes that a task keeps; when full they are dropped and gathered anew.
 KEPT = 200_000
 
 
-def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
-    """(bands, rows): the most rows a band can have for pairs at the threshold to meet with the target recall."""
+def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = BANDS) -> tuple[int, int]:
+    """(bands, rows): the most rows a band can have for pairs at the threshold to meet with the target recall.
+
+    There are no more than most bands, unless a threshold so low needs more of one row.
+    """
     for rows in range(16, 0, -1):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
         if bands <= most:
-            return bands, rows
-    return most, 1
+            break
+    return bands, rows
 
 
 def ngrams(text: bytes, n: int, cache: dict[bytes, int]) -> np.ndarray:
@@ -78,21 +82,23 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int, a: np.ndarray, b: np.n
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """row, doc_id, set_key (digest of the n-gram set) and the band hashes (none for an empty set)."""
+    """row, doc_id, set_key (digest of the n-gram set), grams (its size) and the band hashes (none for an empty set)."""
     source = docs.select("row", "doc_id", text_of("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(bands * rows)
         cache: dict[bytes, int] = {}
         for batch in batches:
-            keys, hashes = [], []
+            keys, sizes, hashes = [], [], []
             for text in batch.column(2).to_pylist():
                 g = ngrams(text, n, cache)
                 keys.append(hashlib.sha256(g.tobytes()).digest()[:16])
+                sizes.append(len(g))
                 hashes.append(band_hashes(g, bands, rows, a, b) if len(g) else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["row", "doc_id", "set_key", "bands"])
+            columns = [*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "set_key", "grams", "bands"])
 
-    return source.mapInArrow(run, "row long, doc_id long, set_key binary, bands array<long>")
+    return source.mapInArrow(run, "row long, doc_id long, set_key binary, grams long, bands array<long>")
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -114,6 +120,20 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             return labels
 
 
+def gathered(members: DataFrame, tag: str) -> DataFrame:
+    """Connected components of members (node, hub): rows (node, first, label), first the least hub of the node itself.
+
+    A node hangs on its first hub alone and its other hubs are linked with that one,
+    so what goes through rounds is links between different hubs, not members. A hub
+    that hangs on others has rows as a node of its own.
+    """
+    hung = materialise(members.groupBy("node").agg(F.min("hub").alias("first"), F.collect_set("hub").alias("hubs")), f"{tag}-hung")
+    between = hung.filter(F.size("hubs") > 1).select("first", F.explode("hubs").alias("hub"))
+    links = between.filter("first <> hub").select(F.col("hub").alias("a"), F.col("first").alias("b")).distinct()
+    labels = components(links, tag).withColumnRenamed("node", "first")
+    return hung.select("node", "first").join(labels, "first", "left").select("node", "first", F.coalesce("label", "first").alias("label"))
+
+
 def _links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """For each set the least index it is linked with, directly or not, and the documents it is linked with.
 
@@ -164,6 +184,7 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     tile: int = TILE,
+    tile_grams: int = TILE_GRAMS,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, copy_of, class_id, n_links; with row_col also row and kept.
@@ -187,20 +208,36 @@ def near_duplicates(
     plain = given.filter("doc_id is not null")
     named = materialise(signatures(plain, n, bands, rows), "signatures")
     copies = materialise(
-        named.groupBy("set_key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by("bands", "row").alias("bands"), F.min(F.struct("doc_id", "row")).alias("first")), "copies"
+        named.groupBy("set_key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "row")).alias("first")), "copies"
     )
 
-    # A bucket gives an edge from each member to its least one, found by partial aggregation.
+    # A bucket's least member is its hub, found by partial aggregation.
     places = copies.select("rep", F.explode("bands").alias("bucket"))
-    heads = places.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    candidates = places.join(heads, "bucket").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(candidates, "candidates")
+    hubs = places.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = materialise(places.join(hubs, "bucket").select(F.col("rep").alias("node"), "hub", "bucket"), "places")
+    groups = gathered(shared, "candidates").join(copies.select(F.col("rep").alias("node"), "grams"), "node")
+    groups = materialise(groups, "groups")
 
     # Units of bounded size: a group of candidates, or two tiles of a large one.
-    tiles = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    placed = groups.join(tiles, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    units = placed.select(F.col("node").alias("rep"), "label", "tiles", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    units = units.select("rep", "label", "tiles", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    def tiles_of(by: list[str], name: str) -> DataFrame:
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("grams") / tile_grams)).cast("long")
+        return groups.groupBy(*by).agg(parts.alias(name))
+
+    placed = groups.join(tiles_of(["label"], "tiles"), "label")
+    small = placed.filter("tiles = 1").select(F.col("node").alias("rep"), "label", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).alias("side"))
+    large = placed.filter("tiles > 1").join(tiles_of(["label", "first"], "own_tiles"), ["label", "first"])
+    # Members of one hub stay together, in tiles of their own where they are many.
+    spread = F.xxhash64(F.lit(2), "first", F.pmod(F.xxhash64("node"), F.col("own_tiles")))
+    own = F.when(F.col("own_tiles") > 1, spread).otherwise(F.xxhash64(F.lit(1), "label", F.pmod(F.xxhash64("first"), F.col("tiles"))))
+    large = materialise(large.select(F.col("node").alias("rep"), "label", own.alias("own")), "tiles")
+    units = small
+    if not large.isEmpty():
+        there = shared.join(large, F.col("node") == F.col("rep")).groupBy("bucket", "label").agg(F.array_sort(F.collect_set("own")).alias("owns"))
+        met = there.select("label", F.explode("owns").alias("low"), "owns").select("label", "low", F.explode(F.filter("owns", lambda x: x >= F.col("low"))).alias("high"))
+        met = materialise(met.distinct(), "met")
+        low = large.join(met.withColumn("own", F.col("low")), ["label", "own"]).select("rep", "label", "low", "high", F.lit(0).alias("side"))
+        high = large.join(met.filter("low <> high").withColumn("own", F.col("high")), ["label", "own"]).select("rep", "label", "low", "high", F.lit(1).alias("side"))
+        units = small.unionByName(low).unionByName(high)
     held = units.join(copies.select("rep", "size"), "rep").join(plain.select(F.col("row").alias("rep"), text_of("text").cast("binary").alias("text")), "rep")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
@@ -209,15 +246,13 @@ def near_duplicates(
         sets = [ngrams(bytes(t), n, cache) for t in frame["text"]]
         label, degree = _links(sets, frame["size"].to_numpy(), frame["side"].to_numpy(), bool(frame["low"][0] == frame["high"][0]), threshold)
         reps = frame["rep"].to_numpy()
-        return pd.DataFrame({"rep": reps, "class_id": reps[label], "degree": degree, "tiles": frame["tiles"]})
-
-    verified = materialise(held.groupBy("label", "low", "high").applyInPandas(verify, "rep long, class_id long, degree long, tiles int"), "verified")
-    whole = verified.filter("tiles = 1").select("rep", "class_id")
-    split = verified.filter("tiles > 1")
-    if not split.isEmpty():
-        joined = components(split.select(F.col("rep").alias("a"), F.col("class_id").alias("b")), "classes")
-        whole = whole.union(split.select("rep").distinct().join(joined, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep")))
-    degrees = verified.groupBy("rep").agg(F.sum("degree").alias("degree")).join(whole, "rep")
+        return pd.DataFrame({"rep": reps, "class_id": reps[label], "degree": degree})
+
+    verified = materialise(held.groupBy("label", "low", "high").applyInPandas(verify, "rep long, class_id long, degree long"), "verified")
+    degrees = verified.groupBy("rep").agg(F.sum("degree").alias("degree"))
+    # A text of one unit has its class there already; one of several units joins their classes.
+    joined = gathered(verified.select(F.col("rep").alias("node"), F.col("class_id").alias("hub")), "classes")
+    degrees = degrees.join(joined.select(F.col("node").alias("rep"), F.col("label").alias("class_id")), "rep")
     classes = copies.join(degrees, "rep", "left").select(
         "set_key", "first", F.coalesce("class_id", "rep").alias("class"), (F.coalesce("degree", F.lit(0)) + F.col("size") - 1).alias("n_links")
     )
