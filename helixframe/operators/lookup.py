@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 def names_to_keys(names: DataFrame, lookup: DataFrame, name: str = "name", key: str = "key") -> DataFrame:
     """names with their keys, null where unknown; order and repeats of names stay as they are."""
@@ -46,27 +48,55 @@ def zip_rows(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], name
 
 
 def at_index(df: DataFrame, order: list[str], index: int) -> DataFrame:
-    """The row at a place from 0. Beyond the end there is none."""
+    """The row at a place from 0, or from the end for a negative one. Beyond the ends there is none."""
+    if index < 0:
+        return df.orderBy(*[F.desc(c) for c in order]).offset(-1 - index).limit(1)
     return df.orderBy(*order).offset(index).limit(1)
 
 
+def by_key(index: DataFrame, key: int) -> DataFrame:
+    """The row of a stored key: a filter that reaches the scan, without a sort. An unknown key gives none."""
+    return index.filter(F.col("key") == key)
+
+
+def locate(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """keys with the offset and length that an index has for them; -1 and 0 where it has none."""
+    out = keys.join(index.select("key", "offset", "length"), "key", "left")
+    return out.withColumn("offset", F.coalesce("offset", F.lit(-1).cast("long"))).withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
+
+
+def slices(df: DataFrame, ranges: DataFrame | None, place: str = "pos") -> DataFrame:
+    """Rows in [begin, end) of each range, with the range's columns; all rows where no ranges are given.
+
+    Ranges are cut into blocks of places, so that the join is on equal blocks.
+    """
+    if ranges is None:
+        return df
+    block = 1024
+    cut = ranges.filter("end > begin").withColumn("_block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
+    held = df.withColumn("_block", F.floor(F.col(place) / block))
+    return held.join(cut, "_block").filter((F.col(place) >= F.col("begin")) & (F.col(place) < F.col("end"))).drop("_block")
+
+
 def alternate_order(df: DataFrame, atom: str, atoms: list[str]) -> Column:
     """A sort key: an atom's place in a list; those not in it come last."""
     place = F.array_position(F.array(*[F.lit(a) for a in atoms]), F.col(atom))
     return F.when(place > 0, place).otherwise(len(atoms) + 1)
 
 
-def keyed_offsets(df: DataFrame, order: list[str], length: Column, block: int = 10_000) -> DataFrame:
+def keyed_offsets(df: DataFrame, order: list[str], length: Column) -> DataFrame:
     """Adds key (from 0, in order), offset and length.
 
     Prefix sums in two steps: within ranges of the order, and over the totals of the
-    ranges, so that no task holds all rows.
+    ranges, so that no task holds all rows. The ranges are a column of a written
+    table: both steps see the same ones.
     """
     ranged = df.withColumn("length", length.cast("long")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
     over = W.partitionBy("_range").orderBy(*order)
     own = ranged.withColumn("_n", F.row_number().over(over) - 1).withColumn("_sum", F.sum("length").over(over.rowsBetween(W.unboundedPreceding, 0)) - F.col("length"))
     totals = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum("length").alias("_bytes"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     starts = totals.select("_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_rows", "_bytes")))
     out = own.join(starts, "_range")
     return out.withColumn("key", (F.col("_n") + F.col("_rows0")).cast("long")).withColumn("offset", (F.col("_sum") + F.col("_bytes0")).cast("long")).drop("_range", "_n", "_sum", "_rows0", "_bytes0")

@@ -1,14 +1,24 @@
-"""Keyed databases: one file of entries' bytes, an index of key, offset and length, and a lookup of key and name."""
+"""Keyed databases: one file of entries' bytes, an index of key, offset and length, and a lookup of key and name.
+
+write and read keep one as folders of tables, which is what a cluster should use;
+write_native and read_native as the plain files that other tools read.
+"""
 
 from __future__ import annotations
 
+import os
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lookup import keyed_offsets, missing
+from ..operators import lookup as L
+from .shared import materialise, write_parts
+
+#: Fixed value: the kind of database that the .dbtype file names.
+DBTYPE = struct.pack("<i", 12)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -19,44 +29,85 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="key long, name string, file_no int", mode="FAILFAST", quote="")
 
 
-def layout(entries: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
-    """entries with key, offset and length in order of name."""
-    return keyed_offsets(entries.select(F.col(name).alias("name"), F.col(content).alias("content")), ["name"], F.octet_length("content"))
+def layout(entries: DataFrame, name: str = "name", content: str = "content", key: str | None = None) -> DataFrame:
+    """name, content, key, offset and length of entries, keyed in order of name, or of a key that they have."""
+    held = entries.select(F.col(name).alias("name"), F.col(content).alias("content"), *([F.col(key).cast("long").alias("own")] if key else []))
+    out = L.keyed_offsets(held, ["own" if key else "name"], F.octet_length("content"))
+    return out.withColumn("key", F.col("own")).drop("own") if key else out
+
+
+def write(entries: DataFrame, path: str, name: str = "name", content: str = "content", key: str | None = None, mode: str = "errorifexists") -> None:
+    """Writes entries, index and lookup as folders under path, index and lookup in order of key."""
+    held = materialise(layout(entries, name, content, key), "layout")
+    held.select("key", "content").write.mode(mode).parquet(f"{path}/data")
+    held.select("key", "offset", "length").orderBy("key").write.mode(mode).csv(f"{path}/index", sep="\t")
+    held.select("key", "name", F.lit(0).alias("file_no")).orderBy("key").write.mode(mode).csv(f"{path}/lookup", sep="\t", quote="")
+
 
+def _lines(rows: DataFrame, line, path: str, overwrite: bool) -> None:
+    """A text file of one line for each row, in order of key."""
+    laid = L.keyed_offsets(rows.select(F.col("key").alias("_key"), line.cast("binary").alias("content")), ["_key"], F.octet_length("content"))
+    laid = materialise(laid, "lines")
+    write_parts(laid, path, laid.agg(F.sum("length")).first()[0] or 0, overwrite)
+
+
+def write_native(entries: DataFrame, path: str, name: str = "name", content: str = "content", key: str | None = None, overwrite: bool = False, ended: bool = False) -> None:
+    """Writes path, path.index, path.lookup and path.dbtype; ended: a zero byte after each entry, as texts have.
+
+    Tasks write their own ranges, so path must be on storage that all executors mount.
+    """
+    held = entries.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"), *([F.col(key).alias("own")] if key else []))
+    if ended:
+        held = held.withColumn("content", F.concat("content", F.lit(bytearray(b"\0"))))
+    held = materialise(layout(held, "name", "content", "own" if key else None), "layout")
+    write_parts(held, path, held.agg(F.sum("length")).first()[0] or 0, overwrite)
+    _lines(held, F.concat(F.concat_ws("\t", "key", "offset", "length"), F.lit("\n")), f"{path}.index", overwrite)
+    _lines(held, F.concat(F.concat_ws("\t", F.col("key"), F.coalesce("name", F.lit("")), F.lit("0")), F.lit("\n")), f"{path}.lookup", overwrite)
+    with open(f"{path}.dbtype", "wb") as out:
+        out.write(DBTYPE)
 
-def write(entries: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
-    """Writes entries, index and lookup as folders under path, each in order of key."""
-    held = layout(entries, name, content)
-    held.select("key", "content").write.parquet(f"{path}/data")
-    held.select("key", "offset", "length").orderBy("key").write.csv(f"{path}/index", sep="\t")
-    held.select("key", "name", F.lit(0).alias("file_no")).orderBy("key").write.csv(f"{path}/lookup", sep="\t", quote="")
 
+def is_native(path: str) -> bool:
+    return os.path.exists(f"{path}.dbtype")
 
-def read(spark: SparkSession, path: str, ids: list[str] | None = None, strict: bool = False) -> DataFrame:
+
+def _asked(spark: SparkSession, ids: list[str] | list[int], by_key: bool) -> DataFrame:
+    rows = [(k, int(i) if by_key else str(i)) for k, i in enumerate(ids)]
+    return spark.createDataFrame(rows, "ord long, key long" if by_key else "ord long, name string")
+
+
+def read(spark: SparkSession, path: str, ids: list | None = None, strict: bool = False, by_key: bool = False) -> DataFrame:
     """key, name and content of a written database; with ids, of those, as often and in the order that they are given (column ord).
 
-    Unknown ids are left out; strict makes them an error. No ids are all entries.
+    ids are names, or keys with by_key. Unknown ids are left out; strict makes them an
+    error. No ids are all entries.
     """
     held = spark.read.parquet(f"{path}/data").join(read_lookup(spark, f"{path}/lookup"), "key", "left")
     held = held.select("key", F.coalesce("name", F.lit("")).alias("name"), "content")
     if not ids:
         return held
-    asked = spark.createDataFrame(list(enumerate(ids)), "ord long, name string")
-    if strict and (lost := missing(asked, held, "name").limit(5).collect()):
-        raise KeyError(", ".join(r["name"] for r in lost))
-    return asked.join(held, "name").select("ord", "key", "name", "content")
+    return _of(_asked(spark, ids, by_key), held, strict, by_key).select("ord", "key", "name", "content")
+
 
+def _of(asked: DataFrame, held: DataFrame, strict: bool, by_key: bool) -> DataFrame:
+    column = "key" if by_key else "name"
+    if strict and (lost := L.missing(asked, held, column).limit(5).collect()):
+        raise KeyError(", ".join(str(r[column]) for r in lost))
+    return asked.join(held, column)
 
-def read_native(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
-    """key, name, content of a database of plain files: path, path.index and path.lookup.
+
+def read_native(spark: SparkSession, path: str, ids: list | None = None, strict: bool = False, by_key: bool = False) -> DataFrame:
+    """key, name, content of a database of plain files: path, path.index and path.lookup; ids as for read.
 
     The index is dealt out by offset; each task reads its own ranges, so the data
     file must be on storage that the executors share.
     """
     index = read_index(spark, f"{path}.index").join(read_lookup(spark, f"{path}.lookup"), "key", "left")
-    if ids:
-        index = index.join(spark.createDataFrame([(i,) for i in ids], "name string"), "name")
     index = index.select("key", F.coalesce("name", F.lit("")).alias("name"), "offset", "length")
+    extra = []
+    if ids:
+        index, extra = _of(_asked(spark, ids, by_key), index, strict, by_key), ["ord"]
+    index = index.select(*extra, "key", "name", "offset", "length")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with open(path, "rb") as data:
@@ -65,6 +116,50 @@ def read_native(spark: SparkSession, path: str, ids: list[str] | None = None) ->
                 for offset, length in zip(f["offset"], f["length"], strict=True):
                     data.seek(offset)
                     blobs.append(data.read(length))
-                yield pd.DataFrame({"key": f["key"], "name": f["name"], "content": blobs})
-
-    return index.repartitionByRange("offset").sortWithinPartitions("offset").mapInPandas(run, "key long, name string, content binary")
+                yield pd.DataFrame({**{c: f[c] for c in extra}, "key": f["key"], "name": f["name"], "content": blobs})
+
+    schema = ", ".join([*(f"{c} long" for c in extra), "key long, name string, content binary"])
+    return index.repartitionByRange("offset").sortWithinPartitions("offset").mapInPandas(run, schema)
+
+
+class Database:
+    """A database of either form: len(), entries by place or name, and a context manager; entries() is all of it as a DataFrame."""
+
+    def __init__(self, spark: SparkSession, path: str, ids: list | None = None, strict: bool = False) -> None:
+        self.spark, self.path, self.ids = spark, path, ids
+        self.native = is_native(path)
+        self._lookup = read_lookup(spark, f"{path}.lookup" if self.native else f"{path}/lookup")
+        if strict and ids:
+            _of(_asked(spark, ids, False), self._lookup, True, False)
+
+    def entries(self) -> DataFrame:
+        if self._lookup is None:
+            raise ValueError("the database is closed")
+        return (read_native if self.native else read)(self.spark, self.path, self.ids)
+
+    def __len__(self) -> int:
+        rows = self._lookup if not self.ids else _asked(self.spark, self.ids, False).join(self._lookup, "name")
+        return rows.count()
+
+    def __getitem__(self, item: int | str) -> tuple[str, bytes]:
+        """(name, content) of the entry at a place in order of key, or of the ids asked for; or of a name."""
+        if isinstance(item, str):
+            found = self._lookup.filter(F.col("name") == item).limit(1).collect()
+        elif self.ids:
+            rows = _asked(self.spark, self.ids, False).join(self._lookup, "name").select("ord", "key", "name")
+            found = L.at_index(rows, ["ord"], item).collect()
+        else:
+            found = L.at_index(self._lookup, ["key"], item).collect()
+        if not found:
+            raise (KeyError if isinstance(item, str) else IndexError)(item)
+        row = (read_native if self.native else read)(self.spark, self.path, [found[0]["key"]], by_key=True).first()
+        return row["name"], bytes(row["content"])
+
+    def close(self) -> None:
+        self._lookup = None
+
+    def __enter__(self) -> Database:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
