@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from .operators import entry_codec as E
 from .sources import keyed_db
@@ -29,24 +29,10 @@ def compress(name: str, pdb_content: str, *, anchor_residue_threshold: int = E.I
     return E.encode(_atoms(pdb_content), name, anchor_residue_threshold)
 
 
-def _decimals(value: float, places: int) -> str:
-    units = int(abs(value) * 10**places + 0.5)
-    sign = "-" if value < 0 and units else ""
-    return f"{sign}{units // 10**places}.{units % 10**places:0{places}d}"
-
-
 def decompress(blob: bytes, alternate: bool = False) -> tuple[str, str]:
     """(name, PDB text) of an entry."""
     e = E.parse(blob)
-    a = E.decode(e, alternate)
-    out = [f"TITLE     {e.title[:70]}"] if e.title else []
-    out += [f"TITLE   {k // 70 + 1:2d} {e.title[k : k + 70]}" for k in range(70, len(e.title), 70)]
-    for serial, atom, residue, number, xyz, temp in zip(a.serial, a.atom, a.residue, a.number, a.coord, a.temp, strict=True):
-        name = atom if len(atom) > 3 else f" {atom:3s}"
-        place = "".join(f"{_decimals(v, 3):>8s}" for v in xyz)
-        out.append(f"ATOM  {serial:5d} {name} {residue:>3s} {a.chain}{number:4d}    {place}  1.00{_decimals(temp, 2):>6s}          {atom[0]:>2s}  ")
-    out.append(f"TER   {a.serial[-1] + 1:5d}      {a.residue[-1]:>3s} {a.chain}{a.number[-1]:4d}")
-    return e.title, "\n".join(out) + "\n"
+    return e.title, E.pdb_text(E.decode(e, alternate), e.title)
 
 
 def get_data(given: bytes | str) -> dict:
@@ -67,9 +53,9 @@ def get_data(given: bytes | str) -> dict:
     }
 
 
-def open_database(spark: SparkSession, path: str, ids: list[str] | None = None, err_on_missing: bool = False) -> DataFrame:
-    """Entries of a database; of those ids, or of all where none are given."""
-    return keyed_db.read(spark, path, ids, err_on_missing)
+def open_database(spark: SparkSession, path: str, ids: list[str] | None = None, err_on_missing: bool = False) -> keyed_db.Database:
+    """A database; of those ids, or of all where none are given. It has a length, entries by place, and closes itself in a with statement."""
+    return keyed_db.Database(spark, path, ids, err_on_missing)
 
 
 def split_pdb_by_chain(text: str) -> list[str]:

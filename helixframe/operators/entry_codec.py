@@ -4,7 +4,7 @@ A fragment's backbone becomes quantised torsions and bond angles with stored anc
 residues, its side chains quantised torsions, its confidence one byte a residue.
 Decoding places atom after atom, forwards and backwards between anchors, and blends
 the two. Entries are independent, so this runs in Arrow batches over (name, atoms)
-rows; within an entry the steps are numpy over all residues where they allow it.
+rows; the entries of a batch are decoded together, each step for all of them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import C_N, CA_C, LETTERS, N_CA, NAMES, PRO_N_CA, dictionary
+from .report import validity_message
 
 # The format's mark, bins of each series in the header's order, and the anchor interval by default.
 MAGIC = b"FCMP"
@@ -172,8 +173,8 @@ def encode(a: Atoms, title: str, interval: int = INTERVAL) -> bytes:
     )
 
 
-def parse(blob: bytes) -> Entry:
-    """The fields of an entry's bytes."""
+def parse(blob: bytes, whole: bool = True) -> Entry:
+    """The fields of an entry's bytes. Unless it has to be whole, its last series may be shorter than its header says."""
     if blob[:4] != MAGIC:
         raise EntryError("not an entry")
     if len(blob) < 4 + HEADER.size:
@@ -181,12 +182,13 @@ def parse(blob: bytes) -> Entry:
     n, n_atom, number, serial, n_anchor, chain, n_side, _, _, n_title, *floats = HEADER.unpack_from(blob, 4)
     at = 4 + HEADER.size
     need = 97 + 40 * n_anchor + n_title + 9 * n + n_side
-    if len(blob) < need:
+    if len(blob) < (need if whole else 4 + HEADER.size + 40 * n_anchor + n_title + 13):
         raise EntryError("too short")
 
-    def take(count: int, kind: str) -> np.ndarray:
+    def take(count: int, kind: str, unit: int = 1) -> np.ndarray:
         nonlocal at
-        out = np.frombuffer(blob, kind, count, at)
+        there = (len(blob) - at) // np.dtype(kind).itemsize // unit * unit
+        out = np.frombuffer(blob, kind, min(count, max(there, 0)), min(at, len(blob)))
         at += out.nbytes
         return out
 
@@ -195,11 +197,13 @@ def parse(blob: bytes) -> Entry:
     coord = take(9 * n_anchor, "<f4").reshape(-1, 3, 3).astype(float)
     has_oxt = bool(take(1, "u1")[0])
     oxt = take(3, "<f4").astype(float)
-    w = take(8 * n, "u1").reshape(-1, 8).astype(np.int64)
+    w = take(8 * n, "u1", 8).reshape(-1, 8).astype(np.int64)
     side = take(n_side, "u1").astype(np.int64)
-    temp_low, temp_step = take(2, "<f4").astype(float)
+    temp_low, temp_step = np.append(take(2, "<f4").astype(float), (0.0, 0.0))[:2]
     temp = take(n, "u1").astype(np.int64)
     bins = {"omega": (w[:, 0] & 7) << 8 | w[:, 1], "psi": w[:, 2] << 4 | w[:, 3] >> 4, "phi": (w[:, 3] & 15) << 8 | w[:, 4], "ca_c_n": w[:, 5], "c_n_ca": w[:, 6], "n_ca_c": w[:, 7]}
+    if whole and (n < 2 or (np.diff(anchors) < 1).any() or not n_anchor or anchors[0] != 0 or anchors[-1] != n - 1):
+        raise EntryError("anchors that do not fit the residues")
     return Entry(
         title, chain.decode("latin-1"), number, serial, n_atom, w[:, 0] >> 3, anchors, coord, oxt if has_oxt else None,
         np.array(floats[:6]), np.array(floats[6:]), bins, side, float(temp_low), float(temp_step), temp,
@@ -218,63 +222,147 @@ def place(a: np.ndarray, b: np.ndarray, c: np.ndarray, length, angle, twist) ->
     return c + axis * x[..., :1] + m * x[..., 1:2] + n * x[..., 2:]
 
 
-def decode_backbone(e: Entry) -> np.ndarray:
-    """(residues, 3, 3): N, CA and C. Lengths and angles come in order of placing: N, CA, C of the next residue."""
-    n = len(e.codes)
-    twist = np.stack([e.series("psi"), e.series("omega"), e.series("phi")], 1)[: n - 1]
-    bend = np.stack([e.series("ca_c_n"), e.series("c_n_ca"), e.series("n_ca_c")], 1)[: n - 1]
-    length = np.tile([C_N, N_CA, CA_C], (n - 1, 1))
-    length[[x == "PRO" for x in e.names[: n - 1]], 1] = PRO_N_CA
-    out, head = [], e.anchor_coord[0]
-    last = len(e.anchors) - 2
-    for s in range(last + 1):
-        a, b = int(e.anchors[s]), int(e.anchors[s + 1])
-        t, g, r = (x[a:b].ravel() for x in (twist, bend, length))
-        forward = np.empty((3 + len(t), 3))
-        forward[:3] = head
-        for i in range(len(t)):
-            forward[i + 3] = place(forward[i], forward[i + 1], forward[i + 2], r[i], g[i], t[i])
-        # Backwards from the next anchor, with the angles that the forward points have.
-        angles = bond_angles(forward)[::-1]
-        back = forward[::-1].copy()
-        back[:3] = e.anchor_coord[s + 1][::-1]
-        kinds = np.tile([0, 1, 2], len(forward) // 3)[::-1]
-        reverse_length = np.array([C_N, N_CA, CA_C])  # by the atom that comes before: C after N, N after CA, CA after C
-        t = t[::-1]
-        for i in range(len(t)):
-            back[i + 3] = place(back[i], back[i + 1], back[i + 2], reverse_length[kinds[i + 2]], angles[i + 1], t[i])
-        back = back[::-1]
-        k = np.arange(len(forward))[:, None]
-        mixed = (forward * (len(forward) - k) + back * k) / len(forward)
-        head = mixed[-3:]
-        out.append(mixed if s == last else mixed[:-3])
-    return np.concatenate(out).reshape(-1, 3, 3)
-
-
-def decode(e: Entry, alternate: bool = False) -> Atoms:
+def _walk(start: np.ndarray, length: np.ndarray, angle: np.ndarray, twist: np.ndarray) -> np.ndarray:
+    """Points from three first ones on, (m, 3, 3), by rows of (m, steps) lengths, angles and torsions: (m, 3 + steps, 3)."""
+    out = np.empty((len(start), 3 + length.shape[1], 3))
+    out[:, :3] = start
+    for i in range(length.shape[1]):
+        out[:, i + 3] = place(out[:, i], out[:, i + 1], out[:, i + 2], length[:, i], angle[:, i], twist[:, i])
+    return out
+
+
+def decode_backbones(entries: list[Entry]) -> list[np.ndarray]:
+    """(residues, 3, 3) of each entry: N, CA and C. Lengths and angles come in order of placing: N, CA, C of the next residue.
+
+    The k-th stretches between anchors of all entries are placed together, those of
+    one length in one array.
+    """
+    series = []
+    for e in entries:
+        n = len(e.codes)
+        length = np.tile([C_N, N_CA, CA_C], (n - 1, 1))
+        length[[x == "PRO" for x in e.names[: n - 1]], 1] = PRO_N_CA
+        twist = np.stack([e.series("psi"), e.series("omega"), e.series("phi")], 1)[: n - 1]
+        bend = np.stack([e.series("ca_c_n"), e.series("c_n_ca"), e.series("n_ca_c")], 1)[: n - 1]
+        series.append((twist, bend, length))
+    out: list[list[np.ndarray]] = [[] for _ in entries]
+    heads = [e.anchor_coord[0] for e in entries]
+    # By the atom that comes before in reverse: N after CA, CA after C, C after the next N.
+    back_length = np.array([C_N, N_CA, CA_C])
+    for s in range(max((len(e.anchors) for e in entries), default=1) - 1):
+        sizes: dict[int, list[int]] = {}
+        for k, e in enumerate(entries):
+            if s < len(e.anchors) - 1:
+                sizes.setdefault(int(e.anchors[s + 1] - e.anchors[s]), []).append(k)
+        for size, of in sizes.items():
+            t, g, r = (np.stack([series[k][x][int(entries[k].anchors[s]) : int(entries[k].anchors[s + 1])].ravel() for k in of]) for x in range(3))
+            forward = _walk(np.stack([heads[k] for k in of]), r, g, t)
+            # Backwards from the next anchor, with the angles that the forward points have.
+            a, b = forward[:, :-2] - forward[:, 1:-1], forward[:, 2:] - forward[:, 1:-1]
+            angles = np.degrees(np.arccos(np.clip((a * b).sum(-1) / np.sqrt((a**2).sum(-1) * (b**2).sum(-1)), -1, 1)))[:, ::-1]
+            kinds = np.tile([0, 1, 2], size + 1)[::-1][2 : 2 + 3 * size]
+            ends = np.stack([entries[k].anchor_coord[s + 1][::-1] for k in of])
+            back = _walk(ends, np.broadcast_to(back_length[kinds], t.shape), angles[:, 1 : 1 + t.shape[1]], t[:, ::-1])[:, ::-1]
+            n = forward.shape[1]
+            mixed = (forward * (n - np.arange(n))[:, None] + back * np.arange(n)[:, None]) / n
+            for k, points in zip(of, mixed, strict=True):
+                heads[k] = points[-3:]
+                out[k].append(points if s == len(entries[k].anchors) - 2 else points[:-3])
+    return [np.concatenate(x).reshape(-1, 3, 3) for x in out]
+
+
+def decode(e: Entry, alternate: bool = False, number_oxt: bool = True) -> Atoms:
     """All atoms of an entry, numbered on from its first atom and residue."""
-    backbone = decode_backbone(e)
+    return decode_many([e], alternate, number_oxt)[0]
+
+
+def decode_many(entries: list[Entry], alternate: bool = False, number_oxt: bool = True) -> list[Atoms]:
+    """All atoms of each entry, numbered on from its first atom and residue.
+
+    number_oxt: the last oxygen has its residue's number; else the count of residues,
+    as the format's first implementation has it.
+    """
     known = dictionary()
-    atoms: list[dict[str, np.ndarray]] = [dict(zip(("N", "CA", "C"), x, strict=True)) for x in backbone]
-    side = -180 + e.side * (360 / 255)
-    first = np.concatenate([[0], np.cumsum([len(known[x].side) for x in e.names])])
-    # Residues of one kind grow their side chains together.
-    for kind in set(e.names):
-        of = [k for k, x in enumerate(e.names) if x == kind]
+    backbones = decode_backbones(entries)
+    names = [x for e in entries for x in e.names]
+    points = np.concatenate([*backbones, np.zeros((0, 3, 3))])
+    side = np.concatenate([-180 + e.side * (360 / 255) for e in entries] or [np.zeros(0)])
+    coords = with_side_chains(points, names, side, alternate)
+    orders = {x: (known[x].alternate if alternate else known[x].atoms) for x in set(names)}
+    out, at = [], 0
+    for e in entries:
+        n = len(e.codes)
+        counts = [len(orders[x]) for x in e.names]
+        atom = [a for x in e.names for a in orders[x]]
+        coord, number = coords[at : at + n], np.repeat(e.first_number + np.arange(n), counts)
+        residue, temp = np.repeat(np.array(e.names), counts), np.repeat(e.temperatures(), counts)
+        if e.oxt is not None:
+            atom, coord = [*atom, "OXT"], [*coord, e.oxt[None]]
+            number, residue, temp = np.append(number, e.first_number + n - 1 if number_oxt else n), np.append(residue, e.names[-1]), np.append(temp, e.temperatures()[-1])
+        at += n
+        out.append(Atoms(np.array(atom), residue, number, e.first_serial + np.arange(len(atom)), np.concatenate(coord), temp, e.chain))
+    return out
+
+
+def with_side_chains(backbone: np.ndarray, names: list[str], twists: np.ndarray, alternate: bool = False) -> list[np.ndarray]:
+    """Coordinates of the atoms of each residue, from its N, CA and C and its side chain's torsions, which follow one another.
+
+    Residues of one kind grow their side chains together.
+    """
+    known = dictionary()
+    first = np.cumsum([0, *(len(known[x].side) for x in names)])
+    coords: list[np.ndarray] = [np.zeros((0, 3))] * len(names)
+    kinds = np.array(names, object)
+    for kind in set(names):
+        of = np.flatnonzero(kinds == kind)
+        held = {a: backbone[of, j] for j, a in enumerate(("N", "CA", "C"))}
         for j, s in enumerate(known[kind].side):
-            p, q, r = (np.stack([atoms[k][x] for k in of]) for x in s.before)
-            placed = place(p, q, r, np.full(len(of), s.length), np.full(len(of), s.angle), side[first[of] + j])
-            for k, x in zip(of, placed, strict=True):
-                atoms[k][s.name] = x
-    temp = e.temperatures()
-    rows = []
-    for k, held in enumerate(atoms):
-        order = known[e.names[k]].alternate if alternate else known[e.names[k]].atoms
-        rows += [(x, e.names[k], e.first_number + k, held[x], temp[k]) for x in order]
-    if e.oxt is not None:
-        rows.append(("OXT", e.names[-1], len(e.codes), e.oxt, temp[-1]))
-    atom, residue, number, coord, t = zip(*rows, strict=True)
-    return Atoms(np.array(atom), np.array(residue), np.array(number), e.first_serial + np.arange(len(rows)), np.stack(coord), np.array(t), e.chain)
+            p, q, r = (held[x] for x in s.before)
+            held[s.name] = place(p, q, r, np.full(len(of), s.length), np.full(len(of), s.angle), twists[first[of] + j])
+        order = known[kind].alternate if alternate else known[kind].atoms
+        for k, xyz in zip(of.tolist(), np.stack([held[x] for x in order], 1), strict=True):
+            coords[k] = xyz
+    return coords
+
+
+def decoded(blobs: list[bytes | None], alternate: bool = False, checked: bool = False) -> list[tuple[Entry | None, Atoms | None, str | None]]:
+    """(entry, atoms, error) of each entry's bytes; checked: those that fail a check have what is said of it as error."""
+    out: list[tuple] = []
+    for b in blobs:
+        try:
+            if b is None:
+                raise EntryError("no entry")
+            if checked and (outcome := check(bytes(b))) != "SUCCESS":
+                raise EntryError(outcome)
+            e = parse(bytes(b))
+            if len(e.side) != sum(len(dictionary()[x].side) for x in e.names):
+                raise EntryError("side chains that do not fit the residues")
+            out.append((e, None, None))
+        except (EntryError, KeyError) as x:
+            out.append((None, None, str(x) if isinstance(x, EntryError) else "unknown residue"))
+    good = [k for k, x in enumerate(out) if x[0] is not None]
+    for k, atoms in zip(good, decode_many([out[k][0] for k in good], alternate), strict=True):
+        out[k] = (out[k][0], atoms, None)
+    return out
+
+
+def decimals(value: float, places: int) -> str:
+    """Fixed decimals, a half away from zero, without a negative zero."""
+    units = int(abs(value) * 10**places + 0.5)
+    sign = "-" if value < 0 and units else ""
+    return f"{sign}{units // 10**places}.{units % 10**places:0{places}d}"
+
+
+def pdb_text(a: Atoms, title: str = "") -> str:
+    """TITLE records where there is a title, ATOM records and a TER."""
+    out = [f"TITLE     {title[:70]}"] if title else []
+    out += [f"TITLE   {k // 70 + 1:2d} {title[k : k + 70]}" for k in range(70, len(title), 70)]
+    for serial, atom, residue, number, xyz, temp in zip(a.serial.tolist(), a.atom.tolist(), a.residue.tolist(), a.number.tolist(), a.coord.tolist(), a.temp.tolist(), strict=True):
+        name = atom if len(atom) > 3 else f" {atom:3s}"
+        x, y, z = (decimals(v, 3) for v in xyz)
+        out.append(f"ATOM  {serial:5d} {name} {residue:>3s} {a.chain}{number:4d}    {x:>8s}{y:>8s}{z:>8s}  1.00{decimals(temp, 2):>6s}          {atom[0]:>2s}  ")
+    out.append(f"TER   {a.serial[-1] + 1:5d}      {a.residue[-1]:>3s} {a.chain}{a.number[-1]:4d}")
+    return "\n".join(out) + "\n"
 
 
 def features(e: Entry) -> dict:
@@ -290,14 +378,16 @@ def features(e: Entry) -> dict:
 
 
 def check(blob: bytes) -> str:
-    """The outcome of a check: a code of report.VALIDITY."""
-    e = parse(blob)
-    wanted = sum(len(dictionary()[x].side) for x in e.names)
-    if len(e.bins["phi"]) != len(e.codes):
+    """The outcome of a check: a code of report.VALIDITY. Bytes too short for a header and its anchors raise EntryError."""
+    e = parse(blob, whole=False)
+    n = HEADER.unpack_from(blob, 4)[0]
+    known = dictionary()
+    wanted = sum(len(known[x].side) for x in e.names if x in known)
+    if len(e.bins["phi"]) != n:
         return "E_BACKBONE_COUNT_MISMATCH"
     if len(e.side) != wanted:
         return "E_SIDECHAIN_COUNT_MISMATCH"
-    if len(e.temp) != len(e.codes):
+    if len(e.temp) != n:
         return "E_TEMP_FACTOR_COUNT_MISMATCH"
     if not any(e.bins[k].any() for k in SERIES):
         return "E_EMPTY_BACKBONE_ANGLE"
@@ -319,44 +409,92 @@ def compress(atoms: DataFrame, keys: list[str], title: str, interval: int = INTE
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in atoms.select(*keys).schema.fields) + ", blob binary, error string"
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        try:
-            out = (encode(_atoms_of(frame), str(frame[title].iloc[0]), interval), None)
-        except EntryError as e:
-            out = (None, str(e))
-        return pd.DataFrame([(*key, *out)], columns=[*keys, "blob", "error"])
+        return pd.DataFrame([(*key, *encoded(frame, str(frame[title].iloc[0]), interval))], columns=[*keys, "blob", "error"])
 
     return atoms.groupBy(*keys).applyInPandas(run, schema)
 
 
+def encoded(frame: pd.DataFrame, title: str, interval: int) -> tuple[bytes | None, str | None]:
+    """(entry, error) of a fragment's atom rows."""
+    try:
+        return encode(_atoms_of(frame), title, interval), None
+    except EntryError as e:
+        return None, str(e)
+
+
+#: Entries that are decoded together.
+TOGETHER = 256
+
+
+def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for k in range(0, len(f), TOGETHER):
+            yield f.iloc[k : k + TOGETHER]
+
+
 def decompress(entries: DataFrame, name: str = "name", blob: str = "blob", alternate: bool = False) -> DataFrame:
-    """name and its atoms: pos, atom_index, atom, residue, chain, residue_index, x, y, z, temp_factor."""
-    schema = "name string, pos long, atom_index int, atom string, residue string, chain string, residue_index int, x double, y double, z double, temp_factor double"
+    """name and its atoms: pos, atom_index, atom, residue, chain, residue_index, x, y, z, temp_factor, error.
+
+    Bytes that are no whole entry give one row, with an error and no atom.
+    """
+    schema = "name string, pos long, atom_index int, atom string, residue string, chain string, residue_index int, x double, y double, z double, temp_factor double, error string"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for n, b in zip(f["name"], f["blob"], strict=True):
-                a = decode(parse(bytes(b)), alternate)
-                yield pd.DataFrame(
-                    {"name": n, "pos": np.arange(len(a.atom)), "atom_index": a.serial, "atom": a.atom, "residue": a.residue, "chain": a.chain, "residue_index": a.number,
-                     "x": a.coord[:, 0], "y": a.coord[:, 1], "z": a.coord[:, 2], "temp_factor": a.temp}
+        for f in _entries(frames):
+            parts = []
+            for n, (_, a, error) in zip(f["name"], decoded(f["blob"].tolist(), alternate), strict=True):
+                if error is not None:
+                    parts.append(pd.DataFrame([(n, *[None] * 10, error)], columns=columns).astype({"pos": "Int64", "atom_index": "Int32", "residue_index": "Int32", **dict.fromkeys(("x", "y", "z", "temp_factor"), float)}))
+                    continue
+                parts.append(
+                    pd.DataFrame(
+                        {"name": n, "pos": np.arange(len(a.atom)), "atom_index": a.serial, "atom": a.atom, "residue": a.residue, "chain": a.chain, "residue_index": a.number,
+                         "x": a.coord[:, 0], "y": a.coord[:, 1], "z": a.coord[:, 2], "temp_factor": a.temp, "error": None}
+                    ).astype({"pos": "Int64", "atom_index": "Int32", "residue_index": "Int32"})
                 )
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     return entries.select(F.col(name).alias("name"), F.col(blob).alias("blob")).mapInPandas(run, schema)
 
 
+def texts(entries: DataFrame, alternate: bool = False, titles: bool = False, checked: bool = False) -> DataFrame:
+    """entries without blob, with text and error: the PDB text of each entry, one row for each."""
+    kept = [f for f in entries.schema.fields if f.name not in ("blob", "text", "error")]
+    names = [f.name for f in kept]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string, error string"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _entries(frames):
+            found = decoded(f["blob"].tolist(), alternate, checked)
+            out = f[names].copy()
+            out["text"] = [None if a is None else pdb_text(a, e.title if titles else "") for e, a, _ in found]
+            out["error"] = [x[2] for x in found]
+            yield out
+
+    done = entries.select(*names, "blob").mapInPandas(run, schema)
+    return done.withColumn("error", F.coalesce(validity_message(F.col("error")), "error"))
+
+
 def extract(entries: DataFrame, name: str = "name", blob: str = "blob") -> DataFrame:
     """name, title, n_residue, sequence, temps (array) and outcome of each entry; bytes that are none have an error as outcome."""
-    schema = "name string, title string, n_residue int, sequence string, temps array<double>, outcome string"
+    schema = "name string, title string, n_residue int, sequence string, temps array<double>, outcome string, first_residue string, last_residue string, n_side long"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for n, b in zip(f["name"], f["blob"], strict=True):
                 try:
-                    e = parse(bytes(b))
-                    rows.append((n, e.title, len(e.codes), "".join(LETTERS[c] for c in e.codes), e.temperatures().tolist(), check(bytes(b))))
+                    if b is None:
+                        raise EntryError("no entry")
+                    outcome = check(bytes(b))
+                    e = parse(bytes(b), whole=outcome == "SUCCESS")
+                    letters = "".join(LETTERS[c] if c < len(LETTERS) else "X" for c in e.codes)
+                    rows.append((n, e.title, len(e.codes), letters, e.temperatures().tolist(), outcome, letters[:1], letters[-1:], len(e.side)))
                 except EntryError as x:
-                    rows.append((n, None, None, None, None, str(x)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"n_residue": "Int32"})
+                    rows.append((n, None, None, None, None, str(x), None, None, None))
+            yield pd.DataFrame(rows, columns=columns).astype({"n_residue": "Int32", "n_side": "Int64"})
 
     return entries.select(F.col(name).alias("name"), F.col(blob).alias("blob")).mapInPandas(run, schema)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import base_name, confidence_digits, without_extension
+from ..functions.strings import confidence_digits
 from ..operators import entry_codec as E
 from ..operators import lookup as L
 from ..operators import report as P
@@ -15,33 +19,55 @@ from ..sources import structures as S
 
 def fragments(atoms: DataFrame) -> DataFrame:
     """Atom rows with segment (run of a chain, from its first N) and fragment (no gap in numbering at N atoms)."""
-    deduped = M.drop_adjacent_repeats(atoms, ["name", "model"], ["pos"], "atom")
-    chains = M.chain_segments(deduped, ["name", "model"], ["pos"], "chain", F.col("atom") == "N")
-    return M.gap_fragments(chains, ["name", "model", "segment"], ["pos"], "residue_index", F.col("atom") == "N")
-
-
-def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinuous: bool = False, hetero: bool = False) -> DataFrame:
-    """name (of the output), source, blob and error for each chain fragment of texts (name, content)."""
-    everything = fragments(S.atoms(texts).filter(F.lit(hetero) | (F.col("record") == "ATOM")))
-    rows = M.only_whole(everything, ["name", "model", "segment"]) if skip_discontinuous else everything
-    keys = ["name", "model", "segment", "fragment"]
-    blobs = E.compress(rows.withColumn("title", without_extension(base_name(F.col("name")))), keys, "title", interval)
-    facts = everything.groupBy("name", "model", "segment").agg(F.first("chain").alias("chain"), (F.max("fragment") + 1).alias("fragments"))
-    facts = facts.join(everything.groupBy("name").agg(F.count_distinct("model", "segment").alias("chains")), "name")
-    stem = without_extension(base_name(F.col("name")))
-    out = blobs.join(facts, ["name", "model", "segment"])
-    return out.select(S.output_name(stem, F.col("chain"), F.col("chains"), F.col("fragment"), F.col("fragments")).alias("name"), F.col("name").alias("source"), "blob", "error")
-
-
-def decompress_texts(entries: DataFrame, alternate: bool = False) -> DataFrame:
-    """name and PDB text of entries (name, blob): ATOM records and a TER."""
-    rows = E.decompress(entries, alternate=alternate)
-    line = P.atom_line(*(F.col(c) for c in ("atom_index", "atom", "residue", "chain", "residue_index", "x", "y", "z", "temp_factor")))
-    body = P.joined(rows, ["name"], ["pos"], line, "\n", "body")
-    last = rows.groupBy("name").agg(F.max_by(F.struct("atom_index", "residue", "chain", "residue_index"), "pos").alias("e"))
-    e = F.col("e")
-    ter = F.concat(F.lit("TER   "), F.lpad((e["atom_index"] + 1).cast("string"), 5, " "), F.lit("      "), F.lpad(e["residue"], 3, " "), F.lit(" "), e["chain"], F.lpad(e["residue_index"].cast("string"), 4, " "))
-    return body.join(last, "name").select("name", F.concat("body", F.lit("\n"), ter, F.lit("\n")).alias("text"))
+    deduped = M.drop_adjacent_repeats(atoms, ["entry", "model"], ["pos"], "atom")
+    chains = M.chain_segments(deduped, ["entry", "model"], ["pos"], "chain", F.col("atom") == "N")
+    return M.gap_fragments(chains, ["entry", "model", "segment"], ["pos"], "residue_index", F.col("atom") == "N")
+
+
+def _stem(name: str) -> str:
+    """A file's name without folders and ending."""
+    return re.sub(r"\.[^.]*$", "", re.split(r"[/\\]", name)[-1])
+
+
+def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinuous: bool = False, hetero: bool = False, titled: bool = False) -> DataFrame:
+    """name (of the output), source (the input's name), entry, blob and error for each chain fragment of texts (name, content and, where names repeat, entry).
+
+    A text without a fragment, be it null, empty, broken or without atoms, gives one
+    row with an error. titled: the entry's title is what the text says it is; else, and
+    where it says nothing, its file's name. The fragments of one text come together
+    once, beside its row.
+    """
+    keyed = S._keyed(texts)
+    rows = fragments(S.atoms(keyed).filter(F.lit(hetero) | (F.col("record") == "ATOM")))
+    named = S.titles(keyed) if titled else keyed.select("entry", "name", F.lit("").alias("title"))
+
+    def run(given: pd.DataFrame, atoms: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not len(given):
+            return pd.DataFrame(out, columns=["name", "source", "entry", "blob", "error"])
+        entry, name, title = given.iloc[0][["entry", "name", "title"]]
+        stem = _stem(name or "")
+        segments = {k: x for k, x in atoms.groupby(["model", "segment"], sort=True)}
+        for (_, _), own in segments.items():
+            pieces = dict(list(own.groupby("fragment", sort=True)))
+            if skip_discontinuous and len(pieces) > 1:
+                continue
+            for fragment, part in pieces.items():
+                parts = (stem, str(part["chain"].iloc[0]) if len(segments) > 1 else "", f"_{fragment}" if len(pieces) > 1 else "")
+                out.append(("".join(parts) + ".fcz", name, entry, *E.encoded(part, title or stem, interval)))
+        if not out:
+            out.append((stem + ".fcz", name, entry, None, "no atoms that can be encoded" if not len(atoms) else "discontinuous"))
+        return pd.DataFrame(out, columns=["name", "source", "entry", "blob", "error"])
+
+    return named.groupBy("entry").cogroup(rows.groupBy("entry")).applyInPandas(run, "name string, source string, entry string, blob binary, error string")
+
+
+def decompress_texts(entries: DataFrame, alternate: bool = False, check: bool = False, titles: bool = False) -> DataFrame:
+    """entries (name, blob and others) without blob, with PDB text (ATOM records and a TER) and error, one row for each.
+
+    check: entries that fail a check get what is said of it as error, and no text.
+    """
+    return E.texts(entries, alternate, titles, check)
 
 
 def extract_plddt(entries: DataFrame, digits: int = 1) -> DataFrame:
@@ -56,9 +82,20 @@ def extract_fasta(entries: DataFrame, use_title: bool = False) -> DataFrame:
     return E.extract(entries).select("name", P.fasta(F.col("title" if use_title else "name"), F.col("sequence")).alias("record"))
 
 
+def extract_records(entries: DataFrame, sequences: bool = False, digits: int = 1, use_title: bool = False) -> DataFrame:
+    """name and record: what an extraction writes of each entry, headed by its name or title. Bytes that are no entry have none."""
+    if sequences:
+        return extract_fasta(entries, use_title).filter("record is not null")
+    rows = extract_plddt(entries, digits)
+    head = F.col("title" if use_title else "name")
+    record = P.fasta(head, F.col("data")) if digits == 1 else F.concat(P.tsv(head, F.col("n_residue"), F.col("data")), F.lit("\n"))
+    return rows.filter("n_residue is not null").select("name", record.alias("record"))
+
+
 def check_entries(entries: DataFrame) -> DataFrame:
     """name, outcome and what is said of it."""
-    return E.extract(entries).select("name", "outcome", P.validity_message(F.col("outcome")).alias("message"))
+    rows = E.extract(entries)
+    return rows.select("name", "outcome", F.coalesce(P.validity_message(F.col("outcome")), F.concat(F.lit("is no entry: "), "outcome")).alias("message"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -67,3 +104,14 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = F.col("left"), F.col("right")
     squares = sum(((x[k] - y[k]) ** 2 for k in ("y", "z")), (x["x"] - y["x"]) ** 2)
     return P.rmsd_report(pairs, ["name"], squares, x["atom"].isin("N", "CA", "C"))
+
+
+def each_entry(entries: DataFrame, process: Callable[[str, bytes], tuple], schema: str) -> DataFrame:
+    """name and what a function of name and bytes returns for each entry (name, content), in columns of a schema."""
+    columns = ["name", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(n, *process(n, bytes(c))) for n, c in zip(f["name"], f["content"], strict=True)], columns=columns)
+
+    return entries.select("name", "content").mapInPandas(run, f"name string, {schema}")

@@ -7,6 +7,7 @@ import io
 import json
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,42 +16,90 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import base_name, cut, hybrid_number, without_extension
+from ..operators.lookup import keyed_offsets
+from .shared import materialise, write_parts
 
-ATOM_SCHEMA = "name string, model int, pos long, atom_index long, atom string, altloc string, residue string, chain string, residue_index int, icode string, x double, y double, z double, occupancy double, temp_factor double, record string"
+#: entry tells inputs apart, whatever their names.
+ATOM_SCHEMA = "entry string, name string, model int, pos long, atom_index long, atom string, altloc string, residue string, chain string, residue_index int, icode string, x double, y double, z double, occupancy double, temp_factor double, record string"
 _COLUMNS = [c.split()[0] for c in ATOM_SCHEMA.split(", ")]
 
 
+#: Bytes of content that a batch of rows holds before it is handed on.
+BATCH_BYTES = 16 << 20
+
+
 def entries(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """path, name, content of files; gzipped ones are opened, archives give an entry for each regular member."""
+    """path, entry, name, content of files; gzipped ones are opened, archives give an entry for each regular member.
+
+    entry is the path, with the member's name and place for a member of an archive: it tells
+    files of one name apart. A file that cannot be opened is an entry without content.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
+    return opened(files)
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """As entries, of rows (path, content)."""
+
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for k, (name, data, inner) in enumerate(members(path, content)):
+                yield path, f"{path}#{k}:{name}" if inner else path, name, data
+        except (OSError, EOFError, tarfile.TarError, zlib.error):
+            yield path, path, re.split(r"[/\\]", path)[-1], None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for f in frames:
             for path, content in zip(f["path"], f["content"], strict=True):
-                for name, data in members(path, bytes(content)):
-                    yield pd.DataFrame({"path": [path], "name": [name], "content": [data]})
+                for row in rows(path, bytes(content)):
+                    held.append(row)
+                    size += len(row[3] or b"")
+                    if size > BATCH_BYTES:
+                        yield pd.DataFrame(held, columns=["path", "entry", "name", "content"])
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["path", "entry", "name", "content"])
 
-    return files.mapInPandas(run, "path string, name string, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, entry string, name string, content binary")
 
 
-def members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    """(name, bytes) of a file, or of each regular member of an archive; members without a name go."""
+def members(path: str, content: bytes) -> Iterator[tuple[str, bytes, bool]]:
+    """(name, bytes, whether it is a member) of a file, or of each regular member of an archive; members without a name go."""
     file = re.split(r"[/\\]", path)[-1]
     if re.search(r"\.(tar|tar\.gz|tgz)$", file):
         with tarfile.open(fileobj=io.BytesIO(content)) as archive:
             for m in archive:
                 if m.isreg() and m.name:
-                    yield m.name, archive.extractfile(m).read()
+                    yield m.name, archive.extractfile(m).read(), True
     elif file.endswith(".gz"):
-        yield file[:-3], gzip.decompress(content)
+        yield file[:-3], gzip.decompress(content), False
     else:
-        yield file, content
+        yield file, content, False
+
 
+#: Endings that make a line of a file list a file of its own; all other lines are inputs, such as folders or archives.
+FILE_ENDINGS = (".pdb", ".pdb.gz", ".cif", ".cif.gz", ".fcz")
+#: Paths of a list that are given to one scan at a time.
+LISTED = 10_000
 
-def file_list(spark: SparkSession, path: str) -> DataFrame:
-    """entries of the files that a text file lists, a path in each line."""
-    listed = [r["value"].strip() for r in spark.read.text(path).toLocalIterator()]
-    return entries(spark, [p for p in listed if p])
+
+def listed_paths(lines: list[str]) -> tuple[list[str], list[str]]:
+    """(files, other inputs) of a list's lines."""
+    lines = [x.strip() for x in lines if x.strip()]
+    return [x for x in lines if x.endswith(FILE_ENDINGS)], [x for x in lines if not x.endswith(FILE_ENDINGS)]
+
+
+def file_list(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """entries of the inputs that a text file lists, a path in each line. The paths alone pass the driver, which has to plan the scan."""
+    files, others = listed_paths([r["value"] for r in spark.read.text(path).toLocalIterator()])
+    if not files + others:
+        return spark.createDataFrame([], "path string, entry string, name string, content binary")
+    scans = [entries(spark, files[k : k + LISTED]) for k in range(0, len(files), LISTED)] + [entries(spark, x, recursive) for x in others]
+    out = scans[0]
+    for scan in scans[1:]:
+        out = out.unionByName(scan)
+    return out
 
 
 def sniff(content: Column) -> Column:
@@ -66,15 +115,21 @@ def format_of(name: Column) -> Column:
     return F.when(stem.rlike(r"\.(cif|mmcif)$"), "cif").when(stem.endswith(".json"), "mmjson").when(stem.endswith(".fcz"), "entry").otherwise("pdb")
 
 
-def pdb_atoms(texts: DataFrame, name: str = "name", content: str = "content", hetero: bool = True) -> DataFrame:
-    """Atom rows of PDB texts, by column expressions alone.
+def _keyed(texts: DataFrame) -> DataFrame:
+    """texts with the column entry; where they have none, a text's name is what tells it apart."""
+    return texts if "entry" in texts.columns else texts.withColumn("entry", F.col("name"))
+
+
+def pdb_atoms(texts: DataFrame, hetero: bool = True) -> DataFrame:
+    """Atom rows of PDB texts (name, content and, where names repeat, entry), by column expressions alone.
 
     Reading stops at END. Models are counted by their records. Atoms of a residue that
     comes up again within an unbroken chain are put to that residue, as pos has it.
     """
-    text = F.decode(F.col(content), "UTF-8")
-    lines = texts.select(F.col(name).alias("name"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
-    file = W.partitionBy("name").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    # Byte for byte: what is read is ASCII, and bytes that are no UTF-8 must not end the job.
+    text = F.decode(F.col("content"), "ISO-8859-1")
+    lines = _keyed(texts).select("entry", "name", F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
+    file = W.partitionBy("entry").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     record = F.rpad(F.substring("line", 1, 6), 6, " ")
     wanted = ("ATOM  ", "HETATM") if hetero else ("ATOM  ",)
     rows = lines.withColumn("record", record).filter(F.col("record").isin("ATOM  ", "HETATM", "MODEL ", "END   ", "TER   "))
@@ -82,7 +137,7 @@ def pdb_atoms(texts: DataFrame, name: str = "name", content: str = "content", he
     rows = rows.withColumn("model", F.greatest(F.sum((F.col("record") == "MODEL ").cast("int")).over(file), F.lit(1)).cast("int"))
     line = F.col("line")
     rows = rows.filter(F.col("record").isin(*wanted)).select(
-        "name", "model", "line_no",
+        "entry", "name", "model", "line_no",
         F.coalesce(hybrid_number(cut(line, 7, 11), 5), F.lit(0)).alias("atom_index"),
         cut(line, 13, 16).alias("atom"),
         F.nullif(cut(line, 17, 17), F.lit("")).alias("altloc"),
@@ -100,12 +155,12 @@ def pdb_atoms(texts: DataFrame, name: str = "name", content: str = "content", he
 
 def _regrouped(rows: DataFrame) -> DataFrame:
     """pos: atoms in order, those of a residue together within a run of one chain."""
-    order = W.partitionBy("name", "model").orderBy("line_no")
+    order = W.partitionBy("entry", "model").orderBy("line_no")
     rows = rows.withColumn("_new", (~F.col("chain").eqNullSafe(F.lag("chain").over(order))).cast("int"))
     rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    first = F.min("line_no").over(W.partitionBy("name", "model", "_run", "residue_index", "icode", "residue"))
+    first = F.min("line_no").over(W.partitionBy("entry", "model", "_run", "residue_index", "icode", "residue"))
     rows = rows.withColumn("_first", first)
-    pos = F.row_number().over(W.partitionBy("name").orderBy("model", "_run", "_first", "line_no")) - 1
+    pos = F.row_number().over(W.partitionBy("entry").orderBy("model", "_run", "_first", "line_no")) - 1
     return rows.withColumn("pos", pos.cast("long")).select(*_COLUMNS)
 
 
@@ -150,8 +205,10 @@ def cif_items(text: str) -> tuple[dict[str, str], dict[str, list[str]]]:
     return items, columns
 
 
-def _number(text: str | None, default: float) -> float:
+def _number(text: str | float | None, default: float) -> float:
     """A number, a standard uncertainty in brackets aside."""
+    if isinstance(text, (int, float)):
+        return float(text)
     try:
         return float(re.sub(r"\(\d+\)$", "", text))
     except (TypeError, ValueError):
@@ -195,38 +252,88 @@ def _component(columns: dict[str, list]) -> Iterator[tuple]:
                 yield (model, k + 1, atom, None, residue[k], "", 1, None, *(_number(v, float("nan")) for v in xyz), 1.0, 0.0, "HETATM")
 
 
-def parsed_atoms(texts: DataFrame, kind: str, name: str = "name", content: str = "content") -> DataFrame:
-    """Atom rows of CIF or mmJSON texts, whose syntax column expressions cannot follow."""
+def _parsed(text: str, kind: str) -> tuple[dict[str, list], dict[str, str]]:
+    """Columns and single items of a CIF or mmJSON text. Text that breaks the syntax raises ValueError."""
+    if kind == "cif":
+        items, columns = cif_items(text)
+        return columns, items
+    held = json.loads(text)
+    block = next(iter(held.values()), {}) if isinstance(held, dict) else {}
+    if not isinstance(block, dict):
+        raise ValueError("no data block")
+    columns = {f"_{category}.{k}".lower(): v for category, own in block.items() if isinstance(own, dict) for k, v in own.items() if isinstance(v, list)}
+    return columns, {k: str(v[0]) for k, v in columns.items() if len(v) == 1 and v[0] is not None}
+
+
+def parsed_atoms(texts: DataFrame, kind: str) -> DataFrame:
+    """Atom rows of CIF or mmJSON texts, whose syntax column expressions cannot follow. Broken ones give none."""
     schema = ATOM_SCHEMA.replace("pos long", "line_no long")
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for n, c in zip(f["name"], f["content"], strict=True):
-                text = bytes(c).decode("utf-8", "replace")
-                if kind == "cif":
-                    columns = cif_items(text)[1]
-                else:
-                    block = next(iter(json.loads(text).values()))
-                    columns = {f"_{category}.{k}".lower(): v for category, held in block.items() for k, v in held.items()}
-                table = _category if any(k.startswith("_atom_site.") for k in columns) else _component
-                rows = [(n, r[0], k, *r[1:]) for k, r in enumerate(table(columns))]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return _regrouped(texts.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, schema))
+            rows = []
+            for e, n, c in zip(f["entry"], f["name"], f["content"], strict=True):
+                try:
+                    found = _parsed(bytes(c).decode("utf-8", "replace"), kind)[0]
+                    table = _category if any(k.startswith("_atom_site.") for k in found) else _component
+                    rows += [(e, n, r[0], k, *r[1:]) for k, r in enumerate(table(found))]
+                except (ValueError, TypeError, OverflowError):
+                    pass
+                if len(rows) > 200_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
+    return _regrouped(_keyed(texts).select("entry", "name", "content").mapInPandas(run, schema))
 
 
 def atoms(texts: DataFrame) -> DataFrame:
-    """Atom rows of texts of any format, told by their content; columns name and content."""
-    held = texts.withColumn("_kind", sniff(F.col("content")))
+    """Atom rows of texts of any format, told by their content; columns name, content and, where names repeat, entry.
+
+    Texts that are null, empty, broken or without atoms give no rows.
+    """
+    held = _keyed(texts).filter("content is not null").withColumn("_kind", sniff(F.col("content")))
     out = pdb_atoms(held.filter("_kind = 'pdb'"))
     for kind in ("cif", "mmjson"):
         out = out.unionByName(parsed_atoms(held.filter(F.col("_kind") == kind), kind))
     return out
 
 
+def titles(texts: DataFrame) -> DataFrame:
+    """entry, name and title: the entry's id that its text has, else its title, else its file's name without ending.
+
+    Of PDB texts the id is that of the HEADER record and the title what its TITLE records say.
+    """
+    held = _keyed(texts).select("entry", "name", F.coalesce("content", F.lit(bytearray())).alias("content")).withColumn("kind", sniff(F.col("content")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for kind, c in zip(f["kind"], f["content"], strict=True):
+                text = bytes(c).decode("utf-8", "replace")
+                ident = name = None
+                try:
+                    if kind == "pdb":
+                        head = text[: text.find("\nATOM")] if "\nATOM" in text else text
+                        lines = head.splitlines()
+                        ident = next((x[62:66].strip() for x in lines if x.startswith("HEADER")), None)
+                        name = "".join(x[10:80].rstrip() for x in lines if x.startswith("TITLE ")).strip()
+                    elif kind != "entry":
+                        items = _parsed(text, kind)[1]
+                        ident, name = items.get("_entry.id"), items.get("_struct.title")
+                except (ValueError, TypeError):
+                    pass
+                found.append((ident, name))
+            yield pd.DataFrame({"entry": f["entry"], "name": f["name"], "ident": [x[0] for x in found], "struct": [x[1] for x in found]})
+
+    rows = held.mapInPandas(run, "entry string, name string, ident string, struct string")
+    return rows.select("entry", "name", title(F.col("ident"), F.col("struct"), F.col("name")).alias("title"))
+
+
 def single_chain(rows: DataFrame) -> DataFrame:
-    """name, chains and n_atom of texts; those with several chains or no atom have an error, null otherwise."""
-    out = rows.filter("record = 'ATOM'").groupBy("name").agg(F.count_distinct("chain").alias("chains"), F.count(F.lit(1)).alias("n_atom"))
+    """entry, name, chains and n_atom of texts; those with several chains or no atom have an error, null otherwise."""
+    out = rows.filter("record = 'ATOM'").groupBy("entry", "name").agg(F.count_distinct("chain").alias("chains"), F.count(F.lit(1)).alias("n_atom"))
     return out.withColumn("error", F.when(F.col("chains") > 1, "more than one chain").when(F.col("n_atom") == 0, "no atoms"))
 
 
@@ -241,27 +348,27 @@ def output_name(base: Column, chain: Column, chains: Column, fragment: Column, f
     return F.concat(base, F.when(chains > 1, chain).otherwise(""), F.when(fragments > 1, F.concat(F.lit("_"), fragment.cast("string"))).otherwise(""), F.lit(suffix))
 
 
-def write_archive(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> DataFrame:
-    """Writes an archive for each partition of rows under path, through Spark's own writer; returns what was written.
+def write_archive(rows: DataFrame, path: str, name: str = "name", content: str = "content", overwrite: bool = False) -> int:
+    """Writes one archive of rows, in order of name, to a path on storage that all executors mount; returns its size.
 
-    A text of bytes cannot go through a text sink, so each archive is one binary
-    value in a Parquet file of one column.
+    A member's place follows from the sizes of those before it, so each task writes
+    its own members and none holds the archive.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, n = io.BytesIO(), 0
-        with tarfile.open(fileobj=out, mode="w", format=tarfile.GNU_FORMAT) as archive:
-            for f in frames:
-                for k, c in zip(f["name"], f["content"], strict=True):
-                    info = tarfile.TarInfo(k)
-                    info.size = len(c)
-                    archive.addfile(info, io.BytesIO(bytes(c)))
-                    n += 1
-        if n:
-            yield pd.DataFrame({"members": [n], "archive": [out.getvalue()]})
-
-    rows.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, "members long, archive binary").write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+        for f in frames:
+            blocks = []
+            for k, c in zip(f["name"], f["content"], strict=True):
+                info = tarfile.TarInfo(k)
+                info.size = len(c)
+                blocks.append(info.tobuf(tarfile.GNU_FORMAT) + bytes(c) + b"\0" * (-len(c) % tarfile.BLOCKSIZE))
+            yield pd.DataFrame({"name": f["name"], "content": blocks})
+
+    members = rows.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).filter("content is not null")
+    laid = materialise(keyed_offsets(members.mapInPandas(run, "name string, content binary"), ["name"], F.octet_length("content")), "archive")
+    size = (laid.agg(F.sum("length")).first()[0] or 0) + 2 * tarfile.BLOCKSIZE  # two blocks of zeros are its end
+    write_parts(laid, path, size, overwrite)
+    return size
 
 
 def torsion_text(spark: SparkSession, path: str) -> DataFrame:

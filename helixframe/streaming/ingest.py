@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.entry_codec import INTERVAL
 from ..plans.structures import compress_texts
+from ..sources.structures import opened
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, interval: int = INTERVAL) -> StreamingQuery:
@@ -18,7 +18,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, interval
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        texts = batch.select(F.regexp_extract("path", r"[^/\\]*$", 0).alias("name"), "content")
+        texts = opened(batch).select("entry", "name", "content")  # files of one name in different folders stay apart
         compress_texts(texts, interval).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -118,9 +118,12 @@ def test_gzip_tar_and_archive(spark, tmp_path):
         t.addfile(info, io.BytesIO(raw))
     got = S.entries(spark, str(tmp_path / "in"))
     assert sorted((r["name"], bytes(r["content"]) == raw) for r in got.collect()) == [("inner.pdb", True), ("one.pdb", True)]
-    written = S.write_archive(got.select("name", "content").coalesce(1), str(tmp_path / "out")).first()
-    with tarfile.open(fileobj=io.BytesIO(bytes(written["archive"]))) as t:
-        assert sorted(t.getnames()) == ["inner.pdb", "one.pdb"]
+    size = S.write_archive(got.select("name", "content"), str(tmp_path / "out.tar"))
+    assert size == (tmp_path / "out.tar").stat().st_size
+    with tarfile.open(tmp_path / "out.tar") as t:
+        assert t.getnames() == ["inner.pdb", "one.pdb"] and t.extractfile("one.pdb").read() == raw
+    with pytest.raises(FileExistsError):
+        S.write_archive(got.select("name", "content"), str(tmp_path / "out.tar"))
 
 
 def test_keyed_database(spark, tmp_path):
