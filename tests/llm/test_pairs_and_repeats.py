@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -92,12 +93,38 @@ def removed(texts: list[bytes], length: int) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize(("length", "gram"), [(400, 64), (40, 16)])
-def test_repeats_match_brute_force(docs, length, gram):
-    rows = docs.collect()
-    wanted = [(r["doc_id"], *x) for r, x in zip(rows, removed([(r["text"] or "").encode() for r in rows], length), strict=True)]
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in B.remove_repeats(docs, length=length, gram=gram).collect()]
+def shared_passages(texts: list[bytes], length: int, words: int) -> list[bool]:
+    """Whether a string of length bytes, or of a run of so many words, starts anywhere else."""
+    found, sizes = [], set()
+    runs = []
+    for t in texts:
+        edges = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        own = [(edges[k][0], edges[k + words - 1][1]) for k in range(len(edges) - words + 1)]
+        runs.append([t[a:b] for a, b in own if b - a < length] + [t[s : s + length] for s in range(len(t) - length + 1)])
+        sizes |= {len(x) for x in runs[-1]}
+    count = defaultdict(int)
+    for size in sizes:
+        wanted = {x for r in runs for x in r if len(x) == size}
+        for t in texts:
+            for s in range(len(t) - size + 1):
+                if t[s : s + size] in wanted:
+                    count[t[s : s + size]] += 1
+    for own in runs:
+        found.append(any(count[x] > 1 for x in own))
+    return found
+
+
+@pytest.mark.parametrize(("length", "gram", "words", "most"), [(400, 64, 51, 1024), (40, 16, 9, 1024), (40, 16, 9, 1)])
+def test_repeats_match_brute_force(docs, length, gram, words, most):
+    """Also with groups of one stretch at most, so that all are split down to single windows."""
+    rows = docs.filter("text is null or length(text) < 9000").collect()
+    texts = [(r["text"] or "").encode() for r in rows]
+    whole = shared_passages(texts, length, words)
+    wanted = [(r["doc_id"], *x, y) for r, x, y in zip(rows, removed(texts, length), whole, strict=True)]
+    found = B.remove_repeats(docs.filter("text is null or length(text) < 9000"), length=length, gram=gram, words=words, most=most)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["repeats_passage"]) for r in found.collect()]
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    assert not docs.sparkSession.sql("SHOW TABLES").filter("tableName like 'stretches%'").count()
 
 
 def test_repeats_of_none(no_docs):
@@ -107,11 +134,31 @@ def test_repeats_of_none(no_docs):
 def test_long_texts_in_slices(monkeypatch):
     rng = np.random.default_rng(3)
     text = rng.integers(97, 123, 5000, dtype=np.uint8).tobytes()
-    whole = {(f, a) for f, _, _, a in B.anchors(text, 60, 16)}
+    whole = {(f, a) for f, _, _, a, _, _ in B.anchors(text, 60, 16)}
     monkeypatch.setattr(B, "SLICE", 700)
     parts = B.anchors(text, 60, 16)
-    assert {(f, a) for f, _, _, a in parts} == whole
-    assert sorted(w for _, a, b, _ in parts for w in range(a, b + 1)) == list(range(len(text) - 59))
+    assert {(f, a) for f, _, _, a, _, _ in parts} == whole
+    assert sorted(w for _, a, b, _, _, _ in parts for w in range(a, b - 59)) == list(range(len(text) - 59))
+
+
+def test_anchors_of_texts_together(docs):
+    texts = [(r["text"] or "").encode() for r in docs.select("text").collect()]
+    for length, gram, words in ((400, 64, 51), (40, 16, 9)):
+        alone = [(k, *x) for k, t in enumerate(texts) for x in B.anchors(t, length, gram, words)]
+        assert list(zip(*(c.tolist() for c in B.anchors_of(texts, length, gram, words)), strict=True)) == alone
+    assert len(B.anchors_of([b"", b"short"])[0]) == 0
+
+
+def test_word_runs_pick_their_least_gram():
+    rng = np.random.default_rng(5)
+    text = bytes(rng.choice(np.frombuffer(b"abcde    \n", np.uint8), 3000))
+    data = np.frombuffer(text, np.uint8)
+    starts, sizes = B.word_windows(data, 12, 60)
+    edges = [m.span() for m in re.finditer(rb"\S+", text)]
+    brute = [(edges[k][0], edges[k + 11][1] - edges[k][0]) for k in range(len(edges) - 11)]
+    assert list(zip(starts.tolist(), sizes.tolist(), strict=True)) == [x for x in brute if x[1] < 60]
+    key = rng.integers(0, 2**60, len(data), dtype=np.uint64)
+    assert B.range_least(key, starts, sizes).tolist() == [int(key[s : s + n].min()) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def test_column_order_against_sorting():
@@ -129,7 +176,7 @@ def test_column_order_against_sorting():
             groups.append(g)
             rel.append(10 - cut)
     size = np.array([len(s) for s in stretches])
-    found = B.repeated_windows(np.array(groups), np.frombuffer(b"".join(stretches), np.uint8), np.cumsum(size) - size, size, np.array(rel), length)
+    found, _ = B.repeated_windows(np.array(groups), np.frombuffer(b"".join(stretches), np.uint8), np.cumsum(size) - size, size, np.array(rel), length)
     for k, s in enumerate(stretches):
         for off in range(rel[k] + 1):
             w = s[rel[k] - off :][:length]
