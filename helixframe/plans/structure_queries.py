@@ -152,7 +152,7 @@ def s07_sniff(spark, sf_dir):
 
 @query(
     _PTS
-    + """SELECT 'v' || vec_id || '.pdb' AS name, CASE WHEN vec_id % 6 = 0 AND max(pos) >= 12 THEN 2 ELSE 1 END AS chains, count(*) AS n_atom,
+    + """SELECT 'v' || vec_id || '.pdb' AS name, CAST(CASE WHEN vec_id % 6 = 0 AND max(pos) >= 12 THEN 2 ELSE 1 END AS BIGINT) AS chains, count(*) AS n_atom,
 CASE WHEN vec_id % 6 = 0 AND max(pos) >= 12 THEN 'more than one chain' END AS error FROM p GROUP BY vec_id"""
 )
 def s08_single_chain(spark, sf_dir):
