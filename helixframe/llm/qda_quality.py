@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of, with_schema
+from .common import table, text_of, with_schema
 
 NAMES = [
     "log_words", "word_length", "distinct_words", "letters", "capitals", "digits", "stops_commas", "symbols",
@@ -26,6 +25,8 @@ NAMES = [
 D = len(NAMES)
 #: Words at which a text's statistics get half their weight against the class odds.
 SHORT = 12
+#: Labels that are sent to every task, so that statistics for training are those of labelled texts alone; of more labels, all texts' are joined.
+FEW_LABELS = 1 << 20
 
 
 def _byte_classes() -> np.ndarray:
@@ -163,16 +164,13 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", pool:
     return fit(sums, pool, ridge, scale)
 
 
-def with_scores(stats: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of statistics."""
-    names = [f"f{i}" for i in range(D)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": model.score(f[names].to_numpy())})
-
-    scored = stats.select("doc_id", *names).mapInPandas(run, with_schema(stats.select("doc_id").schema, "score double"))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+    """The discriminant of the labelled documents. All of them are used, however many there are."""
+    if labels.count() <= FEW_LABELS:
+        ids = labels.select(F.col("doc_id").alias("labelled")).distinct()
+        docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        docs, id_col, text_col = docs.join(F.broadcast(ids), docs["doc_id"] == ids["labelled"], "left_semi"), "doc_id", "text"
+    return train(document_statistics(docs, id_col, text_col), labels)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -182,8 +180,15 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     any other. A null id counts as the empty string in the fold. Repeated rows
     score alike. An empty table gives none; without labels every score is one half.
     """
-    stats = materialise(document_statistics(docs), "statistics")
-    return with_scores(stats, train(stats, labels), threshold)
+    model = trained(docs, labels)
+    rows = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(statistics(batch.column(1).to_pylist())))], names=["doc_id", "score"])
+
+    scored = rows.mapInArrow(run, with_schema(rows.select("doc_id").schema, "score double"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Discriminant, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
