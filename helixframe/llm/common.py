@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,19 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def sum_before(rows: DataFrame, key: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """key and name: the sum of value over all rows of a lesser key, a number that no two rows share.
+
+    In two steps, within blocks of keys and over the blocks' totals, so that no task
+    holds all rows.
+    """
+    rows = rows.select(key, value, F.floor(F.col(key) / block).alias("_block"))
+    own = F.sum(value).over(W.partitionBy("_block").orderBy(key)) - F.col(value)
+    totals = rows.groupBy("_block").agg(F.sum(value).alias("_total"))
+    totals = totals.select("_block", (F.sum("_total").over(W.orderBy("_block")) - F.col("_total")).alias("_before"))
+    return rows.withColumn("_own", own).join(totals, "_block").select(key, (F.col("_own") + F.col("_before")).cast("long").alias(name))
+
+
 def with_schema(schema: T.StructType, fields: str) -> T.StructType:
     """A schema with more fields, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(fields).fields])

@@ -7,14 +7,43 @@ sequence to the shards, so that their row counts differ by one at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import sum_before, table
 
-#: Text bytes that one bucket should hold.
-BUCKET_BYTES = 8 << 20
+#: Text bytes that one bucket should hold, and those that a task of the second pass should.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+
+
+def has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and has_map(kind.elementType))
+
+
+def without_maps(value: Column, kind: T.DataType) -> Column:
+    """A value with its maps as arrays of entries, which can be hashed and put in order."""
+    if not has_map(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[without_maps(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_maps(x, kind.elementType))
+    entries = F.map_entries(value)
+    return F.transform(entries, lambda x: F.struct(x["key"].alias("key"), without_maps(x["value"], kind.valueType).alias("value")))
+
+
+def with_maps(value: Column, kind: T.DataType) -> Column:
+    """The value that without_maps was given."""
+    if not has_map(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[with_maps(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: with_maps(x, kind.elementType))
+    return F.map_from_entries(F.transform(value, lambda x: F.struct(x["key"].alias("key"), with_maps(x["value"], kind.valueType).alias("value"))))
 
 
 def shuffle_into_shards(
@@ -28,29 +57,31 @@ def shuffle_into_shards(
 
     Slots run gapless from 0 in each shard and row counts differ by one at most.
     The permutation follows from the seed, the rows and the number of buckets and
-    shuffle partitions. Null columns, null and empty texts are records like any
+    partitions. Null columns, null and empty texts are records like any
     other; columns may bear any name, since the record stays a struct. Rows alike
     in all columns hash alike and share a bucket. An empty table gives none.
     """
     spark = docs.sparkSession
-    record = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    record = docs.select(F.struct(*[without_maps(F.col(f"`{c}`"), kinds[c]).alias(c) for c in docs.columns]).alias("record"))
     size = F.coalesce(F.octet_length(F.col("record")[text_col]), F.lit(0)) + 8
     total = record.agg(F.sum(size.cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     scattered = record.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "record"), F.lit(buckets)))
 
     # Where each bucket's rows begin in the whole sequence; one row for each bucket.
-    starts = scattered.groupBy("bucket").count().select("bucket", (F.sum("count").over(W.orderBy("bucket")) - F.col("count")).alias("start"))
+    starts = sum_before(scattered.groupBy("bucket").count(), "bucket", "count", "start")
 
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES), 1)
     held = scattered.repartition(partitions, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records"))
     # The sort-merge join hands buckets on in order of bucket: with that, the generator of
     # shuffle(), which is Fisher-Yates, gives a rerun task the same permutations again.
     ordered = held.hint("merge").join(starts, "bucket")
     permuted = ordered.select("start", F.shuffle("records", seed).alias("records"))
     place = F.col("start") + F.col("pos")
+    record = F.struct(*[with_maps(F.col("record")[c], kinds[c]).alias(c) for c in docs.columns]) if has_map(docs.schema) else F.col("record")
     return permuted.select("start", F.posexplode("records").alias("pos", "record")).select(
-        F.pmod(place, F.lit(shards)).cast("int").alias("_shard"), F.floor(place / shards).cast("long").alias("_slot"), "record"
+        F.pmod(place, F.lit(shards)).cast("int").alias("_shard"), F.floor(place / shards).cast("long").alias("_slot"), record.alias("record")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import chunk_recipes as R
 from helixframe.llm import two_pass_shuffle as S
+from helixframe.llm.common import sum_before
 
 
 def lower(text):
@@ -57,6 +58,21 @@ def test_shards(docs, size):
     assert other != [(r["_shard"], r["_slot"]) for r in out.orderBy("record.doc_id").collect()]
 
 
+def test_shards_of_rows_with_maps(spark):
+    """Maps, also within arrays and structs, come out as they went in."""
+    rows = [(k, f"t{k}" if k % 3 else None, {"a": k, "b": None} if k % 4 else None, [{"x": "y" * k}, None], ({1: 2.0},)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, l array<map<string,string>>, s struct<i: map<int,double>>")
+    out = S.shuffle_into_shards(df, shards=3, bucket_bytes=100)
+    assert out.select("record.*").schema == df.schema
+    assert sorted((tuple(r["record"]) for r in out.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_sums_before(spark):
+    rows = [(k * 3, k % 5) for k in range(200)]
+    got = dict(map(tuple, sum_before(spark.createDataFrame(rows, "k long, v long"), "k", "v", "b", block=7).collect()))
+    assert got == {k: sum(v for j, v in rows if j < k) for k, _ in rows}
+
+
 def test_written_shards(spark, plain_docs, tmp_path):
     S.write_shards(S.shuffle_into_shards(plain_docs, shards=3), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
