@@ -4,7 +4,8 @@ A source's weight is its token share to a power, normalised. The power is bisect
 until the weights have a target entropy or no source repeats beyond a limit. The
 weights are realised as passes over permuted blocks: whole passes, and a last one
 that ends where the source's budget does. What decides about a row is one row of
-plan for its source, so texts are not moved.
+plan for its source, so texts are not moved. The plan is a table, however many
+sources there are; a source has as many blocks as a block has rows, or so.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table, text_of
 
-REPEATS, BLOCKS, SEED = 2.0, 4096, 29
-#: The most sources; the plan has a row for each.
-MAX_SOURCES = 100_000
+REPEATS, SEED = 2.0, 29
+#: Different token totals of sources that the driver sums by itself; Spark sums more of them.
+LOCAL_TOTALS = 100_000
 
 
 def weights(shares: np.ndarray, power: float) -> np.ndarray:
@@ -46,37 +47,83 @@ def bisect(low: float, high: float, fits: Callable[[float], bool], steps: int =
     return high
 
 
+#: For a power: the sum of the shares to that power, and the sum of these times the logarithms of their shares.
+Sums = Callable[[float], tuple[float, float]]
+
+
 @dataclass(frozen=True)
 class Mix:
+    """A source with a share of s has a weight of s ** power / norm and is passed over weight * total / tokens times."""
+
     power: float
-    weight: np.ndarray
-    passes: np.ndarray
+    norm: float
+    total: float
 
 
-def solve(tokens: np.ndarray, repeats: float | None = REPEATS, target_entropy: float | None = None, budget: int | None = None) -> Mix:
-    """Power, weights and passes over each source.
+def solve(sums: Sums, least: float, largest: float, tokens: float, repeats: float | None = REPEATS, target_entropy: float | None = None, budget: int | None = None) -> Mix:
+    """The power, by bisection. least and largest are tokens of sources that have any, tokens those of all.
 
     With repeats: the least power at which no source is passed over more often than
     that; else the power at which the entropy (nats) comes down to the target, or the
     closest that powers from 0 to 1 allow. Without a budget, the largest source is
-    passed over once, and thus every row is used. Sources without tokens get one pass.
+    passed over once, and thus every row is used.
     """
-    tokens = tokens.astype(float)
-    shares = tokens / max(tokens.sum(), 1.0)
 
-    def passes(power: float) -> np.ndarray:
-        w = weights(shares, power)
-        full = tokens > 0
-        if not full.any():
-            return np.ones(len(tokens))
-        total = float(budget) if budget is not None else float((tokens[full] / w[full]).max())
-        return np.where(full, w * total / np.where(full, tokens, 1), 1.0)
+    def mix(power: float) -> Mix:
+        norm = sums(power)[0]
+        return Mix(power, norm, float(budget) if budget is not None else largest * norm / (largest / tokens) ** power)
+
+    def repeated(power: float) -> float:
+        # Up to a power of one, the smallest source is passed over most often.
+        m = mix(power)
+        return (least / tokens) ** power / m.norm * m.total / least
+
+    def entropy_at(power: float) -> float:
+        norm, logs = sums(power)
+        return math.log(norm) - power * logs / norm
 
     if repeats is not None:
-        power = bisect(0.0, 1.0, lambda x: bool((passes(x) <= repeats * (1 + 1e-12)).all()))
-    else:
-        power = bisect(0.0, 1.0, lambda x: entropy(weights(shares, x)) <= (target_entropy if target_entropy is not None else math.inf))
-    return Mix(power, weights(shares, power), passes(power))
+        return mix(bisect(0.0, 1.0, lambda x: repeated(x) <= repeats * (1 + 1e-12)))
+    return mix(bisect(0.0, 1.0, lambda x: entropy_at(x) <= (target_entropy if target_entropy is not None else math.inf)))
+
+
+def local_sums(tokens: np.ndarray, times: np.ndarray) -> Sums:
+    """tokens: totals of sources, without zeros; times: how many sources have each."""
+    shares = tokens / (tokens * times).sum()
+
+    def sums(power: float) -> tuple[float, float]:
+        x = times * shares**power
+        return float(x.sum()), float((x * np.log(shares)).sum())
+
+    return sums
+
+
+def table_sums(totals: DataFrame, tokens: float) -> Sums:
+    """As local_sums, over a written table of tokens by source."""
+    share = F.col("tokens") / tokens
+
+    def sums(power: float) -> tuple[float, float]:
+        x = F.pow(share, F.lit(power))
+        r = totals.filter("tokens > 0").agg(F.sum(x), F.sum(x * F.log(share))).first()
+        return r[0], r[1]
+
+    return sums
+
+
+def planned(totals: DataFrame, repeats: float | None, target_entropy: float | None, budget: int | None, local: int = LOCAL_TOTALS) -> DataFrame:
+    """source, weight, epochs (whole passes) and left (tokens of the last one), from a written table of tokens by source. Sources without tokens get one pass."""
+    full = totals.filter("tokens > 0")
+    tokens, least, largest = full.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    if not tokens:
+        return totals.select("source", F.lit(0.0).alias("weight"), F.lit(1).alias("epochs"), F.lit(0).cast("long").alias("left"))
+    alike = full.groupBy("tokens").count().limit(local + 1).collect()
+    sums = table_sums(totals, float(tokens)) if len(alike) > local else local_sums(np.array([r["tokens"] for r in alike], float), np.array([r["count"] for r in alike], float))
+    m = solve(sums, float(least), float(largest), float(tokens), repeats, target_entropy, budget)
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(tokens)), F.lit(m.power)) / F.lit(m.norm)).otherwise(0.0)
+    passes = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(m.total) / F.col("tokens")).otherwise(1.0)
+    whole = F.floor(F.col("passes") + 1e-9)
+    left = F.greatest(F.round((F.col("passes") - whole) * F.col("tokens")), F.lit(0.0)).cast("long")
+    return totals.withColumn("weight", weight).withColumn("passes", passes).select("source", "weight", whole.cast("int").alias("epochs"), left.alias("left"))
 
 
 def n_words(text: Column) -> Column:
@@ -91,7 +138,7 @@ def mix(
     repeats: float | None = REPEATS,
     target_entropy: float | None = None,
     budget: int | None = None,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Rows (record, source, weight, epoch, block_key, doc_key): each input row once for each pass that takes it.
@@ -101,9 +148,10 @@ def mix(
     white space; null and empty texts have none and go with their source. A null
     source counts as the empty one. Rows alike in id and text are taken together.
     A last pass takes rows until its budget is reached, the one that reaches it
-    included. An empty table gives an empty result.
+    included. blocks: of each source; by default the square root of its rows, so that
+    neither the blocks of a source nor the rows of one are many. An empty table gives
+    an empty result.
     """
-    spark = docs.sparkSession
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
     record = F.col("record")
     held = held.select(
@@ -111,17 +159,14 @@ def mix(
         F.coalesce(record[source_col].cast("string"), F.lit("")).alias("source"),
         F.coalesce(record[text_col].cast("string"), F.lit("")).alias("words"),
         F.xxhash64(record[id_col], record[text_col]).alias("key"),
-    ).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(blocks)).cast("int"))
+    )
+    own_blocks = F.lit(blocks).cast("long") if blocks else F.ceil(F.sqrt(F.count(F.lit(1))))
+    deal = materialise(held.groupBy("source").agg(own_blocks.alias("blocks")), "sources")
+    held = held.join(deal, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("blocks"))).drop("blocks")
 
     sums = materialise(held.groupBy("source", "block").agg(F.sum(n_words(F.col("words"))).alias("tokens")), "blocks")
-    totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found = solve(np.array([r["tokens"] for r in totals]), repeats, target_entropy, budget)
-    whole = np.floor(found.passes + 1e-9).astype(int)
-    left = np.maximum(np.round((found.passes - whole) * np.array([r["tokens"] for r in totals])), 0).astype(int)
-    rows = [(r["source"], float(w), int(e), int(t)) for r, w, e, t in zip(totals, found.weight, whole, left, strict=True)]
-    plan = spark.createDataFrame(rows, "source string, weight double, epochs int, left long")
+    totals = materialise(sums.groupBy("source").agg(F.sum("tokens").alias("tokens")), "totals")
+    plan = materialise(planned(totals, repeats, target_entropy, budget), "plan")
 
     def block_key(epoch: Column, block: str = "block") -> Column:
         return F.xxhash64(F.lit(seed), epoch, "source", block)
@@ -129,24 +174,29 @@ def mix(
     def doc_key(epoch: Column) -> Column:
         return F.xxhash64(F.lit(seed), epoch, "key")
 
-    # The block in which a last pass ends, and then the row: a source has a fixed number of blocks.
-    ordered = sums.join(F.broadcast(plan), "source").withColumn("bk", block_key(F.col("epochs")))
+    # The block in which a last pass ends, and then the row.
+    ordered = sums.join(plan, "source").withColumn("bk", block_key(F.col("epochs")))
     before = F.sum("tokens").over(W.partitionBy("source").orderBy("bk", "block")) - F.col("tokens")
-    ends = ordered.withColumn("before", before).filter("before < left and left <= before + tokens").groupBy("source").agg(F.min_by(F.struct("block", "bk", (F.col("left") - F.col("before")).alias("rest")), "before").alias("end"))
-    ends = [(r["source"], r["end"]["block"], r["end"]["bk"], r["end"]["rest"]) for r in ends.collect()]  # a row for each source at most
-    ending = spark.createDataFrame(ends, "source string, block int, bk long, rest long")
-    last = held.join(F.broadcast(ending), ["source", "block"]).join(F.broadcast(plan.select("source", "epochs")), "source").select("source", "rest", doc_key(F.col("epochs")).alias("dk"), n_words(F.col("words")).alias("tokens"))
+    ends = ordered.withColumn("before", before).filter("before < left and left <= before + tokens").groupBy("source").agg(F.min_by(F.struct("block", "bk", "epochs", (F.col("left") - F.col("before")).alias("rest")), "before").alias("end"))
+    ending = materialise(ends.select("source", "end.*"), "ends")
+    last = held.join(ending, ["source", "block"]).select("source", "rest", doc_key(F.col("epochs")).alias("dk"), n_words(F.col("words")).alias("tokens"))
     earlier = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("dk").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cuts = last.withColumn("earlier", earlier).filter("earlier < rest").groupBy("source").agg(F.max("dk").alias("dk")).collect()  # likewise
-    cut = {r["source"]: r["dk"] for r in cuts}
-    limits = spark.createDataFrame([(s, w, e, t, *next(((b[2], cut.get(s)) for b in ends if b[0] == s), (None, None))) for s, w, e, t in rows], "source string, weight double, epochs int, left long, bk long, dk long")
+    cuts = last.withColumn("earlier", earlier).filter("earlier < rest").groupBy("source").agg(F.max("dk").alias("dk"))
+    limits = materialise(plan.join(ending.select("source", "bk"), "source", "left").join(cuts, "source", "left"), "limits")
 
-    used = held.join(F.broadcast(limits), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
+    # Written tables of a row for each source: Spark broadcasts them while they are small.
+    used = held.join(limits, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
     used = used.select("record", "source", "weight", "epoch", block_key(F.col("epoch")).alias("block_key"), doc_key(F.col("epoch")).alias("doc_key"), "epochs", "left", "bk", "dk")
     in_last = (F.col("left") > 0) & ((F.col("block_key") < F.col("bk")) | ((F.col("block_key") == F.col("bk")) & (F.col("doc_key") <= F.col("dk"))))
     return used.filter((F.col("epoch") < F.col("epochs")) | F.coalesce(in_last, F.lit(False))).select("record", "source", "weight", "epoch", "block_key", "doc_key")
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The records of a mix in its order: pass by pass, block by block; the file and place of a written row follow it."""
+    order = ["epoch", "block_key", "doc_key"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("record.*")
+
+
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select(F.col("record.doc_id").alias("doc_id"), "source", n_words(text_of("record.text")).alias("n_tokens"), "weight", "epoch", "block_key", "doc_key")
