@@ -79,3 +79,22 @@ def rebuild(first: Column, lengths: Column, angles: Column, twists: Column) -> C
         return F.concat(held, F.array(G.place(held[n - 3], held[n - 2], held[n - 1], s["r"], s["a"], s["t"])))
 
     return F.aggregate(steps, first, step)
+
+
+def bond_audit(atoms: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """atoms (atom, chain, x, y, z) with bond_name, bond_angle and bond_length to the atom before.
+
+    An atom that bears the name of the one before is left out. All three are null at
+    the beginning and at a change of chain, and the angle is at the end.
+    """
+    over = in_order(keys, order)
+    point = F.struct("x", "y", "z")
+    rows = atoms.withColumn("_before", F.lag("atom").over(over)).filter(~F.col("atom").eqNullSafe(F.col("_before")))
+    rows = rows.withColumns({"_p": F.lag(point).over(over), "_n": F.lead(point).over(over), "_name": F.lag("atom").over(over), "_chain": F.lag("chain").over(over), "_c": point})
+    bound = F.col("_chain") == F.col("chain")
+    return rows.select(
+        *atoms.columns,
+        F.when(bound, F.concat_ws("_", "_name", "atom")).alias("bond_name"),
+        F.when(bound & F.col("_n").isNotNull(), G.bond_angle(F.col("_p"), F.col("_c"), F.col("_n"))).alias("bond_angle"),
+        F.when(bound, G.distance(F.col("_p"), F.col("_c"))).alias("bond_length"),
+    )

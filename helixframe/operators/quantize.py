@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -43,15 +44,33 @@ def short_angle(steps: Column, bits: int = 16) -> Column:
 
 
 def quantize(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """df with lo, hi, disc_f, cont_f, bin and restored; groups are fitted by a window, without a join."""
-    over = W.partitionBy(*keys)
-    out = df.withColumn("lo", F.min(value).over(over).cast("double")).withColumn("hi", F.max(value).over(over).cast("double"))
-    spread = F.col("hi") - F.col("lo")
-    out = out.withColumn("disc_f", F.when(spread > 0, bins / spread).otherwise(0.0)).withColumn("cont_f", spread / bins)
+    """df with lo, hi, disc_f, cont_f, bin and restored.
+
+    Groups are fitted by an aggregation that begins where rows are read, and each row
+    looks up its group's: a group with very many rows never meets in one task. Null
+    keys are a group of their own.
+    """
+    fits = fit(df, keys, value, bins).drop("n_bin")
+    fits = fits.select(*[F.col(k).alias(f"_{k}") for k in keys], "lo", "hi", "disc_f", "cont_f")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    out = df.join(fits, same).drop(*[f"_{k}" for k in keys])
     out = out.withColumn("bin", to_bin(F.col(value), F.col("lo"), F.col("disc_f")))
     return out.withColumn("restored", from_bin(F.col("bin"), F.col("lo"), F.col("cont_f")))
 
 
+def audit(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """quantize with diff, what is lost by it."""
+    return quantize(df, keys, value, bins).withColumn("diff", F.col(value) - F.col("restored"))
+
+
+def header(low: Column, high: Column, bins: Column, disc_f: Column, cont_f: Column) -> Column:
+    """A quantizer's parameters, a line each."""
+    from ..functions.strings import fixed_decimals
+
+    named = (("MIN", fixed_decimals(low, 4)), ("MAX", fixed_decimals(high, 4)), ("N_BIN", bins.cast("string")), ("DISC_F", fixed_decimals(disc_f, 6)), ("CONT_F", fixed_decimals(cont_f, 6)))
+    return F.concat(*[x for n, v in named for x in (F.lit(f"#{n}:"), v, F.lit("\n"))])
+
+
 def fit_errors(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """keys, mean_err and max_err between values and what their bins restore."""
     error = F.abs(F.col(value) - F.col("restored"))

@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import residues as R
 from ..functions import strings as T
+from ..operators import chains as C
 from ..operators import entry_codec as E
 from ..operators import lookup as L
+from ..operators import quantize as Q
 from ..operators import report as P
 from ..sources import keyed_db as K
 from ..sources import structures as S
 from ..sources.shared import shared_dir
 from . import structures as A
-from .queries import _PTS, _fixed_sql, _points, _table, query
+from .queries import _BINS, _PTS, _TORSION, _fixed_sql, _points, _table, query
 
 # ---------------------------------------------------------------- scans of texts that the points of the embeddings make
 
@@ -449,3 +451,45 @@ def a15_torsion_of_kind(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "t"))
     lists = rows.groupBy("vec_id", (F.col("pos") % 7).cast("long").alias("kind")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("t").cast("double").alias("t")))).alias("held"))
     return lists.select("vec_id", "kind", F.get("held", F.lit(2))["t"].alias("torsion")).filter("torsion is not null")
+
+
+# ---------------------------------------------------------------- dumps and audits
+
+
+@query(_TORSION + f", f AS (SELECT vec_id, pos, {_fixed_sql('torsion', 3)} AS t FROM tor) SELECT vec_id, string_agg(t, chr(10) ORDER BY pos) || chr(10) AS dump FROM f GROUP BY vec_id")
+def k14_torsion_dump(spark, sf_dir):
+    """Torsions as text, a line each."""
+    rows = C.torsions(_points(spark, sf_dir), ["vec_id"], ["pos"]).select("vec_id", "pos", T.fixed_decimals(F.col("torsion"), 3).alias("t"))
+    return P.joined(rows, ["vec_id"], ["pos"], F.col("t"), "\n", "dump").withColumn("dump", F.concat("dump", F.lit("\n")))
+
+
+_AUDIT = (
+    _PTS
+    + """, a AS (SELECT vec_id, pos, ['N', 'CA', 'C'][pos % 3 + 1] AS atom, CASE WHEN vec_id % 6 = 0 AND pos >= 12 THEN 'B' ELSE 'A' END AS chain, x * 10 AS x, y * 10 AS y, z * 10 AS z FROM p),
+q AS (SELECT *, lag(atom) OVER w AS pa, lag(chain) OVER w AS pc, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, z - lag(z) OVER w AS az, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS byy, lead(z) OVER w - z AS bz FROM a WINDOW w AS (PARTITION BY vec_id ORDER BY pos))
+SELECT vec_id, CAST(pos AS BIGINT) AS pos, atom, chain, CASE WHEN pc = chain THEN pa || '_' || atom END AS bond_name,
+CASE WHEN pc = chain AND bx IS NOT NULL THEN round(degrees(acos(greatest(-1, least(1, -(ax * bx + ay * byy + az * bz) / sqrt((ax * ax + ay * ay + az * az) * (bx * bx + byy * byy + bz * bz)))))), 5) END AS bond_angle,
+CASE WHEN pc = chain THEN round(sqrt(ax * ax + ay * ay + az * az), 5) END AS bond_length FROM q"""
+)
+
+
+@query(_AUDIT)
+def k15_bond_audit(spark, sf_dir):
+    out = C.bond_audit(_atom_rows(spark, sf_dir).select("vec_id", "pos", "atom", "chain", "x", "y", "z"), ["vec_id"], ["pos"])
+    return out.select("vec_id", "pos", "atom", "chain", "bond_name", F.round("bond_angle", 5).alias("bond_angle"), F.round("bond_length", 5).alias("bond_length"))
+
+
+@query(
+    "WITH f AS (SELECT l_suppkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, '#MIN:' || "
+    + _fixed_sql("lo", 4) + " || chr(10) || '#MAX:' || " + _fixed_sql("hi", 4) + " || chr(10) || '#N_BIN:255' || chr(10) || '#DISC_F:' || " + _fixed_sql("(255 / (hi - lo))", 6) + " || chr(10) || '#CONT_F:' || " + _fixed_sql("((hi - lo) / 255)", 6) + " || chr(10) AS header FROM f"
+)
+def k21_quantizer_header(spark, sf_dir):
+    fits = Q.fit(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 255)
+    return fits.select("l_suppkey", Q.header(*(F.col(c) for c in ("lo", "hi", "n_bin", "disc_f", "cont_f"))).alias("header"))
+
+
+@query(_BINS + "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, bin, round(lo, 2) AS lo, round(lo + bin * cont_f, 4) AS restored, round(v - (lo + bin * cont_f), 4) + 0.0 AS diff FROM q")
+def k22_quantizer_audit(spark, sf_dir):
+    """Each value's bin, what it restores and what is lost."""
+    out = Q.audit(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 255)
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "bin", F.round("lo", 2).alias("lo"), F.round("restored", 4).alias("restored"), (F.round("diff", 4) + 0.0).alias("diff"))
