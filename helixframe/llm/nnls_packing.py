@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of
+from .common import materialise, sum_before, table, text_of
 from .trie_counts import slices
 
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Length bins of a window, and the most pieces that a combination has.
 BINS, DEPTH = 256, 3
 #: Rows or windows that one task of a ranking holds.
-RANKED, STREAM_WINDOWS = 50_000, 128
+RANKED, STREAM_WINDOWS = 50_000, 32
 #: Words whose ids a worker keeps; when full they are dropped and gathered anew.
 KEPT = 900_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -249,7 +249,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     streams = max(1, total // (STREAM_WINDOWS * window))
     rest = rest.withColumn("stream", F.pmod(F.xxhash64("row", "start", F.lit(3)), F.lit(streams)))
     firsts = rest.groupBy("stream").agg(F.ceil(F.sum("length") / window).alias("windows"))
-    firsts = firsts.select("stream", (F.lit(base) + F.sum("windows").over(W.orderBy("stream")) - F.col("windows")).alias("first"))
+    firsts = sum_before(firsts, "stream", "windows", "before").select("stream", (F.lit(base) + F.col("before")).alias("first"))
     laid = rest.withColumn("end", F.sum("length").over(W.partitionBy("stream").orderBy("row", "start"))).withColumn("begin", F.col("end") - F.col("length"))
     cut = laid.join(firsts, "stream").withColumn("w", F.explode(F.sequence(F.floor(F.col("begin") / window), F.floor((F.col("end") - 1) / window))))
     low, high = F.greatest("begin", F.col("w") * window), F.least("end", (F.col("w") + 1) * window)
