@@ -257,7 +257,8 @@ def near_duplicates(
         "set_key", "first", F.coalesce("class_id", "rep").alias("class"), (F.coalesce("degree", F.lit(0)) + F.col("size") - 1).alias("n_links")
     )
     if by_row:
-        heads = classes.groupBy("class").agg(F.min("first").alias("head"))
+        # Written, so that the join with a large class can be split.
+        heads = materialise(classes.groupBy("class").agg(F.min("first").alias("head")), "heads")
         classes = classes.join(heads, "class")
     else:
         classes = classes.withColumn("head", F.struct(F.col("class").alias("doc_id"), F.col("class").alias("row")))
@@ -277,3 +278,30 @@ def keep_one(classes: DataFrame) -> Column:
 
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of texts that share an n-gram, compared on their whole sets; classes by walking the links.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS grams FROM w
+), r AS (
+  SELECT grams, min(doc_id) AS rep, count(*) AS size, len(grams) AS n FROM g GROUP BY grams
+), e AS (
+  SELECT rep, n, size, unnest(grams) AS gram FROM r
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(b.size) AS size FROM e a JOIN e b ON a.gram = b.gram AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+), reach(node, label) AS (
+  SELECT rep, rep FROM r UNION SELECT p.b, reach.label FROM reach JOIN p ON p.a = reach.node WHERE reach.label < p.b
+), c AS (
+  SELECT node, min(label) AS class_id FROM reach GROUP BY node
+), l AS (
+  SELECT a, sum(size) AS links FROM p GROUP BY a
+)
+SELECT g.doc_id, r.rep AS copy_of, c.class_id, CAST(coalesce(l.links, 0) + r.size - 1 AS BIGINT) AS n_links
+FROM g JOIN r ON g.grams = r.grams JOIN c ON c.node = r.rep LEFT JOIN l ON l.a = r.rep
+"""

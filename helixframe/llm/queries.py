@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chunk_recipes import OP3_SQL, op3_chunk_recipes
 from .column_bwt import op10_column_bwt
 from .ctw_scoring import op2_ctw_scoring
-from .minhash_join import op7_minhash_join
+from .minhash_join import OP7_SQL, op7_minhash_join
 from .nnls_packing import op8_nnls_packing
 from .progressive_jpeg import op9_progressive_jpeg
 from .qda_quality import op1_qda_quality
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_chunk_recipes": OP3_SQL,
+    "op7_minhash_join": OP7_SQL,
 }
