@@ -1,38 +1,17 @@
-"""Shared helpers: shared-folder tables, table reads and ASCII normalisation."""
+"""Shared helpers: table reads, ASCII normalisation, sums before a key; and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+from ..sources.shared import materialise, shared_dir
 
+__all__ = ["ascii_lower", "materialise", "shared_dir", "sum_before", "table", "text_of", "with_schema"]
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    Cuts lineage in a way that survives the loss of executors, and lets later
-    readers prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

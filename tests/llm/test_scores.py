@@ -29,6 +29,56 @@ def test_discriminant_is_the_density_difference():
     assert np.allclose(m.score(point), 1 / (1 + np.exp(-np.clip(z, -60, 60))), atol=1e-9)
 
 
+def plain_statistics(text: str | None) -> list[float]:
+    b = (text or "").encode()
+    words = b.split()
+    if not words:
+        words = []
+    n, chars = len(words), [chr(c) for c in b]
+    share = lambda f: sum(map(f, chars)) / max(len(b), 1)
+    lines = [x for x in b.split(b"\n") if x]
+    counts = Counter(b)
+    entropy = -sum(k / len(b) * math.log2(k / len(b)) for k in counts.values())
+    low = lambda c: ord(c) < 128
+    symbol = lambda c: 33 <= ord(c) < 127 and not c.isalnum() and c not in ".,;:'\"-()?"
+    of_words = [
+        math.log1p(n), math.log(sum(map(len, words)) / n), len(set(words)) / n**0.8, math.log(len(b) / len(lines)), math.sqrt(1 - len(set(lines)) / len(lines)),
+        math.sqrt(max(Counter(words).values()) / n), math.sqrt(sum(len(w) <= 3 for w in words) / n), math.sqrt(sum(len(w) > 14 for w in words) / n),
+    ] if n else [0.0] * 8
+    roots = [math.sqrt(share(f)) for f in (lambda c: low(c) and c.isupper(), lambda c: low(c) and c.isdigit(), lambda c: c in ".,", symbol, lambda c: c == "!", lambda c: c == "|")]
+    return [*of_words[:3], share(lambda c: not low(c) or c.isalpha()), *roots[:5], of_words[3], of_words[4], of_words[5], of_words[6], entropy, roots[5], of_words[7]]
+
+
+def test_statistics_against_plain_ones(docs):
+    for r in docs.select("text").collect():
+        got = Q.statistics([r["text"].encode() if r["text"] is not None else None])[0]
+        assert got == pytest.approx(plain_statistics(r["text"]), abs=1e-9)
+
+
+def test_fit_of_summed_rows(spark, plain_docs):
+    """Means, shrunk covariances and odds from Spark's sums, against numpy over the labelled training rows."""
+    rows = {r["doc_id"]: r["text"] for r in plain_docs.collect()}
+    labels = [(i, i % 3 % 2) for i in rows if i % 4] + [(None, 1), (1, None), (10**9, 1)]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = [(plain_statistics(rows[i]), y) for i, y in labels if i in rows and y is not None and zlib.crc32(str(i).encode()) % 5 != 0]
+    x = {k: np.array([v for v, y in kept if y == k]) for k in (0, 1)}
+    for few in (1 << 20, 0):
+        Q.FEW_LABELS, before = few, Q.FEW_LABELS
+        m = Q.trained(plain_docs, frame)
+        Q.FEW_LABELS = before
+        within = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+        pooled = sum(len(x[k]) * within[k] for k in x) / sum(map(len, x.values()))
+        deviation = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
+        for k in (0, 1):
+            assert m.mean[k] == pytest.approx(x[k].mean(0), abs=1e-9)
+            cov = (0.8 * within[k] + 0.2 * pooled) / np.outer(deviation, deviation)
+            cov = 0.98 * cov + 0.02 * np.trace(cov) / Q.D * np.eye(Q.D)
+            assert m.log_det[k] == pytest.approx(np.linalg.slogdet(cov)[1], abs=1e-5)
+            scaled = m.inverse[k] * deviation
+            assert scaled.T @ scaled == pytest.approx(np.linalg.inv(cov), abs=1e-3, rel=1e-4)
+        assert m.log_odds == pytest.approx(math.log(len(x[1]) / len(x[0])))
+
+
 def test_quality_on_awkward_rows(spark, docs, no_docs):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
     rows = Q.quality(docs, labels).collect()
@@ -150,6 +200,21 @@ def test_scores_on_awkward_rows(docs, no_docs):
     assert C.score(no_docs, depth=3).count() == 0
 
 
+def test_scores_match_the_definition(spark):
+    """The score of a whole text through Spark, against sums over the tree as it is defined."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.choice(list(b"abc "), int(rng.integers(0, 40))).tolist()).decode() for _ in range(12)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:12]
+    depth = 2
+    bits = ctw_by_definition([t.encode() for t in texts], depth)
+    out = {r["doc_id"]: r["score"] for r in C.score(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), depth=depth, least=1).collect()}
+    for i, t in zip(ids, texts, strict=True):
+        data = bytes([C.END] * depth) + t.encode() + bytes([C.END])
+        wanted = sum(bits[data[k - depth : k], data[k]] for k in range(depth, len(data)))
+        found = -out[i] / math.log10(2)
+        assert wanted - 1e-6 <= found <= wanted + 1.1 / C.STEPS * (len(t) + 1)
+
+
 def test_cold_words_are_joined(docs, monkeypatch):
     a = {(r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in C.score(docs, depth=2).collect()}
     monkeypatch.setattr(C, "HOT_WORDS", 1)
