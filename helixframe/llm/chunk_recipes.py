@@ -2,8 +2,9 @@
 
 A text is cut where its own content says so, each chunk gets an identifier that
 has been verified against the chunk's bytes over the whole corpus, and texts are
-then compared by their ordered identifier lists. Chunk bytes move once, after
-map-side duplicate removal; whole texts never move.
+then compared by their ordered identifier lists, which begin with their number of
+chunks. Chunk bytes move once, after map-side duplicate removal; whole texts never
+move.
 """
 
 from __future__ import annotations
@@ -57,13 +58,12 @@ def exact_dedup(
     dictionary = chunked.select(F.explode("chunks").alias("chunk")).select(chunk_key(F.col("chunk"), hash_bits).alias("h"), "chunk").distinct()
     clashing = materialise(dictionary.groupBy("h").count().filter("count > 1").select("h"), "chunk-clashes")
 
-    recipes = chunked.select(
-        "doc_id",
-        F.transform("chunks", lambda c: chunk_key(c, hash_bits)).alias("recipe"),
-        F.sha2("norm", 256).alias("text_sha256"),
-    )
+    own = F.transform("chunks", lambda c: chunk_key(c, hash_bits))
+    recipes = chunked.select("doc_id", F.concat(F.array(F.size("chunks").cast("long")), own).alias("recipe"), F.sha2("norm", 256).alias("text_sha256"))
     if not clashing.isEmpty():
-        recipes = _with_ordinals(chunked, dictionary, clashing, hash_bits)
+        marks = _ordinals(chunked, dictionary, clashing, hash_bits)
+        marked = F.concat("recipe", F.flatten(F.transform("clashes", lambda c: F.array(c["pos"].cast("long"), c["ordinal"]))))
+        recipes = recipes.join(marks, "text_sha256", "left").select("doc_id", F.coalesce(marked, "recipe").alias("recipe"), "text_sha256")
     recipes = materialise(recipes, "recipes")
 
     # Partial aggregation keeps a large group from meeting in one task; since the groups are a
@@ -76,24 +76,22 @@ def exact_dedup(
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
-        F.size("recipe").cast("long").alias("n_chunks"),
+        F.col("recipe")[0].alias("n_chunks"),
     )
 
 
-def _with_ordinals(chunked: DataFrame, dictionary: DataFrame, clashing: DataFrame, hash_bits: int) -> DataFrame:
-    """Recipes in which chunks that share an identifier are told apart by an ordinal.
+def _ordinals(chunked: DataFrame, dictionary: DataFrame, clashing: DataFrame, hash_bits: int) -> DataFrame:
+    """text_sha256, clashes: places and ordinals of a text's chunks that share an identifier with others.
 
-    The ordinal ranks the distinct chunks of one identifier: a handful, whatever the input.
+    The ordinal ranks the distinct chunks of one identifier, a handful whatever the
+    input; the first needs none. Only chunks whose identifier clashes are joined: the
+    list of those is short, so that all others go where they are read.
     """
-    ordinals = dictionary.join(clashing, "h").select("h", "chunk", F.row_number().over(W.partitionBy("h").orderBy("chunk")).cast("long").alias("ordinal"))
-    each = chunked.select("norm", F.posexplode_outer("chunks").alias("pos", "chunk")).withColumn("h", chunk_key(F.col("chunk"), hash_bits))
-    part = F.when(F.col("chunk").isNotNull(), F.struct("pos", "h", F.coalesce("ordinal", F.lit(0).cast("long")).alias("o")))
-    parts = each.join(ordinals, ["h", "chunk"], "left").groupBy("norm").agg(F.array_sort(F.collect_set(part)).alias("parts"))
-    return chunked.select("doc_id", "norm").join(parts, "norm").select(
-        "doc_id",
-        F.flatten(F.transform("parts", lambda p: F.array(p["h"], p["o"]))).alias("recipe"),
-        F.sha2("norm", 256).alias("text_sha256"),
-    )
+    ranked = dictionary.join(clashing, "h").select("h", "chunk", F.row_number().over(W.partitionBy("h").orderBy("chunk")).cast("long").alias("ordinal"))
+    ranked = materialise(ranked.filter("ordinal > 1"), "chunk-ordinals")
+    each = chunked.select(F.sha2("norm", 256).alias("text_sha256"), F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", chunk_key(F.col("chunk"), hash_bits))
+    found = each.join(ranked, ["h", "chunk"]).groupBy("text_sha256").agg(F.array_sort(F.collect_set(F.struct("pos", "ordinal"))).alias("clashes"))
+    return materialise(found, "clashes")
 
 
 def op3_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
