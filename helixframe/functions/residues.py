@@ -113,3 +113,8 @@ def three_to_index(name: Column) -> Column:
 def side_chain_torsions(name: Column) -> Column:
     """Torsions that are stored for a residue's side chain, O included."""
     return _lookup({n: len(r.side) for n, r in dictionary().items()}, name, 0)
+
+
+def alphabetical() -> list[str]:
+    """Names of the residues that have a dictionary entry, in alphabetical order."""
+    return sorted(dictionary())

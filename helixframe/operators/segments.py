@@ -95,3 +95,9 @@ def blend(forward: Column, backward: Column) -> Column:
     """Elements that go over, from the first to the last, from one array to another."""
     n = F.size(forward)
     return F.transform(F.arrays_zip(forward.alias("f"), backward.alias("b")), lambda x, i: (x["f"] * (n - i) + x["b"] * i) / n)
+
+
+def joined_segments(parts: Column, overlap: int) -> Column:
+    """One array of arrays that follow one another, each but the last without its last elements, which the next begins with."""
+    n = F.size(parts)
+    return F.flatten(F.transform(parts, lambda x, i: F.when(i < n - 1, F.slice(x, F.lit(1), F.greatest(F.size(x) - overlap, F.lit(0)))).otherwise(x)))

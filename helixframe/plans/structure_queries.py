@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from .. import api
 from ..functions import residues as R
@@ -27,9 +28,10 @@ from ..operators import entry_codec as E
 from ..operators import lookup as L
 from ..operators import quantize as Q
 from ..operators import report as P
+from ..operators import segments as M
 from ..sources import keyed_db as K
 from ..sources import structures as S
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, write_files
 from . import structures as A
 from .queries import _BINS, _PTS, _TORSION, _fixed_sql, _points, _table, query
 
@@ -493,3 +495,139 @@ def k22_quantizer_audit(spark, sf_dir):
     """Each value's bin, what it restores and what is lost."""
     out = Q.audit(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 255)
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "bin", F.round("lo", 2).alias("lo"), F.round("restored", 4).alias("restored"), (F.round("diff", 4) + 0.0).alias("diff"))
+
+
+# ---------------------------------------------------------------- small readers, names and fields
+
+
+@query(_PTS + """, m AS (SELECT *, unnest([1, 3]) AS model FROM p) SELECT 'v' || vec_id || '.cif' AS name, CAST(model AS INTEGER) AS model, CAST(pos + CASE model WHEN 3 THEN count(*) OVER (PARTITION BY vec_id, model) ELSE 0 END AS BIGINT) AS pos, ['N', 'CA', 'C'][pos % 3 + 1] AS atom,
+CASE model WHEN 1 THEN CAST(""" + _fixed_sql("x * 10", 3) + " AS DOUBLE) ELSE 1.5 END AS x, CAST(" + _fixed_sql("y * 10", 3) + " AS DOUBLE) AS y FROM m")
+def s04_components(spark, sf_dir):
+    """Chemical components with coordinates of their own and ideal ones; numbers with uncertainties."""
+    rows = _atom_rows(spark, sf_dir)
+    x, y, z = (T.fixed_decimals(F.col(k), 3) for k in "xyz")
+    line = F.concat_ws(" ", F.lit("GLY"), "atom", x, y, z, F.lit("1.5(3)"), y, z)
+    text = P.joined(rows, ["name"], ["pos"], line, "\n", "text")
+    tags = ("comp_id", "atom_id", "x", "y", "z", "pdbx_model_Cartn_x_ideal", "pdbx_model_Cartn_y_ideal", "pdbx_model_Cartn_z_ideal")
+    head = "data_GLY\nloop_\n" + "".join(f"_chem_comp_atom.{t}\n" for t in tags)
+    return S.atoms(text.select(F.concat("name", F.lit(".cif")).alias("name"), _bytes(F.concat(F.lit(head), "text", F.lit("\n"))).alias("content"))).select("name", "model", "pos", "atom", "x", "y")
+
+
+@query("SELECT 'v' || vec_id || '.pdb' AS name, CASE WHEN vec_id % 6 = 0 THEN 'more than one chain' END AS error FROM embeddings")
+def s10_atom_lines_of_one_chain(spark, sf_dir):
+    """The short way in takes one chain alone."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            errors: list[str | None] = []
+            for c in f["content"]:
+                try:
+                    api.compress("x", bytes(c).decode())
+                    errors.append(None)
+                except api.Error as e:
+                    errors.append(str(e))
+            yield pd.DataFrame({"name": f["name"], "error": errors})
+
+    return _pdb_files(spark, sf_dir).mapInPandas(run, "name string, error string")
+
+
+@query("SELECT doc_id, regexp_matches(source || '/' || doc_id || ['.pdb', '.tar', '.cif.gz', '', '.fcz'][doc_id % 5 + 1], '\\.(pdb|pdb\\.gz|cif|cif\\.gz|fcz)$') AS is_file FROM documents")
+def s12_lines_of_a_list(spark, sf_dir):
+    """Which lines of a file list are files of their own."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            files = set(S.listed_paths(f["path"].tolist())[0])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "is_file": f["path"].isin(files)})
+
+    ending = F.element_at(F.array(*map(F.lit, (".pdb", ".tar", ".cif.gz", "", ".fcz"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", ending).alias("path")).mapInPandas(run, "doc_id long, is_file boolean")
+
+
+@query(_PTS + " SELECT vec_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys FROM p GROUP BY vec_id")
+def p05_coordinates(spark, sf_dir):
+    """The coordinates alone."""
+    p = C.points_of(F.col("embedding"))
+    held = _table(spark, sf_dir, "embeddings").select("vec_id", p.alias("p"))
+    return held.select("vec_id", F.transform("p", lambda c: c["x"].cast("double")).alias("xs"), F.transform("p", lambda c: c["y"].cast("double")).alias("ys"))
+
+
+@query("SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS whole FROM embeddings")
+def u02_joined_segments(spark, sf_dir):
+    """Arrays cut with an overlap of three and put together again."""
+    v = F.col("embedding").cast("array<double>")
+    starts = F.sequence(F.lit(0), F.size(v) - 4, F.lit(13))
+    parts = F.transform(starts, lambda i: F.slice(v, i + 1, F.lit(16)))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", M.joined_segments(parts, 3).alias("whole"))
+
+
+_NAMES_SQL = ", ".join(f"({k}, '{n}')" for k, n in enumerate(R.alphabetical()))
+
+
+@query(f"SELECT p_partkey, a.name FROM part JOIN (VALUES {_NAMES_SQL}) a(i, name) ON a.i = p_partkey % {len(R.alphabetical())}")
+def f18_alphabetical_residues(spark, sf_dir):
+    names = F.array(*map(F.lit, R.alphabetical()))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(R.alphabetical())).cast("int")).alias("name"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS number, reverse(CAST(o_custkey AS VARCHAR)) AS reversed FROM orders")
+def f22_number_text(spark, sf_dir):
+    text = F.col("o_custkey").cast("string")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("number"), F.reverse(text).alias("reversed"))
+
+
+@query("SELECT doc_id, trim(chr(9) || ' ' || text || ' ' || chr(9), ' ' || chr(9)) AS stripped FROM documents")
+def f23_strip_blanks(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.strip_blanks(F.concat(F.lit("\t "), "text", F.lit(" \t"))).alias("stripped"))
+
+
+@query("SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM conversations")
+def f28_words(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("words"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey % 99999 AS BIGINT) AS decimal, 100000 + o_orderkey % 26 AS upper, 100000 + 26 * 36 * 36 * 36 * 36 + o_orderkey % 10 AS lower, o_orderstatus AS status FROM orders""")
+def f29_record_fields(spark, sf_dir):
+    """numbers in columns, decimal or going on in base 36, and trimmed text."""
+    k = F.col("o_orderkey")
+    top, low = F.concat(F.lit("A000"), F.conv((k % 26).cast("string"), 10, 36)), F.concat(F.lit("a000"), (k % 10).cast("string"))
+    line = F.concat(F.lit("HETATM"), F.lpad((k % 99999).cast("string"), 5, " "), top, low, F.lit("  "), "o_orderstatus", F.lit("  "))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
+    numbers = {n: T.hybrid_number(T.cut(F.col("line"), a, a + 4), 5) for n, a in (("decimal", 7), ("upper", 12), ("lower", 17))}
+    return rows.select("o_orderkey", *(v.alias(n) for n, v in numbers.items()), T.cut(F.col("line"), 22, 26).alias("status"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def f30_dates(spark, sf_dir):
+    """dates of records, with a month's name and a year of two digits."""
+    return _table(spark, sf_dir, "orders").select("o_orderkey", T.iso_date(F.upper(F.date_format("o_orderdate", "dd-MMM-yy"))).alias("iso"))
+
+
+@query("SELECT * FROM (VALUES ('N', 'CA', 1.4581::DOUBLE), ('CA', 'C', 1.5281), ('C', 'N', 1.3311), ('N', 'CA of PRO', 1.353)) t(a, b, length)")
+def f34_bond_lengths(spark, sf_dir):
+    rows = [("N", "CA", R.N_CA), ("CA", "C", R.CA_C), ("C", "N", R.C_N), ("N", "CA of PRO", R.PRO_N_CA)]
+    return spark.createDataFrame(rows, "a string, b string, length double")
+
+
+@query("""SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey * 7919 % 10007, s_suppkey) - 1 AS place, s_suppkey * 7919 % 10007 AS key FROM supplier""")
+def o03_order_of_given_keys(spark, sf_dir):
+    """A database whose entries bring keys is laid out in their order; each entry is a byte long, so offsets are places."""
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), F.lit(bytearray(b"x")).alias("content"), (F.col("s_suppkey") * 7919 % 10007).alias("k"))
+    return K.layout(rows, key="k").select(F.col("name").cast("long").alias("s_suppkey"), F.col("offset").alias("place"), "key")
+
+
+_TARGETS = [("a/b.pdb", None, "fcz", False, False, False, "a/b.fcz"), ("a/b/", None, "fcz", True, False, False, "a/b_fcz/"), ("d", None, "fcz", True, True, False, "d.fcz.tar"), ("d", "e", "fcz", True, False, False, "e"), ("d", None, "fcz", True, False, True, "d_db")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t[-1]}')" for k, t in enumerate(_TARGETS)) + ") t(place, target)")
+def k09_output_targets(spark, sf_dir):
+    return spark.createDataFrame([(k, S.output_target(*t[:-1])) for k, t in enumerate(_TARGETS)], Y.StructType([Y.StructField("place", Y.IntegerType()), Y.StructField("target", Y.StringType())]))
+
+
+@query("SELECT r_name AS name, 'exists already' AS error FROM region")
+def k11_overwrite_guard(spark, sf_dir):
+    """A file for each row; one that is there already stays."""
+    folder = _scratch(spark, "files").removeprefix("file:").replace("///", "/")
+    rows = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), _bytes(F.col("r_name")).alias("content"))
+    write_files(rows, folder)
+    return write_files(rows, folder)
