@@ -9,17 +9,25 @@ from helixframe.llm.chunk_recipes import exact_dedup
 from helixframe.llm.common import ascii_lower, materialise, table, text_of
 from helixframe.llm.minhash_join import near_duplicates
 from helixframe.llm.nnls_packing import digests, pack
-from helixframe.llm.qda_quality import accepted, document_statistics, train
-from helixframe.llm.temperature_mixing import mix
+from helixframe.llm.qda_quality import accepted, trained
+from helixframe.llm.temperature_mixing import in_order, mix
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the quality classifier scores below 0.3."""
-    return accepted(docs, train(document_statistics(docs), table(spark, sf_dir, "labels")))
+    """Rejects documents that the quality classifier scores below 0.3.
+
+    Every row is scored by its own text, null as empty, so rows that repeat share
+    their fate; ids, null or not, only join the labels. Columns pass as they are.
+    """
+    return accepted(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal after lower-casing A-Z, the document with the largest id stays."""
+    """Of texts equal after lower-casing A-Z, the document with the largest id stays.
+
+    Null texts are empty ones. A null id stays where its group has no other. Rows that
+    repeat that id within the group all stay.
+    """
     # A decision is one about an id, which may be null or repeat, and a text.
     kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
     digest = F.sha2(ascii_lower(text_of("text")), 256)
@@ -27,7 +35,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, one document with the least id stays; so do all without an id."""
+    """Of each class of near-duplicates, one document with the least id stays; so do all without an id.
+
+    Rows that repeat an id are documents of their own, one of which stays if the class
+    is theirs. Null and empty texts are one class.
+    """
     row = "row"
     while row in docs.columns:
         row += "_"
@@ -38,12 +50,19 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of smaller sources, twice at most; none is lost."""
-    return mix(docs).select("record.*")
+    """Repeats documents of smaller sources, twice at most, in the order of the passes' block permutations; none is lost.
+
+    A null source is the empty one; null and empty texts have no tokens and come once
+    for each whole pass over their source. Rows that repeat go together.
+    """
+    return in_order(mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 4096 tokens; one row for each piece."""
+    """Packs all documents into sequences of 4096 tokens; one row for each piece.
+
+    Every row is a document of its own, whatever its id; a null text has the end id alone.
+    """
     return digests(pack(docs))
 
 
