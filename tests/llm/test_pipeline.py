@@ -111,3 +111,9 @@ def test_other_stages_on_awkward_rows(spark, awkward_docs):
     assert kept.count() == scores.filter("score >= 0.3").count()
     assert set(pairs(P.mixing_stage(spark, awkward_docs, SF))) == set(pairs(awkward_docs))
     assert P.packing_stage(spark, awkward_docs, SF).filter("start = 0").count() == awkward_docs.count()
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_of_empty_tables(spark, no_docs, k):
+    out = P.STAGES[k][1](spark, no_docs, SF)
+    assert out.count() == 0 and (k == 4 or out.columns == no_docs.columns)
