@@ -26,8 +26,8 @@ from .trie_counts import slices
 TOKENIZER, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Length bins of a window, and the most pieces that a combination has.
 BINS, DEPTH = 256, 3
-#: Rows or windows that one task of a ranking holds.
-RANKED, STREAM_WINDOWS = 50_000, 32
+#: Rows that a part of a ranking holds, or the square root of a bin's rows if that is more; windows of a stream.
+RANKED, STREAM_WINDOWS = 1000, 32
 #: Words whose ids a worker keeps; when full they are dropped and gathered anew.
 KEPT = 900_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -231,8 +231,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     places = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "bin int, low long, high long, base long, place int")
 
     # Rank within a bin in two steps, so that a bin with a third of all pieces is many tasks' work.
-    parts = max(1, -(-int(histogram.sum()) // RANKED))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "start"), F.lit(parts)))
+    parts = [max(1, int(np.ceil(n / max(RANKED, np.sqrt(n))))) for n in histogram]
+    own_parts = F.element_at(F.array(*[F.lit(p).cast("long") for p in parts]), F.col("bin"))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "start"), own_parts))
     before = dealt.groupBy("bin", "part").count().select("bin", "part", (F.sum("count").over(W.partitionBy("bin").orderBy("part")) - F.col("count")).alias("before"))
     own = dealt.withColumn("own", F.row_number().over(W.partitionBy("bin", "part").orderBy("row", "start")) - 1)
     ranked = own.join(before, ["bin", "part"]).withColumn("rank", F.col("own") + F.col("before"))
