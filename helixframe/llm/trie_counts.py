@@ -46,27 +46,46 @@ class Unigram:
         pieces = (i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)))
         self.scores = {model.id_to_piece(i): float(-np.log(i + 1) - total) for i in pieces}
         self.byte = float(-np.log(size) - total)
-        self.longest = max(map(len, self.scores), default=1)
+        #: Lengths of the pieces of three characters and more by their last three, longest first.
+        lengths: dict[str, set[int]] = {}
+        for piece in self.scores:
+            if len(piece) >= 3:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {end: sorted(of, reverse=True) for end, of in lengths.items()}
 
     def counts(self, words: list[str]) -> Iterator[tuple[int, float]]:
         """Tokens and score of the best segmentation of each word, of words in order.
 
         Among equal scores the fewer tokens win.
         """
-        scores, longest, byte = self.scores, self.longest, self.byte
+        score, lengths, byte = self.scores.get, self.lengths.get, self.byte
         best, tokens, before = [0.0], [0], ""
         for word in words:
             shared = len(commonprefix((before, word)))
             del best[shared + 1 :], tokens[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
-                size = len(word[i - 1].encode("utf-8", "surrogatepass"))
+                last = word[i - 1]
+                # Each way to end here, by the piece that comes last: bytes, one character, two, and those that end alike.
+                size = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
                 top, fewest = best[i - 1] + byte * size, tokens[i - 1] + size
-                for k in range(max(0, i - longest), i):
-                    s = scores.get(word[k:i])
+                s = score(last)
+                if s is not None:
+                    s += best[i - 1]
+                    if s > top or (s == top and tokens[i - 1] + 1 < fewest):
+                        top, fewest = s, tokens[i - 1] + 1
+                if i > 1:
+                    s = score(word[i - 2 : i])
                     if s is not None:
-                        s += best[k]
-                        if s > top or (s == top and tokens[k] + 1 < fewest):
-                            top, fewest = s, tokens[k] + 1
+                        s += best[i - 2]
+                        if s > top or (s == top and tokens[i - 2] + 1 < fewest):
+                            top, fewest = s, tokens[i - 2] + 1
+                    for n in lengths(word[i - 3 : i], ()) if i > 2 else ():
+                        if n <= i:
+                            s = score(word[i - n : i])
+                            if s is not None:
+                                s += best[i - n]
+                                if s > top or (s == top and tokens[i - n] + 1 < fewest):
+                                    top, fewest = s, tokens[i - n] + 1
                 best.append(top)
                 tokens.append(fewest)
             before = word
@@ -90,10 +109,11 @@ def count_batch(texts: list[bytes | None], path: str, keep: int = KEPT) -> tuple
         done[w] = found
     pre, n, score = [], [], []
     for words in split:
-        found = [done[w] for w in words]
+        found = list(map(done.__getitem__, words))
         pre.append(len(words))
-        n.append(sum(x[0] for x in found))
-        score.append(float(sum(x[1] for x in found)))
+        counts, scores = zip(*found, strict=True) if found else ((), ())
+        n.append(sum(counts))
+        score.append(float(sum(scores)))
     return pre, n, score
 
 
