@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chunk_recipes import OP3_SQL, op3_chunk_recipes
 from .column_bwt import op10_column_bwt
 from .ctw_scoring import op2_ctw_scoring
+from .merkle_manifest import OP11_SQL, op11_merkle_manifest
 from .minhash_join import OP7_SQL, op7_minhash_join
 from .nnls_packing import op8_nnls_packing
 from .progressive_jpeg import op9_progressive_jpeg
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_nnls_packing": op8_nnls_packing,
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_column_bwt": op10_column_bwt,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op3_chunk_recipes": OP3_SQL,
     "op7_minhash_join": OP7_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
