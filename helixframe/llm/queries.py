@@ -11,6 +11,7 @@ from .nnls_packing import op8_nnls_packing
 from .progressive_jpeg import op9_progressive_jpeg
 from .qda_quality import op1_qda_quality
 from .temperature_mixing import op5_temperature_mixing
+from .text_fingerprints import op12_text_fingerprints
 from .tokenizer_alignment import op13_tokenizer_alignment
 from .trie_counts import op4_trie_counts
 from .two_pass_shuffle import op6_two_pass_shuffle
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_column_bwt": op10_column_bwt,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_text_fingerprints": op12_text_fingerprints,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
