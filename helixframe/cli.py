@@ -145,12 +145,11 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         if not a.output:
             say("rmsd takes two structures")
             return 1
-        sides = [materialise(S.atoms(S.entries(spark, x).select("entry", "name", "content")).withColumn("name", F.lit("x")), "side") for x in (a.input, a.output)]
-        counts = [x.count() for x in sides]
-        if counts[0] != counts[1] or not counts[0]:
-            say("the numbers of atoms differ" if all(counts) else "no atoms")
-            return 1
+        sides = [materialise(S.atoms(S.entries(spark, x).select("entry", "name", "content")).withColumn("entry", F.lit("x")), "side") for x in (a.input, a.output)]
         r = A.compare(*sides).first()
+        if r is None or r["error"]:
+            say(r["error"] if r else "no atoms")
+            return 1
         print("\t".join(map(str, (a.input, a.output, r["n_residue"], r["n_atom"], f"{r['backbone_rmsd']:.6g}", f"{r['all_rmsd']:.6g}"))))
     elif a.verb == "check":
         named = inputs(spark, a).select("name", F.col("content").alias("blob"))

@@ -41,10 +41,14 @@ def with_dictionary(df: DataFrame, dictionary: DataFrame, key: str, strict: bool
 
 
 def zip_rows(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], names: tuple[str, str] = ("left", "right")) -> DataFrame:
-    """Rows of two frames side by side, by their place within keys."""
+    """keys, place, and rows of two frames side by side, by their place within keys; null where a frame has no row there.
+
+    Frames of unequal size are told by rows that have one side. Null keys are alike.
+    """
     over = W.partitionBy(*keys).orderBy(*order)
-    sides = [df.select(*keys, F.struct(*df.columns).alias(n), F.row_number().over(over).alias("place")) for df, n in zip((a, b), names, strict=True)]
-    return sides[0].join(sides[1], [*keys, "place"])
+    key = F.struct(F.lit(0).alias("_"), *keys).alias("_key")
+    sides = [df.select(key, F.struct(*df.columns).alias(n), F.row_number().over(over).alias("place")) for df, n in zip((a, b), names, strict=True)]
+    return sides[0].join(sides[1], ["_key", "place"], "full").select(*(F.col("_key")[k].alias(k) for k in keys), "place", *names)
 
 
 def at_index(df: DataFrame, order: list[str], index: int) -> DataFrame:

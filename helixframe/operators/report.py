@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import fixed_decimals
+from . import scans
 
 #: Outcomes of a check, in order of precedence, and what is said of each.
 VALIDITY = {
@@ -24,15 +25,34 @@ def rmsd(squares: Column) -> Column:
     return F.sqrt(F.avg(squares))
 
 
-def rmsd_report(pairs: DataFrame, keys: list[str], squares: Column, is_backbone: Column) -> DataFrame:
-    """keys, n_residue, n_atom, backbone_rmsd and all_rmsd."""
-    held = pairs.select(*keys, squares.alias("_d2"), is_backbone.alias("_b"))
-    return held.groupBy(*keys).agg(
-        F.floor(F.count_if("_b") / 3).cast("long").alias("n_residue"),
+def rmsd_report(pairs: DataFrame, keys: list[str], squares: Column, backbones: tuple[Column, Column], sides: tuple[str, str] = ("left", "right"), also: dict[str, Column] | None = None) -> DataFrame:
+    """keys, n_residue, n_atom, backbone_rmsd, all_rmsd and error of zipped rows; also: aggregates to go with them.
+
+    backbones: whether the row of each side is of the backbone. Where a side has no
+    atoms, or the sides do not have as many, the error says so and the rest is null.
+    """
+    there = [F.col(s).isNotNull().alias(f"_{k}") for k, s in enumerate(sides)]
+    of_backbone = [F.coalesce(b, F.lit(False)).alias(f"_b{k}") for k, b in enumerate(backbones)]
+    held = pairs.select(*keys, squares.alias("_d2"), *there, *of_backbone, *(c.alias(f"_also_{n}") for n, c in (also or {}).items()))
+    out = held.groupBy(*keys).agg(
+        F.floor(F.count_if("_b0") / 3).cast("long").alias("n_residue"),
         F.count(F.lit(1)).alias("n_atom"),
-        rmsd(F.when(F.col("_b"), F.col("_d2"))).alias("backbone_rmsd"),
+        rmsd(F.when(F.col("_b0"), F.col("_d2"))).alias("backbone_rmsd"),
         rmsd(F.col("_d2")).alias("all_rmsd"),
+        *(F.count_if(f"_{k}").alias(f"_{k}") for k in (0, 1)),
+        *(F.count_if(f"_b{k}").alias(f"_b{k}") for k in (0, 1)),
+        *(F.max(f"_also_{n}").alias(n) for n in also or {}),
+    )
+    differ = lambda what, a, b: F.concat(F.lit(f"the numbers of {what} differ: "), F.col(a).cast("string"), F.lit(" and "), F.col(b).cast("string"))
+    error = (
+        F.when(F.col("_0") == 0, "the first has no atoms")
+        .when(F.col("_1") == 0, "the second has no atoms")
+        .when(F.col("_0") != F.col("_1"), differ("atoms", "_0", "_1"))
+        .when(F.col("_b0") != F.col("_b1"), differ("backbone atoms", "_b0", "_b1"))
     )
+    out = out.withColumn("error", error)
+    values = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("n_residue", "n_atom", "backbone_rmsd", "all_rmsd")]
+    return out.select(*keys, *values, "error", *(also or {}))
 
 
 def all_zero(value: Column) -> Column:
@@ -53,8 +73,10 @@ def validity_message(code: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in VALIDITY.items() for x in kv])[code]
 
 
-def joined(df: DataFrame, keys: list[str], order: list[str], value: Column, joiner: str = "", name: str = "data") -> DataFrame:
-    """keys and the values of each group, joined in order."""
+def joined(df: DataFrame, keys: list[str], order: list[str], value: Column, joiner: str = "", name: str = "data", spread: bool = False) -> DataFrame:
+    """keys and the values of each group, joined in order; spread: a group's rows over many tasks, then piece by piece."""
+    if spread:
+        return scans.gathered(scans.ranged(df, keys, order), keys, order, value, name, joiner)
     held = F.array_sort(F.collect_list(F.struct(*order, value.alias("_value"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(held, lambda x: x["_value"]), joiner).alias(name))
 

@@ -1,4 +1,9 @@
-"""Filters, runs and segments of ordered rows."""
+"""Filters, runs and segments of ordered rows.
+
+Where a function takes spread, that deals the rows of a key over many tasks (see
+scans), for keys that may be longer than a task should hold; without it a key is
+one window.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def in_order(keys: list[str], order: list[str]):
     return W.partitionBy(*keys).orderBy(*order)
@@ -28,8 +35,12 @@ def drop_before_repeat(df: DataFrame, keys: list[str], order: list[str], value:
     return df.withColumn("_after", after).filter(stays if keep is None else stays | keep).drop("_after")
 
 
-def with_run_id(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "run_id") -> DataFrame:
+def with_run_id(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "run_id", spread: bool = False) -> DataFrame:
     """Adds the number, from 0, of the run of one value that a row is in."""
+    if spread:
+        rows = scans.changes(scans.ranged(df, keys, order), order, value, "_start")
+        out = scans.scanned(rows, order, sums={name: F.col("_start")})
+        return scans.plain(out.withColumn(name, F.col(name) - 1)).drop("_start")
     over = in_order(keys, order)
     starts = df.withColumn("_start", (~F.col(value).eqNullSafe(F.lag(value).over(over))).cast("long"))
     return starts.withColumn(name, F.sum("_start").over(over.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_start")
@@ -40,19 +51,31 @@ def run_heads(df: DataFrame, keys: list[str], order: list[str], value: str) -> D
     return drop_adjacent_repeats(df, keys, order, value)
 
 
-def chain_segments(df: DataFrame, keys: list[str], order: list[str], chain: str, opens: Column) -> DataFrame:
+def chain_segments(df: DataFrame, keys: list[str], order: list[str], chain: str, opens: Column, spread: bool = False) -> DataFrame:
     """Adds segment, the run of one chain; rows of a run before the first for which opens holds go, and runs without one."""
+    if spread:
+        rows = scans.changes(scans.ranged(df, keys, order), order, chain, "_start")
+        place = F.struct(*order, "_own")
+        marks = {"_began": F.when(F.col("_start") == 1, place), "_opened": F.when(opens, place)}
+        out = scans.scanned(rows, order, sums={"segment": F.col("_start")}, lasts=marks).filter("_opened >= _began")
+        return scans.plain(out.withColumn("segment", F.col("segment") - 1)).drop("_start", *marks)
     runs = with_run_id(df, keys, order, chain, "segment")
     within = W.partitionBy(*keys, "segment").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return runs.withColumn("_open", F.max(F.coalesce(opens, F.lit(False)).cast("int")).over(within)).filter("_open = 1").drop("_open")
 
 
-def gap_fragments(df: DataFrame, keys: list[str], order: list[str], number: str, marker: Column | None = None) -> DataFrame:
+def gap_fragments(df: DataFrame, keys: list[str], order: list[str], number: str, marker: Column | None = None, spread: bool = False) -> DataFrame:
     """Adds fragment, from 0: a new one begins at a marked row whose number is more than one beyond the last marked row's.
 
     Without a marker all rows are marked. Rows before the first marked one go.
     """
     mark = F.lit(True) if marker is None else F.coalesce(marker, F.lit(False))
+    if spread:
+        rows = scans.ranged(df.withColumn("_mark", mark), keys, order)
+        rows = scans.scanned(rows, order, lasts={"_last": F.when(F.col("_mark"), F.col(number))}, before=True)
+        gap = F.coalesce(F.col("_mark") & (F.col(number) - F.col("_last") > 1), F.lit(False)).cast("long")
+        out = scans.scanned(rows.withColumn("_gap", gap), order, sums={"fragment": F.col("_gap"), "_any": F.col("_mark").cast("long")}).filter("_any > 0")
+        return scans.plain(out).drop("_mark", "_last", "_gap", "_any")
     over = in_order(keys, order)
     before = F.last(F.when(F.col("_mark"), F.col(number)), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1))
     marked = df.withColumn("_mark", mark).withColumn("_gap", F.coalesce(F.col("_mark") & (F.col(number) - before > 1), F.lit(False)).cast("long"))
@@ -61,10 +84,22 @@ def gap_fragments(df: DataFrame, keys: list[str], order: list[str], number: str,
     return out.filter("_any = 1").drop("_mark", "_gap", "_any")
 
 
-def renumber(df: DataFrame, keys: list[str], order: list[str], start: int = 0, name: str = "number") -> DataFrame:
+def renumber(df: DataFrame, keys: list[str], order: list[str], start: int = 0, name: str = "number", spread: bool = False) -> DataFrame:
+    """Adds a number that ascends by one along the order, from start."""
+    if spread:
+        out = scans.scanned(scans.ranged(df, keys, order), order, sums={name: F.lit(1).cast("long")})
+        return scans.plain(out.withColumn(name, F.col(name) - 1 + start))
     return df.withColumn(name, F.row_number().over(in_order(keys, order)) - 1 + start)
 
 
+def collected(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, spread: bool = False) -> DataFrame:
+    """keys and the list of each key's values, in order."""
+    if spread:
+        return scans.gathered(scans.ranged(df, keys, order), keys, order, F.col(value), name)
+    held = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_value"))))
+    return df.groupBy(*keys).agg(F.transform(held, lambda x: x["_value"]).alias(name))
+
+
 def only_whole(df: DataFrame, keys: list[str], fragment: str = "fragment") -> DataFrame:
     """Rows of groups that are one fragment."""
     return df.withColumn("_n", F.max(fragment).over(W.partitionBy(*keys))).filter("_n = 0").drop("_n")

@@ -160,33 +160,44 @@ def j05_dictionary_join(spark, sf_dir):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of each embedding beside those of the next one."""
+    """Points of each embedding beside those of the next one; every seventh has lost its last point on that side."""
     points = _points(spark, sf_dir)
-    after = points.withColumn("vec_id", F.col("vec_id") - 1)
-    return L.zip_rows(points, after, ["vec_id"], ["pos"]).select("vec_id", F.col("left.pos").alias("pos"), F.col("left.coord").alias("a"), F.col("right.coord").alias("b"))
+    after = points.withColumn("vec_id", F.col("vec_id") - 1).filter("vec_id % 7 <> 3 or pos < 20")
+    pairs = L.zip_rows(points, after, ["vec_id"], ["pos"])
+    return pairs.select("vec_id", (F.col("place") - 1).alias("pos"), "left", "right", F.col("left.coord").alias("a"), F.col("right.coord").alias("b"))
 
 
-_PAIR_SQL = _PTS + ", j AS (SELECT a.vec_id, a.pos, (a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2 AS d2 FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos)"
+_PAIR_SQL = _PTS + """, o AS (SELECT vec_id - 1 AS vec_id, pos, x, y, z FROM p WHERE (vec_id - 1) % 7 <> 3 OR pos < 20),
+j AS (SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, coalesce(a.pos, b.pos) AS pos, a.pos IS NOT NULL AS one, b.pos IS NOT NULL AS two, (a.x - b.x)**2 + (a.y - b.y)**2 + (a.z - b.z)**2 AS d2
+FROM p a FULL JOIN o b ON b.vec_id = a.vec_id AND b.pos = a.pos)"""
+_PAIR_ERROR = """CASE WHEN count(*) FILTER (one) = 0 THEN 'the first has no atoms' WHEN count(*) FILTER (two) = 0 THEN 'the second has no atoms'
+WHEN count(*) FILTER (one) <> count(*) FILTER (two) THEN 'the numbers of atoms differ: ' || count(*) FILTER (one) || ' and ' || count(*) FILTER (two) END"""
 
 
-@query(_PAIR_SQL + " SELECT vec_id, round(sqrt(avg(d2)), 6) AS rmsd FROM j GROUP BY vec_id")
+@query(_PAIR_SQL + " SELECT vec_id, count(*) FILTER (one) AS n_first, count(*) FILTER (two) AS n_second, CASE WHEN count(*) FILTER (one AND two) = count(*) THEN round(sqrt(avg(d2)), 6) END AS rmsd FROM j GROUP BY vec_id")
 def j08_zip_rmsd(spark, sf_dir):
+    """Distances where both sides have as many points; the first and the last embedding have a side alone."""
     d = G.minus(F.col("a"), F.col("b"))
-    return _pairs(spark, sf_dir).groupBy("vec_id").agg(F.round(P.rmsd(G.dot(d, d)), 6).alias("rmsd"))
+    held = _pairs(spark, sf_dir).withColumn("d2", G.dot(d, d))
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
+    counts = [F.count_if(F.col(s).isNotNull()).alias(n) for s, n in (("left", "n_first"), ("right", "n_second"))]
+    return held.groupBy("vec_id").agg(*counts, F.when(F.bool_and(both), F.round(P.rmsd(F.col("d2")), 6)).alias("rmsd"))
 
 
-@query(_PAIR_SQL + """ SELECT vec_id, CAST(count(*) FILTER (pos % 7 < 3) // 3 AS BIGINT) AS n_residue, count(*) AS n_atom,
-round(sqrt(avg(d2) FILTER (pos % 7 < 3)), 6) AS backbone_rmsd, round(sqrt(avg(d2)), 6) AS all_rmsd FROM j GROUP BY vec_id""")
+@query(_PAIR_SQL + f""", g AS (SELECT vec_id, {_PAIR_ERROR} AS error, CAST(count(*) FILTER (pos % 7 < 3) // 3 AS BIGINT) AS n_residue, count(*) AS n_atom,
+round(sqrt(avg(d2) FILTER (pos % 7 < 3)), 6) AS backbone_rmsd, round(sqrt(avg(d2)), 6) AS all_rmsd FROM j GROUP BY vec_id)
+SELECT vec_id, error, CASE WHEN error IS NULL THEN n_residue END AS n_residue, CASE WHEN error IS NULL THEN n_atom END AS n_atom,
+CASE WHEN error IS NULL THEN backbone_rmsd END AS backbone_rmsd, CASE WHEN error IS NULL THEN all_rmsd END AS all_rmsd FROM g""")
 def a05_rmsd_report(spark, sf_dir):
-    d = G.minus(F.col("a"), F.col("b"))
-    out = P.rmsd_report(_pairs(spark, sf_dir), ["vec_id"], G.dot(d, d), F.col("pos") % 7 < 3)
+    d, backbone = G.minus(F.col("a"), F.col("b")), F.col("pos") % 7 < 3
+    out = P.rmsd_report(_pairs(spark, sf_dir), ["vec_id"], G.dot(d, d), (backbone & F.col("left").isNotNull(), backbone & F.col("right").isNotNull()))
     return out.withColumn("backbone_rmsd", F.round("backbone_rmsd", 6)).withColumn("all_rmsd", F.round("all_rmsd", 6))
 
 
-@query(_PAIR_SQL + " SELECT round(sqrt(avg(d2)), 6) AS rmsd, count(*) AS n FROM j")
+@query(_PAIR_SQL + " SELECT round(sqrt(avg(d2)), 6) AS rmsd, count(*) FILTER (one AND two) AS n FROM j")
 def a04_rmsd(spark, sf_dir):
     d = G.minus(F.col("a"), F.col("b"))
-    return _pairs(spark, sf_dir).agg(F.round(P.rmsd(G.dot(d, d)), 6).alias("rmsd"), F.count(F.lit(1)).alias("n"))
+    return _pairs(spark, sf_dir).filter("left is not null and right is not null").agg(F.round(P.rmsd(G.dot(d, d)), 6).alias("rmsd"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT l_suppkey, lo, hi, 255 AS n_bin, round(255 / (hi - lo), 9) AS disc_f, round((hi - lo) / 255, 6) AS cont_f
@@ -310,6 +321,60 @@ def w08_renumber(spark, sf_dir):
     return M.renumber(_table(spark, sf_dir, "events").select("event_id", "user_id"), ["user_id"], ["event_id"], 5).withColumn("number", F.col("number").cast("int"))
 
 
+# ---------------------------------------------------------------- one chain as long as its table, spread over all tasks
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 4 AS chain, event_type FROM events),
+c AS (SELECT *, CASE WHEN chain IS DISTINCT FROM lag(chain) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS s FROM e),
+r AS (SELECT *, sum(s) OVER (ORDER BY event_id) - 1 AS segment FROM c)
+SELECT event_id, chain, CAST(segment AS BIGINT) AS segment FROM r QUALIFY max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY segment ORDER BY event_id) = 1""")
+def w04_one_chain(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("chain"), "event_type")
+    return M.chain_segments(rows, [], ["event_id"], "chain", F.col("event_type") == "view", spread=True).select("event_id", "chain", "segment")
+
+
+@query("""WITH m AS (SELECT event_id, user_id, event_type = 'click' AS mark, CASE WHEN event_type = 'click' THEN user_id END AS marked FROM events),
+b AS (SELECT *, last_value(marked IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
+g AS (SELECT event_id, user_id, sum(CASE WHEN mark AND user_id - before > 1 THEN 1 ELSE 0 END) OVER w AS fragment, max(CASE WHEN mark THEN 1 ELSE 0 END) OVER w AS met FROM b WINDOW w AS (ORDER BY event_id))
+SELECT event_id, user_id, CAST(fragment AS BIGINT) AS fragment FROM g WHERE met = 1""")
+def w05_one_chain(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return M.gap_fragments(rows, [], ["event_id"], "user_id", F.col("event_type") == "click", spread=True).select("event_id", "user_id", "fragment")
+
+
+@query("""WITH c AS (SELECT event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS s FROM events)
+SELECT event_id, CAST(sum(s) OVER (ORDER BY event_id) - 1 AS BIGINT) AS run_id FROM c""")
+def w07_one_chain(spark, sf_dir):
+    return M.with_run_id(_table(spark, sf_dir, "events").select("event_id", "event_type"), [], ["event_id"], "event_type", spread=True).select("event_id", "run_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) + 4 AS number FROM lineitem")
+def w08_one_chain(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem")
+    return M.renumber(rows, [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 5, spread=True).select("l_orderkey", "l_linenumber", "number")
+
+
+@query("SELECT event_type, list(user_id ORDER BY event_id) AS users FROM events GROUP BY event_type")
+def a12_long_lists(spark, sf_dir):
+    return M.collected(_table(spark, sf_dir, "events"), ["event_type"], ["event_id"], "user_id", "users", spread=True)
+
+
+@query("SELECT '>events' || chr(10) || string_agg(upper(left(event_type, 1)), '' ORDER BY event_id) || chr(10) AS record FROM events")
+def a17_one_sequence(spark, sf_dir):
+    """The letters of all events as the record of one sequence."""
+    letters = P.joined(_table(spark, sf_dir, "events"), [], ["event_id"], F.upper(F.substring("event_type", 1, 1)), spread=True)
+    return letters.select(P.fasta(F.lit("events"), F.col("data")).alias("record"))
+
+
+@query("""WITH d AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, CAST(CAST(floor(l_quantity) AS INTEGER) AS VARCHAR) AS t FROM lineitem)
+SELECT l_returnflag, string_agg(t, ',' ORDER BY l_orderkey, l_linenumber, l_partkey, t) AS data FROM d GROUP BY l_returnflag""")
+def a18_long_strings(spark, sf_dir):
+    """Two digits of each of a key's values, joined by commas."""
+    digits = F.floor("l_quantity").cast("int").cast("string")
+    rows = _table(spark, sf_dir, "lineitem").withColumn("t", digits)
+    return P.joined(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "t"], F.col("t"), ",", spread=True)
+
+
 @query("""WITH n AS (SELECT o_custkey, CAST(count(*) AS INTEGER) AS n FROM orders GROUP BY o_custkey)
 SELECT o_custkey, list_concat([CAST(i * (n // (n // 4 + 1)) AS INTEGER) FOR i IN range(0, n // 4 + 1)], [CAST(n - 1 AS INTEGER)]) AS anchors FROM n""")
 def w09_anchor_index(spark, sf_dir):

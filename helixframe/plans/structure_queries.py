@@ -189,16 +189,15 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT event_id, value AS angle FROM events")
+@query("SELECT event_type || '.txt' AS name, value AS angle, count(*) AS n FROM events GROUP BY event_type, value")
 def s25_torsion_text(spark, sf_dir):
-    """Numbers written as text, a line each, and read again; the id goes with them as a decimal of its own."""
+    """Numbers written as text, a line each between lines that are none, and read again: the values read, as often as they were read, by file."""
     path = _scratch(spark, "torsions")
-    events = _table(spark, sf_dir, "events")
-    lines = F.array(F.concat(F.lit(" "), F.col("value").cast("string")), F.lit("no number"), F.col("event_id").cast("string"))
-    events.select(F.concat_ws("\n", lines).alias("value")).write.text(path)
-    read = S.torsion_text(spark, path)  # two numbers of each event; the file has no order, so both are kept as they are
-    values = events.select("event_id", F.col("value").alias("angle"))
-    return values.join(read.select("angle").distinct(), "angle", "left_semi").select("event_id", "angle")
+    lines = F.array(F.concat(F.lit(" "), F.col("value").cast("string")), F.lit("no number"), F.lit(""))
+    _table(spark, sf_dir, "events").select("event_type", F.concat_ws("\n", lines).alias("value")).write.partitionBy("event_type").text(path)
+    read = S.torsion_text(spark, path)
+    name = F.concat(F.regexp_extract("path", "event_type=([^/]*)/", 1), F.lit(".txt"))
+    return read.groupBy(name.alias("name"), "angle").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- databases of names and of texts
@@ -357,7 +356,7 @@ def w12_round_trip(spark, sf_dir):
     """Atoms placed again from entries, against the texts' own; the distance that quantising leaves is small."""
     files = _chain_files(spark, sf_dir)
     given = S.pdb_atoms(files).withColumn("name", F.regexp_replace("name", "pdb$", "fcz"))
-    report = A.compare(given, E.decompress(_entries(spark, sf_dir)))
+    report = A.compare(given, E.decompress(_entries(spark, sf_dir)), key="name")
     return report.select("name", F.col("n_residue").cast("long").alias("n_residue"), F.col("n_atom").cast("long").alias("n_atom"), (F.col("all_rmsd") < 0.25).alias("close"), (F.col("backbone_rmsd") < 0.15).alias("backbone_close"))
 
 
@@ -399,12 +398,17 @@ def p11_inputs_that_are_none(spark, sf_dir):
     return A.compress_texts(files).select("name", "entry", "error")
 
 
-@query("SELECT 'v' || vec_id || '.pdb' AS name, 7 AS n_residue, 21 AS n_atom, 5.0::DOUBLE AS backbone_rmsd, 5.0::DOUBLE AS all_rmsd FROM embeddings")
+@query("""WITH e AS (SELECT 'f' || vec_id AS entry, CASE WHEN vec_id % 11 = 5 THEN 'the second has no atoms' WHEN vec_id % 7 = 3 THEN 'the numbers of atoms differ: 21 and 20' END AS error FROM embeddings)
+SELECT entry, error, CASE WHEN error IS NULL THEN 7 END AS n_residue, CASE WHEN error IS NULL THEN 21 END AS n_atom, CASE WHEN error IS NULL THEN 5.0::DOUBLE END AS backbone_rmsd, CASE WHEN error IS NULL THEN 5.0::DOUBLE END AS all_rmsd FROM e""")
 def s26_rmsd_of_files(spark, sf_dir):
-    """Structures against themselves moved by three and four."""
-    atoms = S.pdb_atoms(_pdb_files(spark, sf_dir))
-    report = A.compare(atoms, atoms.withColumn("x", F.col("x") + 3).withColumn("z", F.col("z") - 4))
-    return report.select("name", F.col("n_residue").cast("int").alias("n_residue"), F.col("n_atom").cast("int").alias("n_atom"), *(F.round(c, 6).alias(c) for c in ("backbone_rmsd", "all_rmsd")))
+    """Structures against themselves moved by three and four. Every fifth file has the same name, every seventh loses an atom, and some have no other side."""
+    v = F.regexp_extract("name", r"\d+", 0).cast("long")
+    named = F.when(v % 5 == 0, "same.pdb").otherwise(F.col("name"))
+    atoms = S.pdb_atoms(_pdb_files(spark, sf_dir).select(F.concat(F.lit("f"), v).alias("entry"), named.alias("name"), "content"))
+    own = F.substring("entry", 2, 20).cast("long")
+    moved = atoms.filter((own % 11 != 5) & ((own % 7 != 3) | (F.col("pos") < 20))).withColumn("x", F.col("x") + 3).withColumn("z", F.col("z") - 4)
+    report = A.compare(atoms, moved)
+    return report.select("entry", "error", F.col("n_residue").cast("int").alias("n_residue"), F.col("n_atom").cast("int").alias("n_atom"), *(F.round(c, 6).alias(c) for c in ("backbone_rmsd", "all_rmsd")))
 
 
 @query("SELECT 'm' || c_custkey || '/' || repeat('long', CAST(c_custkey % 40 AS INT)) AS name, strlen(c_name) AS n_bytes, sha256(c_name) AS digest FROM customer")

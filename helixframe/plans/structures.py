@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import confidence_digits
@@ -98,12 +99,26 @@ def check_entries(entries: DataFrame) -> DataFrame:
     return rows.select("name", "outcome", F.coalesce(P.validity_message(F.col("outcome")), F.concat(F.lit("is no entry: "), "outcome")).alias("message"))
 
 
-def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """name, n_residue, n_atom, backbone_rmsd and all_rmsd of structures of one name in two sets of atom rows, by place."""
-    pairs = L.zip_rows(a, b, ["name"], ["pos"])
+def compare(a: DataFrame, b: DataFrame, key: str = "entry") -> DataFrame:
+    """key, n_residue, n_atom, backbone_rmsd, all_rmsd and error of the structures of one key in two sets of atom rows, by place.
+
+    Structures that do not have as many atoms, those that one set alone has, and, where
+    the key is not the entry, keys that several entries share, have an error and no
+    distances.
+    """
+    pairs = L.zip_rows(a, b, [key], ["pos"])
     x, y = F.col("left"), F.col("right")
     squares = sum(((x[k] - y[k]) ** 2 for k in ("y", "z")), (x["x"] - y["x"]) ** 2)
-    return P.rmsd_report(pairs, ["name"], squares, x["atom"].isin("N", "CA", "C"))
+    backbones = tuple(s["atom"].isin("N", "CA", "C") for s in (x, y))
+    sides = [s["entry"] for s, df in ((x, a), (y, b)) if "entry" in df.columns and key != "entry"]
+    # An entry's rows have one name; two of one name have an entry that is not the least.
+    spans = {f"_first{k}": s for k, s in enumerate(sides)} | {f"_least{k}": F.min(s).over(W.partitionBy(key)) for k, s in enumerate(sides)}
+    out = P.rmsd_report(pairs, [key], squares, backbones, also=spans)
+    several = F.lit(False)
+    for k in range(len(sides)):
+        several = several | F.coalesce(F.col(f"_first{k}") != F.col(f"_least{k}"), F.lit(False))
+    values = [F.when(~several, F.col(c)).alias(c) for c in ("n_residue", "n_atom", "backbone_rmsd", "all_rmsd")]
+    return out.select(key, *values, F.when(several, f"several structures of one {key}").otherwise(F.col("error")).alias("error"))
 
 
 def each_entry(entries: DataFrame, process: Callable[[str, bytes], tuple], schema: str) -> DataFrame:

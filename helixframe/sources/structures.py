@@ -372,8 +372,9 @@ def write_archive(rows: DataFrame, path: str, name: str = "name", content: str =
 
 
 def torsion_text(spark: SparkSession, path: str) -> DataFrame:
-    """angle, a number in each line of a text file; lines that are none go."""
-    return spark.read.text(path).select(F.trim("value").try_cast("double").alias("angle")).filter("angle is not null")
+    """path and angle, a number in each line of text files; lines that are none go."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").try_cast("double").alias("angle"))
+    return rows.filter("angle is not null")
 
 
 def output_target(given: str, out: str | None, suffix: str, is_folder: bool, archive: bool = False, database: bool = False) -> str:

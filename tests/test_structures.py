@@ -41,11 +41,24 @@ def test_round_trip_distance(spark, texts):
     one = texts.filter("name = 'test.pdb'")
     entries = P.compress_texts(one).select("name", "blob")
     back = E.decompress(entries).withColumn("name", F.lit("x"))
-    row = P.compare(S.atoms(one).withColumn("name", F.lit("x")), back).first()
-    assert row["n_residue"] == 276 and row["n_atom"] == 2208
+    row = P.compare(S.atoms(one).withColumn("name", F.lit("x")), back, key="name").first()
+    assert row["error"] is None and row["n_residue"] == 276 and row["n_atom"] == 2208
     assert abs(row["all_rmsd"] - 0.0826751) < 0.001
 
 
+def test_unequal_structures_are_told(spark, texts):
+    """No distance over a prefix, over entries of one name, or where a side is missing."""
+    atoms = S.atoms(texts).cache()
+    half = atoms.filter("name <> 'test_af.pdb' or pos < 100").filter("name <> 'test.pdb'")
+    got = {r["entry"].rsplit("/", 1)[-1]: r for r in P.compare(atoms, half).collect()}
+    assert got["test_af.pdb"]["error"] == "the numbers of atoms differ: 243 and 100" and got["test_af.pdb"]["all_rmsd"] is None
+    assert got["test.pdb"]["error"] == "the second has no atoms"
+    assert got["multichain.pdb"]["error"] is None and got["multichain.pdb"]["all_rmsd"] == 0
+    same = atoms.withColumn("name", F.lit("x.pdb"))
+    (row,) = P.compare(same, same, key="name").collect()
+    assert row["error"] == "several structures of one name" and row["n_atom"] is None
+
+
 def test_confidence_golden(spark, texts):
     entries = P.compress_texts(texts.filter("name = 'test_af.pdb'")).select("name", "blob")
     assert P.extract_plddt(entries, 1).first()["data"] == "5666777787777787777777776665"
@@ -176,7 +189,7 @@ def test_component_and_small_readers(spark, tmp_path):
     rows = S.atoms(spark.createDataFrame([("c.cif", text.encode())], "name string, content binary")).orderBy("pos").collect()
     assert [(r["model"], r["atom"], r["x"]) for r in rows] == [(2, "N", 1.0), (2, "CA", 4.0)]
     (tmp_path / "t.txt").write_text("1.5\nx\n -2\n")
-    assert [r[0] for r in S.torsion_text(spark, str(tmp_path / "t.txt")).collect()] == [1.5, -2.0]
+    assert [r["angle"] for r in S.torsion_text(spark, str(tmp_path / "t.txt")).collect()] == [1.5, -2.0]
     assert S.output_target("a/b.pdb", None, "fcz", False) == "a/b.fcz" and S.output_target("a/b/", None, "fcz", True) == "a/b_fcz/"
     assert S.output_target("d", None, "fcz", True, archive=True) == "d.fcz.tar" and S.output_target("d", "e", "fcz", True) == "e" and S.output_target("d", None, "fcz", True, database=True) == "d_db"
 
