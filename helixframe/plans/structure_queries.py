@@ -29,9 +29,10 @@ from ..operators import lookup as L
 from ..operators import quantize as Q
 from ..operators import report as P
 from ..operators import segments as M
+from ..sources import db_format as D
 from ..sources import keyed_db as K
 from ..sources import structures as S
-from ..sources.shared import shared_dir, write_files
+from ..sources.shared import local_path, shared_dir, write_files
 from . import structures as A
 from .queries import _BINS, _PTS, _TORSION, _fixed_sql, _points, _table, query
 
@@ -244,11 +245,38 @@ def s17_index_and_lookup(spark, sf_dir):
 @query(_DB + " SELECT key, name, content || chr(0) AS content FROM d")
 def k04_native_database(spark, sf_dir):
     """Plain files, each task writing its own ranges of them, read again."""
-    path = _scratch(spark, "native").removeprefix("file:").replace("///", "/")
+    path = local_path(_scratch(spark, "native"))
     K.write_native(_customers(spark, sf_dir), path, ended=True)
     return K.read_native(spark, path).select("key", "name", F.decode("content", "UTF-8").alias("content"))
 
 
+def _native(spark: SparkSession, sf_dir: str) -> str:
+    path = local_path(_scratch(spark, "native"))
+    K.write_native(_customers(spark, sf_dir), path)
+    return path
+
+
+@query(_DB + " SELECT key, name, content FROM d")
+def s14_format(spark, sf_dir):
+    """Written and read as a Spark format, by ranges of the index."""
+    rows = D.load(spark, _native(spark, sf_dir), split=4096)
+    return rows.select("key", "name", F.decode("content", "UTF-8").alias("content"))
+
+
+@query(_DB + " SELECT key, name, content FROM d WHERE key % 3 = 1 AND key < 100 OR key IN (120, 130)")
+def s15_format_by_key(spark, sf_dir):
+    """Entries of keys, of which tasks read the ranges of the index that have them."""
+    keys = [k for k in range(100) if k % 3 == 1] + [120, 130, 10**12]
+    rows = D.load(spark, _native(spark, sf_dir), keys=keys, split=4096)
+    return rows.select("key", "name", F.decode("content", "UTF-8").alias("content"))
+
+
+@query(_DB + " SELECT key, name, content FROM d WHERE name LIKE '%7' AND name <= 'Customer#000000100'")
+def s15_format_by_name(spark, sf_dir):
+    rows = D.load(spark, _native(spark, sf_dir), names=[f"Customer#{k:09d}" for k in range(7, 101, 10)], strict=True)
+    return rows.select("key", "name", F.decode("content", "UTF-8").alias("content"))
+
+
 @query(_DB + ', l AS (SELECT key, strlen(content) AS length, CAST(sum(strlen(content)) OVER (ORDER BY key) - strlen(content) AS BIGINT) AS "offset" FROM d) SELECT o_orderkey, coalesce("offset", -1) AS "offset", coalesce(length, 0) AS length FROM orders LEFT JOIN l ON key = o_custkey')
 def j02_key_to_offset(spark, sf_dir):
     """Every order's customer number looked up as a key; the last one has no entry."""
@@ -414,7 +442,7 @@ def s26_rmsd_of_files(spark, sf_dir):
 @query("SELECT 'm' || c_custkey || '/' || repeat('long', CAST(c_custkey % 40 AS INT)) AS name, strlen(c_name) AS n_bytes, sha256(c_name) AS digest FROM customer")
 def k03_archive(spark, sf_dir):
     """One archive whose members tasks write at their own places, opened again."""
-    path = _scratch(spark, "archive").removeprefix("file:").replace("///", "/") + ".tar"
+    path = local_path(_scratch(spark, "archive")) + ".tar"
     name = F.concat(F.lit("m"), F.col("c_custkey"), F.lit("/"), F.expr("repeat('long', int(c_custkey % 40))"))
     S.write_archive(_table(spark, sf_dir, "customer").select(name.alias("name"), _bytes(F.col("c_name")).alias("content")), path)
     return S.entries(spark, "file://" + path).select("name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
@@ -631,7 +659,7 @@ def k09_output_targets(spark, sf_dir):
 @query("SELECT r_name AS name, 'exists already' AS error FROM region")
 def k11_overwrite_guard(spark, sf_dir):
     """A file for each row; one that is there already stays."""
-    folder = _scratch(spark, "files").removeprefix("file:").replace("///", "/")
+    folder = local_path(_scratch(spark, "files"))
     rows = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), _bytes(F.col("r_name")).alias("content"))
     write_files(rows, folder)
     return write_files(rows, folder)

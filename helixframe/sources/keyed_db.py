@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup as L
-from .shared import materialise, write_parts
+from . import db_format
+from .shared import local_path, materialise
 
 #: Fixed value: the kind of database that the .dbtype file names.
 DBTYPE = struct.pack("<i", 12)
@@ -44,27 +45,34 @@ def write(entries: DataFrame, path: str, name: str = "name", content: str = "con
     held.select("key", "name", F.lit(0).alias("file_no")).orderBy("key").write.mode(mode).csv(f"{path}/lookup", sep="\t", quote="")
 
 
-def _lines(rows: DataFrame, line, path: str, overwrite: bool) -> None:
-    """A text file of one line for each row, in order of key."""
+def _lines(rows: DataFrame, line, file: str) -> DataFrame:
+    """file, offset, length and content of a text file of one line for each row, in order of key."""
     laid = L.keyed_offsets(rows.select(F.col("key").alias("_key"), line.cast("binary").alias("content")), ["_key"], F.octet_length("content"))
-    laid = materialise(laid, "lines")
-    write_parts(laid, path, laid.agg(F.sum("length")).first()[0] or 0, overwrite)
+    return laid.select(F.lit(file).alias("file"), "offset", "length", "content")
 
 
 def write_native(entries: DataFrame, path: str, name: str = "name", content: str = "content", key: str | None = None, overwrite: bool = False, ended: bool = False) -> None:
     """Writes path, path.index, path.lookup and path.dbtype; ended: a zero byte after each entry, as texts have.
 
-    Tasks write their own ranges, so path must be on storage that all executors mount.
+    Tasks write their own ranges of hidden files, so path must be on storage that all
+    executors mount; the files appear together when all is written, or not at all.
     """
+    path = local_path(path)
+    if not overwrite and any(os.path.exists(path + f) for f in db_format.FILES):
+        raise FileExistsError(path)
     held = entries.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"), *([F.col(key).alias("own")] if key else []))
     if ended:
         held = held.withColumn("content", F.concat("content", F.lit(bytearray(b"\0"))))
     held = materialise(layout(held, "name", "content", "own" if key else None), "layout")
-    write_parts(held, path, held.agg(F.sum("length")).first()[0] or 0, overwrite)
-    _lines(held, F.concat(F.concat_ws("\t", "key", "offset", "length"), F.lit("\n")), f"{path}.index", overwrite)
-    _lines(held, F.concat(F.concat_ws("\t", F.col("key"), F.coalesce("name", F.lit("")), F.lit("0")), F.lit("\n")), f"{path}.lookup", overwrite)
-    with open(f"{path}.dbtype", "wb") as out:
-        out.write(DBTYPE)
+    parts = [
+        held.select(F.lit("").alias("file"), "offset", "length", "content"),
+        _lines(held, F.concat(F.concat_ws("\t", "key", "offset", "length"), F.lit("\n")), ".index"),
+        _lines(held, F.concat(F.concat_ws("\t", F.col("key"), F.coalesce("name", F.lit("")), F.lit("0")), F.lit("\n")), ".lookup"),
+        held.sparkSession.createDataFrame([(".dbtype", 0, len(DBTYPE), bytearray(DBTYPE))], "file string, offset long, length long, content binary"),
+    ]
+    laid = materialise(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "parts")
+    sizes = {r["file"]: r["size"] for r in laid.groupBy("file").agg(F.sum("length").alias("size")).collect()}  # four rows
+    db_format.save(laid, sizes, path, overwrite)
 
 
 def is_native(path: str) -> bool:

@@ -36,6 +36,16 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_path(path: str) -> str:
+    """A path on storage that all machines mount, which open() takes; a path of another file system is an error."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    scheme = path.split(":", 1)[0]
+    if "://" in path or (":/" in path and "/" not in scheme):
+        raise ValueError(f"{path}: plain files are written and read on mounted storage alone, not through {scheme}; use the form of folders of tables")
+    return path
+
+
 def write_parts(parts: DataFrame, path: str, size: int, overwrite: bool = False) -> int:
     """Writes parts (offset long, content binary) of a file of a known size; returns the bytes written.
 
