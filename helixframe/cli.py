@@ -57,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-merge", action="store_true", help="a file for each entry that is extracted")
     p.add_argument("--use-title", action="store_true", help="head what is extracted by titles")
     p.add_argument("--time", action="store_true", help="print the seconds taken")
-    p.add_argument("--use-cache", action="store_true", help="accepted; Spark reads an index as fast as a cache of it")
+    p.add_argument("--use-cache", action="store_true", help="keep the index of a database as a bucketed table of the session")
     return p
 
 
@@ -71,7 +71,7 @@ def inputs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
             with open(a.id_list) as lines:
                 ids = [x.strip() for x in lines if x.strip()]
             ids = [int(i) for i in ids if i.isdigit()] if a.id_mode == 0 else ids
-        held = K.read_native(spark, a.input, ids, by_key=a.id_mode == 0)
+        held = K.read_native(spark, a.input, ids, by_key=a.id_mode == 0, cached=a.use_cache)
         number = F.concat(F.col("key").cast("string"), F.lit("."), F.col("ord").cast("string")) if ids else F.col("key").cast("string")
         held = held.withColumn("entry", F.concat(F.lit(f"{a.input}#"), number))
     else:
@@ -103,7 +103,11 @@ def _plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def _write(plan: DataFrame, a: argparse.Namespace, target: str, one: bool, say: Callable[[str], None]) -> int:
     """Writes what has been made; the number of errors."""
+    plan, seen = A.observed(plan, a.verb, "content")
     plan = materialise(plan, a.verb)
+    if a.time:
+        for what, value in seen.get.items():
+            print(f"{a.verb} {what}\t{value}")
     good, suffix = plan.filter("error is null and content is not null"), _suffix(a)
     failed = plan.filter("error is not null").select("name", "error")
     if a.db:

@@ -51,11 +51,41 @@ def zip_rows(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], name
     return sides[0].join(sides[1], ["_key", "place"], "full").select(*(F.col("_key")[k].alias(k) for k in keys), "place", *names)
 
 
-def at_index(df: DataFrame, order: list[str], index: int) -> DataFrame:
-    """The row at a place from 0, or from the end for a negative one. Beyond the ends there is none."""
+#: Ranges that a selection counts at once, and rows that it sorts.
+RANGES, SORTED = 64, 100_000
+
+
+def at_index(df: DataFrame, order: list[str], index: int, most: int = SORTED) -> DataFrame:
+    """The row at a place from 0 in order (null first), or from the end for a negative one. Beyond the ends there is none.
+
+    Rows are counted by ranges whose bounds are a sample's values, and only the range
+    that has the place is gone into, until it is short enough to be sorted. A place
+    among rows alike in the order may be any of theirs.
+    """
+    place = F.struct(*order)
+    kind = df.select(place.alias("p")).schema["p"].dataType
+    rows, total = df, df.count()
     if index < 0:
-        return df.orderBy(*[F.desc(c) for c in order]).offset(-1 - index).limit(1)
-    return df.orderBy(*order).offset(index).limit(1)
+        index += total
+    if not 0 <= index < total:
+        return df.limit(0)
+    while total > most:
+        # Some rows' values; which ones they are bears on the time alone.
+        sample = rows.select(*order).sample(min(1.0, 4 * RANGES / total), 7).limit(8 * RANGES).distinct().orderBy(*order).collect()
+        bounds = sample[:: max(1, len(sample) // RANGES)]
+        if not bounds:
+            break
+        held = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind.fields, strict=True)]) for b in bounds])
+        under = F.size(F.filter(held, lambda b: b <= place))
+        counts = {r["k"]: r["count"] for r in rows.groupBy(under.alias("k")).count().collect()}  # so many ranges
+        k = 0
+        while index >= counts.get(k, 0):
+            index -= counts.get(k, 0)
+            k += 1
+        if counts[k] == total:
+            break  # no value of the sample parts the rows
+        rows, total = rows.filter(under == k), counts[k]
+    return rows.orderBy(*order).offset(index).limit(1)
 
 
 def by_key(index: DataFrame, key: int) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import bits as B
 from ..functions import geometry as G
 from ..functions import residues as R
 from ..functions import strings as S
+from ..functions import tables
 from ..operators import chains as C
 from ..operators import lookup as L
 from ..operators import quantize as Q
@@ -112,6 +113,16 @@ def p15_split_by_chain(spark, sf_dir):
     return M.split_text_runs(_table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role", "text")
 
 
+@query("""WITH r AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER w THEN 1 ELSE 0 END AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS run_id FROM r)
+SELECT CAST(conv_id AS VARCHAR) AS text, CAST(run_id AS BIGINT) AS run_id, any_value(role) AS chain, coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS piece FROM n GROUP BY conv_id, run_id""")
+def x06_split_in_sql(spark, sf_dir):
+    """The split as a table function of SQL, a text in each partition."""
+    tables.register(spark)
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("text"), "turn", F.col("role").alias("chain"), F.col("text").alias("text_line"))
+    return spark.sql("SELECT * FROM split_by_chain(TABLE({lines}) PARTITION BY text ORDER BY turn)", lines=rows)
+
+
 @query("""SELECT vec_id, [CAST(embedding[i] AS DOUBLE) FOR i IN range(1, len(embedding) + 1) IF (i - 1) % 3 = 0] AS xs,
 CAST(len([i FOR i IN range(1, len(embedding) + 1) IF (i - 1) % 3 = 1]) AS INTEGER) AS n_y FROM embeddings""")
 def p17_modulo_split(spark, sf_dir):
@@ -186,12 +197,13 @@ def j08_zip_rmsd(spark, sf_dir):
 
 @query(_PAIR_SQL + f""", g AS (SELECT vec_id, {_PAIR_ERROR} AS error, CAST(count(*) FILTER (pos % 7 < 3) // 3 AS BIGINT) AS n_residue, count(*) AS n_atom,
 round(sqrt(avg(d2) FILTER (pos % 7 < 3)), 6) AS backbone_rmsd, round(sqrt(avg(d2)), 6) AS all_rmsd FROM j GROUP BY vec_id)
-SELECT vec_id, error, CASE WHEN error IS NULL THEN n_residue END AS n_residue, CASE WHEN error IS NULL THEN n_atom END AS n_atom,
+SELECT vec_id, error, CASE WHEN error IS NULL THEN n_residue ELSE 0 END AS n_residue, CASE WHEN error IS NULL THEN n_atom ELSE 0 END AS n_atom,
 CASE WHEN error IS NULL THEN backbone_rmsd END AS backbone_rmsd, CASE WHEN error IS NULL THEN all_rmsd END AS all_rmsd FROM g""")
 def a05_rmsd_report(spark, sf_dir):
     d, backbone = G.minus(F.col("a"), F.col("b")), F.col("pos") % 7 < 3
     out = P.rmsd_report(_pairs(spark, sf_dir), ["vec_id"], G.dot(d, d), (backbone & F.col("left").isNotNull(), backbone & F.col("right").isNotNull()))
-    return out.withColumn("backbone_rmsd", F.round("backbone_rmsd", 6)).withColumn("all_rmsd", F.round("all_rmsd", 6))
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_residue", "n_atom")}
+    return out.withColumns(counts | {c: F.round(c, 6) for c in ("backbone_rmsd", "all_rmsd")})
 
 
 @query(_PAIR_SQL + " SELECT round(sqrt(avg(d2)), 6) AS rmsd, count(*) FILTER (one AND two) AS n FROM j")
@@ -469,6 +481,21 @@ def o06_limit(spark, sf_dir):
     return _table(spark, sf_dir, "events").orderBy(F.desc("value"), "event_id").select("event_id", "value").limit(5)
 
 
+_SELECTED = (0, 5000, -300)
+
+
+@query("WITH n AS (SELECT l_extendedprice, l_partkey, l_orderkey, row_number() OVER (ORDER BY l_extendedprice, l_partkey, l_orderkey) AS n, count(*) OVER () AS total FROM lineitem) SELECT a.i AS place, l_extendedprice, l_partkey, l_orderkey FROM n JOIN (VALUES "
++ ", ".join(f"({i})" for i in _SELECTED) + ") a(i) ON n = CASE WHEN i < 0 THEN total + i ELSE i END + 1")
+def o07_selection(spark, sf_dir):
+    """Rows at places of an order, found by counting ranges; only a range of some thousand rows is sorted."""
+    rows, order = _table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_partkey", "l_orderkey"]
+    found = [L.at_index(rows, order, i, most=3000).select(F.lit(i).alias("place"), *order) for i in _SELECTED]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1 OFFSET 17")
 def o07_random_access(spark, sf_dir):
     return L.at_index(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"], 17)

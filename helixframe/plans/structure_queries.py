@@ -29,6 +29,7 @@ from ..operators import lookup as L
 from ..operators import quantize as Q
 from ..operators import report as P
 from ..operators import segments as M
+from ..sources import archive_format
 from ..sources import db_format as D
 from ..sources import keyed_db as K
 from ..sources import structures as S
@@ -314,6 +315,24 @@ def p19_slices(spark, sf_dir):
 
 # ---------------------------------------------------------------- entries of chains whose torsions are the values of the embeddings
 
+@query(_DB + ', l AS (SELECT key, name, strlen(content) AS length, CAST(sum(strlen(content)) OVER (ORDER BY key) - strlen(content) AS BIGINT) AS "offset" FROM d) SELECT o_orderkey, name, "offset", length FROM orders JOIN l ON key = o_custkey')
+def s19_index_cache(spark, sf_dir):
+    """Every order's customer number looked up in the index kept as a bucketed table, which a join does not deal out again."""
+    index = K.cached_index(spark, _native(spark, sf_dir))
+    keys = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    return keys.join(index.hint("merge"), "key").select("o_orderkey", "name", "offset", "length")
+
+
+@query("SELECT 'm' || c_custkey || '/' || repeat('long', CAST(c_custkey % 40 AS INT)) AS name, strlen(c_name) AS n_bytes, sha256(c_name) AS digest FROM customer")
+def s13_ranges(spark, sf_dir):
+    """An archive read by ranges of members."""
+    path = local_path(_scratch(spark, "archive")) + ".tar"
+    name = F.concat(F.lit("m"), F.col("c_custkey"), F.lit("/"), F.expr("repeat('long', int(c_custkey % 40))"))
+    S.write_archive(_table(spark, sf_dir, "customer").select(name.alias("name"), _bytes(F.col("c_name")).alias("content")), path)
+    rows = archive_format.load(spark, path, split=1 << 16)
+    return rows.select("name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
 _KINDS = [n for n in R.NAMES if n in R.dictionary()][:20]
 _KINDS_SQL = ", ".join(f"({k}, '{n}', '{R.LETTERS[R.NAMES.index(n)]}', {len(R.dictionary()[n].atoms)}, {len(R.dictionary()[n].side)})" for k, n in enumerate(_KINDS))
 #: Residues of each chain, and of the SQL the residues of each embedding.
@@ -427,7 +446,7 @@ def p11_inputs_that_are_none(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT 'f' || vec_id AS entry, CASE WHEN vec_id % 11 = 5 THEN 'the second has no atoms' WHEN vec_id % 7 = 3 THEN 'the numbers of atoms differ: 21 and 20' END AS error FROM embeddings)
-SELECT entry, error, CASE WHEN error IS NULL THEN 7 END AS n_residue, CASE WHEN error IS NULL THEN 21 END AS n_atom, CASE WHEN error IS NULL THEN 5.0::DOUBLE END AS backbone_rmsd, CASE WHEN error IS NULL THEN 5.0::DOUBLE END AS all_rmsd FROM e""")
+SELECT entry, error, CASE WHEN error IS NULL THEN 7 ELSE 0 END AS n_residue, CASE WHEN error IS NULL THEN 21 ELSE 0 END AS n_atom, CASE WHEN error IS NULL THEN 5.0::DOUBLE END AS backbone_rmsd, CASE WHEN error IS NULL THEN 5.0::DOUBLE END AS all_rmsd FROM e""")
 def s26_rmsd_of_files(spark, sf_dir):
     """Structures against themselves moved by three and four. Every fifth file has the same name, every seventh loses an atom, and some have no other side."""
     v = F.regexp_extract("name", r"\d+", 0).cast("long")
@@ -436,7 +455,8 @@ def s26_rmsd_of_files(spark, sf_dir):
     own = F.substring("entry", 2, 20).cast("long")
     moved = atoms.filter((own % 11 != 5) & ((own % 7 != 3) | (F.col("pos") < 20))).withColumn("x", F.col("x") + 3).withColumn("z", F.col("z") - 4)
     report = A.compare(atoms, moved)
-    return report.select("entry", "error", F.col("n_residue").cast("int").alias("n_residue"), F.col("n_atom").cast("int").alias("n_atom"), *(F.round(c, 6).alias(c) for c in ("backbone_rmsd", "all_rmsd")))
+    counts = [F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("n_residue", "n_atom")]
+    return report.select("entry", "error", *counts, *(F.round(c, 6).alias(c) for c in ("backbone_rmsd", "all_rmsd")))
 
 
 @query("SELECT 'm' || c_custkey || '/' || repeat('long', CAST(c_custkey % 40 AS INT)) AS name, strlen(c_name) AS n_bytes, sha256(c_name) AS digest FROM customer")

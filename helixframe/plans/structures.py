@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,14 +31,15 @@ def _stem(name: str) -> str:
     return re.sub(r"\.[^.]*$", "", re.split(r"[/\\]", name)[-1])
 
 
-def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinuous: bool = False, hetero: bool = False, titled: bool = False) -> DataFrame:
+def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinuous: bool = False, hetero: bool = False, titled: bool = False, timed: bool = False) -> DataFrame:
     """name (of the output), source (the input's name), entry, blob and error for each chain fragment of texts (name, content and, where names repeat, entry).
 
     A text without a fragment, be it null, empty, broken or without atoms, gives one
     row with an error. titled: the entry's title is what the text says it is; else, and
     where it says nothing, its file's name. The fragments of one text come together
-    once, beside its row.
+    once, beside its row. timed: also seconds, what encoding the fragment took.
     """
+    columns = ["name", "source", "entry", "blob", "error", "seconds"]
     keyed = S._keyed(texts)
     rows = fragments(S.atoms(keyed).filter(F.lit(hetero) | (F.col("record") == "ATOM")))
     named = S.titles(keyed) if titled else keyed.select("entry", "name", F.lit("").alias("title"))
@@ -45,7 +47,7 @@ def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinu
     def run(given: pd.DataFrame, atoms: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not len(given):
-            return pd.DataFrame(out, columns=["name", "source", "entry", "blob", "error"])
+            return pd.DataFrame(out, columns=columns)
         entry, name, title = given.iloc[0][["entry", "name", "title"]]
         stem = _stem(name or "")
         segments = {k: x for k, x in atoms.groupby(["model", "segment"], sort=True)}
@@ -55,12 +57,26 @@ def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinu
                 continue
             for fragment, part in pieces.items():
                 parts = (stem, str(part["chain"].iloc[0]) if len(segments) > 1 else "", f"_{fragment}" if len(pieces) > 1 else "")
-                out.append(("".join(parts) + ".fcz", name, entry, *E.encoded(part, title or stem, interval)))
+                began = time.perf_counter()
+                out.append(("".join(parts) + ".fcz", name, entry, *E.encoded(part, title or stem, interval), time.perf_counter() - began))
         if not out:
-            out.append((stem + ".fcz", name, entry, None, "no atoms that can be encoded" if not len(atoms) else "discontinuous"))
-        return pd.DataFrame(out, columns=["name", "source", "entry", "blob", "error"])
+            out.append((stem + ".fcz", name, entry, None, "no atoms that can be encoded" if not len(atoms) else "discontinuous", 0.0))
+        return pd.DataFrame(out, columns=columns)
 
-    return named.groupBy("entry").cogroup(rows.groupBy("entry")).applyInPandas(run, "name string, source string, entry string, blob binary, error string")
+    out = named.groupBy("entry").cogroup(rows.groupBy("entry")).applyInPandas(run, "name string, source string, entry string, blob binary, error string, seconds double")
+    return out if timed else out.drop("seconds")
+
+
+def observed(made: DataFrame, stage: str, content: str = "blob") -> tuple[DataFrame, Observation]:
+    """made, and what is counted while it is computed: its rows, those with an error, their bytes and, where there are seconds, these and the longest.
+
+    The observation's get waits for the run that computes the rows; a listener sees it under the stage's name.
+    """
+    seen = Observation(stage)
+    counts = [F.count(F.lit(1)).alias("rows"), F.count("error").alias("errors"), F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).alias("bytes")]
+    if "seconds" in made.columns:
+        counts += [F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"), F.coalesce(F.max("seconds"), F.lit(0.0)).alias("longest")]
+    return made.observe(seen, *counts), seen
 
 
 def decompress_texts(entries: DataFrame, alternate: bool = False, check: bool = False, titles: bool = False) -> DataFrame:

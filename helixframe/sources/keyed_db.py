@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup as L
 from . import db_format
-from .shared import local_path, materialise
+from .shared import local_path, materialise, shared_dir
 
 #: Fixed value: the kind of database that the .dbtype file names.
 DBTYPE = struct.pack("<i", 12)
@@ -104,13 +105,16 @@ def _of(asked: DataFrame, held: DataFrame, strict: bool, by_key: bool) -> DataFr
     return asked.join(held, column)
 
 
-def read_native(spark: SparkSession, path: str, ids: list | None = None, strict: bool = False, by_key: bool = False) -> DataFrame:
-    """key, name, content of a database of plain files: path, path.index and path.lookup; ids as for read.
+def read_native(spark: SparkSession, path: str, ids: list | None = None, strict: bool = False, by_key: bool = False, cached: bool = False) -> DataFrame:
+    """key, name, content of a database of plain files: path, path.index and path.lookup; ids as for read; cached: through cached_index.
 
     The index is dealt out by offset; each task reads its own ranges, so the data
     file must be on storage that the executors share.
     """
-    index = read_index(spark, f"{path}.index").join(read_lookup(spark, f"{path}.lookup"), "key", "left")
+    if cached:
+        index = cached_index(spark, path, "key" if by_key else "name")
+    else:
+        index = read_index(spark, f"{path}.index").join(read_lookup(spark, f"{path}.lookup"), "key", "left")
     index = index.select("key", F.coalesce("name", F.lit("")).alias("name"), "offset", "length")
     extra = []
     if ids:
@@ -130,6 +134,27 @@ def read_native(spark: SparkSession, path: str, ids: list | None = None, strict:
     return index.repartitionByRange("offset").sortWithinPartitions("offset").mapInPandas(run, schema)
 
 
+def cached_index(spark: SparkSession, path: str, by: str = "key", buckets: int | None = None) -> DataFrame:
+    """key, name, offset and length of a database as a bucketed, sorted table, made once for each state of the files.
+
+    Keys or names (by) are then looked up without a shuffle of the index: a join deals
+    out the other side alone. The table is in the session's catalog and its files are in
+    the shared folder; a database that was written again gets another.
+    """
+    native = is_native(path) if "://" not in path else False
+    parts = (f"{path}.index", f"{path}.lookup") if native else (f"{path}/index", f"{path}/lookup")
+    index, lookup = read_index(spark, parts[0]), read_lookup(spark, parts[1])
+    state = spark.read.format("binaryFile").load(list(parts)).select("path", "length", F.col("modificationTime").cast("string").alias("time"))
+    mark = state.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "path", "length", "time"))), ";").cast("binary"))).first()[0]
+    name = f"index_{by}_{mark}"
+    if not spark.catalog.tableExists(name):
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = index.join(lookup.select("key", "name"), "key", "left").select("key", F.coalesce("name", F.lit("")).alias("name"), "offset", "length")
+        target = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        rows.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", target).saveAsTable(name)
+    return spark.table(name)
+
+
 class Database:
     """A database of either form: len(), entries by place or name, and a context manager; entries() is all of it as a DataFrame."""
 

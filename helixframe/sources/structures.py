@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import os
 import re
 import tarfile
 import zlib
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import base_name, cut, hybrid_number, without_extension
 from ..operators.lookup import keyed_offsets
-from .shared import materialise, write_parts
+from . import archive_format
+from .shared import local_path, materialise, write_parts
 
 #: entry tells inputs apart, whatever their names.
 ATOM_SCHEMA = "entry string, name string, model int, pos long, atom_index long, atom string, altloc string, residue string, chain string, residue_index int, icode string, x double, y double, z double, occupancy double, temp_factor double, record string"
@@ -32,8 +34,12 @@ def entries(spark: SparkSession, path: str | list[str], recursive: bool = False)
     """path, entry, name, content of files; gzipped ones are opened, archives give an entry for each regular member.
 
     entry is the path, with the member's name and place for a member of an archive: it tells
-    files of one name apart. A file that cannot be opened is an entry without content.
+    files of one name apart. A file that cannot be opened is an entry without content. An
+    archive on mounted storage is read by ranges; elsewhere it is one row of Spark's
+    binaryFile, so of 2 GB at most.
     """
+    if isinstance(path, str) and archive_format.ARCHIVE.search(path) and ("://" not in path or path.startswith("file:")) and os.path.isfile(local_path(path)):
+        return archive_format.load(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
     return opened(files)
 
