@@ -12,9 +12,12 @@ Bitmaps move once, whole by chunk; between the two passes only counts move.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,12 @@ KEPT = 200_000
 #: A space with other white space beside it, or at an end: there words aren't tokenised each on its own.
 TIED = re.compile(r"\s | \s| \Z")
 
+#: Words of Latin letters, ASCII digits and marks, which every version of Unicode parts alike; and the byte-level pre-tokens' pattern, a fixed value.
+LATIN = re.compile(r"[\x20-\x7e\n\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Ends of lines, which words are parted before as well.
+LINES = re.compile(r"(\n+)")
+
 CHUNKS = "chunk long, slot int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, part int, pairs array<int>, docs array<int>, links array<int>, owners binary, planes binary, cards binary, bits binary"
 
 
@@ -51,9 +60,9 @@ class Aligner:
     """Both tokenizers' ids of a text, groups that end together, and links.
 
     The first is byte-level and gets the text with a space before it, which the second
-    adds itself. Neither joins over a single space between words, so that a word's
-    alignment is the same in all texts and is kept; texts with other spacing are
-    tokenised whole.
+    adds itself. Neither joins over a single space between words or over ends of lines,
+    so that a word's alignment is the same in all texts and is kept; texts with other
+    spacing are tokenised whole.
     """
 
     def __init__(self, first: str, second: str) -> None:
@@ -66,11 +75,15 @@ class Aligner:
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        vocabulary = self.first.get_vocab()
-        self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
-        self.bytes_b = {i: self._piece(i) for i in range(self.second.get_piece_size())}
-        if len(self.bytes_b) > 1 << SHIFT or max(self.bytes_a) >= 1 << (31 - SHIFT):
+        tokens = {i: t for t, i in self.first.get_vocab().items()}
+        self.bytes_a = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in (tokens.get(i, "") for i in range(max(tokens) + 1))]
+        self.bytes_b = [self._piece(i) for i in range(self.second.get_piece_size())]
+        if len(self.bytes_b) > 1 << SHIFT or len(self.bytes_a) > 1 << (31 - SHIFT):
             raise ValueError("the vocabularies are too large for pairs of 31 bits")
+        self.sizes = tuple(np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.numbers = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.ranked = self._ranked(first)
+        self.followed = [f"{i}{end}".encode() for i in self.numbers for end in ",|;\n"]
         self.new: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -80,31 +93,32 @@ class Aligner:
 
     def _aligned(self, data: bytes, a: list[int], b: list[int]) -> tuple | None:
         """n_a, n_b, n_groups, the groups' text and the links' pairs; None where the tokens' bytes aren't the text's."""
-        of_a, of_b = self.bytes_a, self.bytes_b
-        if b"".join([of_a[i] for i in a]) != data or b"".join([of_b[i] for i in b]) != data:
+        if b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
             return None
-        if len(a) == len(b) == 1:
-            return 1, 1, 1, b"%d|%d" % (a[0], b[0]), (a[0] << SHIFT | b[0]).to_bytes(4, "little")
-        i = j = 0
-        end_a, end_b = len(of_a[a[0]]), len(of_b[b[0]])
-        links, groups, from_a, from_b = [], [], 0, 0
-        while True:
-            links.append(a[i] << SHIFT | b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += len(of_a[a[i]])
-            elif end_b < end_a:
-                j += 1
-                end_b += len(of_b[b[j]])
+        size_a, size_b, number = [len(self.bytes_a[i]) for i in a], [len(self.bytes_b[i]) for i in b], self.numbers
+        next_a, next_b = zip(a, size_a, strict=True), zip(b, size_b, strict=True)
+        (one, ahead), (two, behind) = next(next_a), next(next_b)
+        ahead -= behind
+        links, groups, from_a, from_b = [one << SHIFT | two], [], number[one], number[two]
+        for _ in range(len(a) + len(b)):
+            if ahead < 0:
+                one, size = next(next_a)
+                ahead += size
+                from_a += "," + number[one]
+            elif ahead > 0:
+                two, size = next(next_b)
+                ahead -= size
+                from_b += "," + number[two]
             else:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                if i == len(a):
+                groups.append(from_a + "|" + from_b)
+                one, ahead = next(next_a, (None, 0))
+                if one is None:
                     break
-                from_a, from_b = i, j
-                end_a += len(of_a[a[i]])
-                end_b += len(of_b[b[j]])
-        return len(a), len(b), len(groups), ";".join(groups).encode(), np.array(links, "<i4").tobytes()
+                two, size = next(next_b)
+                ahead -= size
+                from_a, from_b = number[one], number[two]
+            links.append(one << SHIFT | two)
+        return len(a), len(b), len(groups), ";".join(groups).encode(), pack(f"<{len(links)}i", *links)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.new) > KEPT:
@@ -117,16 +131,68 @@ class Aligner:
                 unknown.append(w)
         for start in range(0, len(unknown), 4096):
             some = unknown[start : start + 4096]
-            spaced = [" " + w for w in some]
-            for w, s, a, b in zip(some, spaced, self.first.encode_batch_fast(spaced, add_special_tokens=False), self.second.encode(some, num_threads=1), strict=True):
-                self.new[w] = self._aligned(s.encode(), a.ids, b)
+            spelled = [w if w[0] == "\n" else " " + w for w in some]
+            a = self._first_ids(spelled)
+            # The second has put a space before a line's end, too: a piece of its own, since none has one before a line's end.
+            b = [ids[1:] if w[0] == "\n" else ids for w, ids in zip(some, self.second.encode(some, num_threads=1), strict=True)]
+            self.new.update(zip(some, self._together([s.encode() for s in spelled], a, b), strict=True))
+
+    def _first_ids(self, spelled: list[str]) -> list[list[int]]:
+        """Ids of the first tokenizer. Where its merges are in the order of their ids, Latin words go through a quicker program that applies just these."""
+        if self.ranked is None:
+            return [e.ids for e in self.first.encode_batch_fast(spelled, add_special_tokens=False)]
+        out = [self.ranked.encode_ordinary(s) if LATIN.fullmatch(s) else None for s in spelled]
+        others = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(others, self.first.encode_batch_fast([spelled[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    def _ranked(self, path: str) -> object | None:
+        """The first tokenizer's merges as ranks, or None where their order is another."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        model, vocabulary = held["model"], held["model"]["vocab"]
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if [vocabulary.get(m) for m in merges] != list(range(256, 256 + len(merges))) or held.get("normalizer") or held["pre_tokenizer"].get("type") != "ByteLevel":
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(merges) else None
+
+    def _together(self, data: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
+        """_aligned for many words at once."""
+        n_a, n_b, size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b, data))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        end_a, end_b, end = np.cumsum(self.sizes[0][flat_a]), np.cumsum(self.sizes[1][flat_b]), np.cumsum(size)
+        spelled = n_a.all() and n_b.all() and (end_a[np.cumsum(n_a) - 1] == end).all() and (end_b[np.cumsum(n_b) - 1] == end).all()
+        whole = b"".join(data)
+        if not spelled or any(b"".join(map(of.__getitem__, flat.tolist())) != whole for of, flat in ((self.bytes_a, flat_a), (self.bytes_b, flat_b))):
+            return [self._aligned(*x) for x in zip(data, a, b, strict=True)]
+        # One link for each stretch between neighbouring ends of either.
+        last_a, last_b = end_b[np.searchsorted(end_b, end_a)] == end_a, end_a[np.searchsorted(end_a, end_b)] == end_b
+        ends = np.sort(np.concatenate([end_a, end_b[~last_b]]), kind="stable")
+        links = (flat_a[np.searchsorted(end_a, ends)] << SHIFT | flat_b[np.searchsorted(end_b, ends)]).astype("<i4").tobytes()
+        upto = (4 * np.searchsorted(ends, end, "right")).tolist()
+        groups = np.searchsorted(end_a[last_a], end, "right")
+        # Ids in order of group and side, each with what follows it: a comma, a bar, a semicolon, or a line's end behind a word.
+        upto_a, upto_b = (np.r_[0, np.flatnonzero(last) + 1] for last in (last_a, last_b))
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        follows = np.where(last_b, 2, 0)
+        follows[np.cumsum(n_b) - 1] = 3
+        codes = np.empty(len(flat_a) + len(flat_b), np.int64)
+        codes[np.arange(len(flat_a)) + upto_b[of_a]] = flat_a * 4 + last_a
+        codes[np.arange(len(flat_b)) + upto_a[of_b + 1]] = flat_b * 4 + follows
+        text = b"".join(map(self.followed.__getitem__, codes.tolist())).split(b"\n")[:-1]
+        pairs = [links[x:y] for x, y in zip([0, *upto], upto, strict=False)]
+        return list(zip(n_a.tolist(), n_b.tolist(), np.diff(groups, prepend=0).tolist(), text, pairs, strict=True))
 
     def whole(self, text: str) -> tuple | None:
         return self._aligned((" " + text).encode(), self.first.encode(" " + text, add_special_tokens=False).ids, self.second.encode(text))
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """n_a, n_b, n_groups, the digest of the groups and the links' pairs of each text; zeros and nothing for one without tokens."""
-        split = [t.split(" ") if t and not TIED.search(" " + t) else None for t in texts]
+        split = [LINES.sub(r" \1", t).split(" ") if t and not TIED.search(" " + t) else None for t in texts]
         self._learn(set().union(*[w for w in split if w]))
         known = self.new
         for text, words in zip(texts, split, strict=True):
@@ -146,7 +212,9 @@ class Aligner:
 
 def planes(pairs: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pair, plane and slot of each bit that links (a pair, a document's slot) set, in this order."""
-    key, times = np.unique(pairs.astype(np.int64) * CHUNK_DOCS + slots, return_counts=True)
+    key = np.sort(pairs.astype(np.int64) * CHUNK_DOCS + slots)
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    key, times = key[heads], np.diff(np.r_[heads, len(key)])
     held = []
     for plane in range(int(times.max(initial=0)).bit_length()):
         at = key[(times >> plane) & 1 == 1]
@@ -217,8 +285,10 @@ class Chunk:
             return
         # The union of a pair's planes, popcounted, and its planes' popcounts weighted.
         heads = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        present = np.unique(pair * CHUNK_DOCS + slot) // CHUNK_DOCS
-        names_of, docs = np.unique(present, return_counts=True)
+        union = np.sort(pair * CHUNK_DOCS + slot)
+        present = union[np.r_[True, union[1:] != union[:-1]]] // CHUNK_DOCS
+        names_of = pair[heads]
+        docs = np.diff(np.r_[np.searchsorted(present, names_of), len(present)])
         links = np.add.reduceat(1 << plane, heads)
         owner = (pair << 5) + plane
         cards, bitmaps = squeezed(owner, slot)
@@ -244,6 +314,9 @@ class Chunk:
             )
 
 
+_kept: dict[tuple[str, str], Aligner] = {}
+
+
 def chunks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """Rows of documents (slot is set) and of bitmaps (part is set) of all chunks, to be written once."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -252,7 +325,9 @@ def chunks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(CHUNKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*paths)
+        if paths not in _kept:
+            _kept[paths] = Aligner(*paths)
+        aligner = _kept[paths]
         number = TaskContext.get().partitionId() << 32
         chunk = Chunk(number)
         for batch in batches:
