@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sum_before, table
+from .common import materialise, sum_before, table
 
 #: Text bytes that one bucket should hold, and those that a task of the second pass should.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
@@ -56,10 +56,10 @@ def shuffle_into_shards(
     """Rows (_shard int, _slot long, record struct) holding every input row once; record has all its columns.
 
     Slots run gapless from 0 in each shard and row counts differ by one at most.
-    The permutation follows from the seed, the rows and the number of buckets and
-    partitions. Null columns, null and empty texts are records like any
-    other; columns may bear any name, since the record stays a struct. Rows alike
-    in all columns hash alike and share a bucket. An empty table gives none.
+    The permutation follows from the seed, the rows, where they lie in the input, and
+    the number of buckets and partitions. Null columns, null and empty texts are
+    records like any other; columns may bear any name, since the record stays a struct.
+    Rows alike in all columns are dealt to many buckets. An empty table gives none.
     """
     spark = docs.sparkSession
     kinds = {f.name: f.dataType for f in docs.schema.fields}
@@ -67,7 +67,9 @@ def shuffle_into_shards(
     size = F.coalesce(F.octet_length(F.col("record")[text_col]), F.lit(0)) + 8
     total = record.agg(F.sum(size.cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    scattered = record.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "record"), F.lit(buckets)))
+    # A row's number parts it from rows that are alike, so that many of these go to many buckets. Written, so that it stays.
+    numbered = record.withColumn("row", F.monotonically_increasing_id())
+    scattered = materialise(numbered.select("record", F.pmod(F.xxhash64(F.lit(seed), "record", "row"), F.lit(buckets)).alias("bucket")), "scattered")
 
     # Where each bucket's rows begin in the whole sequence; one row for each bucket.
     starts = sum_before(scattered.groupBy("bucket").count(), "bucket", "count", "start")

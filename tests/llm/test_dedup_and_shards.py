@@ -77,3 +77,15 @@ def test_written_shards(spark, plain_docs, tmp_path):
     S.write_shards(S.shuffle_into_shards(plain_docs, shards=3), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == plain_docs.count() and back.select("_shard").distinct().count() == 3
+
+
+def test_rows_that_are_alike_go_to_many_buckets(spark):
+    """Also where they are all there is: tasks are even, the law and the slots hold."""
+    df = spark.range(4000).select(F.lit(1).alias("doc_id"), F.lit("x" * 100).alias("text")).repartition(3)
+    out = S.shuffle_into_shards(df, shards=7, bucket_bytes=4000)
+    sizes = [n for n in out.rdd.glom().map(len).collect() if n]
+    assert len(sizes) >= 4 and max(sizes) < 2 * 4000 / len(sizes)
+    slots = defaultdict(list)
+    for r in out.select("_shard", "_slot").collect():
+        slots[r["_shard"]].append(r["_slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
