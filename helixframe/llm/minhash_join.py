@@ -4,14 +4,15 @@ Bands and rows follow from the threshold and a target recall. Band hashes find
 candidates; only identifiers move for that. Texts that share a bucket, directly
 or by way of others, meet in units of bounded size, where all pairs are verified
 on their full n-gram sets. A group of candidates too large for one unit is dealt
-into tiles; two of them meet only where a bucket has members in both. Pairs are
-never rows: a unit returns each text's class and number of links.
+into tiles; two of them meet only where a bucket has members in both. Texts so close
+to one set that the triangle inequality links them all are counted, not compared.
+Pairs are never rows: a unit returns each text's class and number of links.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -176,6 +177,41 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, same: bo
         label = new
 
 
+def cores(members: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """rep, first and near of members (rep, first, part, own_tiles) of hubs that have several tiles.
+
+    A hub's pivot has the n-grams that more than half of one of its tiles hold. Jaccard
+    distances obey the triangle inequality, so texts within half of the greatest
+    distance of links from the pivot are all linked with each other. Which set the pivot
+    is bears on the time alone.
+    """
+    held = members.join(texts, "rep")
+
+    def centre(frame: pd.DataFrame) -> pd.DataFrame:
+        cache: dict[bytes, int] = {}
+        sets = [ngrams(bytes(t), n, cache) for t in frame["text"]]
+        grams, times = np.unique(np.concatenate(sets), return_counts=True)
+        return pd.DataFrame({"first": [frame["first"][0]], "own_tiles": [frame["own_tiles"][0]], "pivot": [grams[times * 2 > len(sets)].tobytes()]})
+
+    pivots = held.filter("part = 0").groupBy("first").applyInPandas(centre, "first long, own_tiles long, pivot binary")
+    pivots = materialise(pivots, "pivots").select(F.col("first").alias("_first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_tiles") - 1)).alias("_part"), "pivot")
+
+    def measure(frame: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({"rep": [], "first": [], "near": []})
+        pivot = np.frombuffer(given["pivot"][0], np.uint64) if len(given) else np.empty(0, np.uint64)
+        cache: dict[bytes, int] = {}
+        near = []
+        for text in frame["text"]:
+            grams = ngrams(bytes(text), n, cache)
+            common = int(np.isin(grams, pivot, assume_unique=True).sum())
+            union = len(grams) + len(pivot) - common
+            near.append(union > 0 and 1 - common / union <= (1 - threshold) / 2 - 1e-9)
+        return pd.DataFrame({"rep": frame["rep"], "first": frame["first"], "near": near})
+
+    return held.groupBy("first", "part").cogroup(pivots.groupBy("_first", "_part")).applyInPandas(measure, "rep long, first long, near boolean")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -186,6 +222,7 @@ def near_duplicates(
     tile: int = TILE,
     tile_grams: int = TILE_GRAMS,
     row_col: str | None = None,
+    sign: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, copy_of, class_id, n_links; with row_col also row and kept.
 
@@ -197,7 +234,8 @@ def near_duplicates(
     else. Rows that repeat an id are texts of their own. Rows with a null id are left
     apart: class null, no links. row_col names a column of distinct numbers in a
     written table; kept is true for one row of each class, one with the least id, and
-    for all rows left apart. Other columns are ignored. Empty in, empty out.
+    for all rows left apart. sign: other signatures of the same sets, in
+    columns as signatures() has them. Other columns are ignored. Empty in, empty out.
     """
     bands, rows = choose_bands(threshold, recall)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
@@ -206,7 +244,7 @@ def near_duplicates(
     if not row_col:
         given = materialise(given.withColumn("row", F.monotonically_increasing_id()), "rows") if by_row else given.withColumn("row", F.col("doc_id"))
     plain = given.filter("doc_id is not null")
-    named = materialise(signatures(plain, n, bands, rows), "signatures")
+    named = materialise(sign(plain) if sign else signatures(plain, n, bands, rows), "signatures")
     copies = materialise(
         named.groupBy("set_key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "row")).alias("first")), "copies"
     )
@@ -226,19 +264,29 @@ def near_duplicates(
     placed = groups.join(tiles_of(["label"], "tiles"), "label")
     small = placed.filter("tiles = 1").select(F.col("node").alias("rep"), "label", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).alias("side"))
     large = placed.filter("tiles > 1").join(tiles_of(["label", "first"], "own_tiles"), ["label", "first"])
-    # Members of one hub stay together, in tiles of their own where they are many.
-    spread = F.xxhash64(F.lit(2), "first", F.pmod(F.xxhash64("node"), F.col("own_tiles")))
-    own = F.when(F.col("own_tiles") > 1, spread).otherwise(F.xxhash64(F.lit(1), "label", F.pmod(F.xxhash64("first"), F.col("tiles"))))
-    large = materialise(large.select(F.col("node").alias("rep"), "label", own.alias("own")), "tiles")
-    units = small
+    large = materialise(large.select(F.col("node").alias("rep"), "label", "first", "tiles", "own_tiles", F.pmod(F.xxhash64("node"), F.col("own_tiles")).alias("part")), "large")
+    texts = plain.select(F.col("row").alias("rep"), text_of("text").cast("binary").alias("text"))
+    units, core = small, None
     if not large.isEmpty():
-        there = shared.join(large, F.col("node") == F.col("rep")).groupBy("bucket", "label").agg(F.array_sort(F.collect_set("own")).alias("owns"))
-        met = there.select("label", F.explode("owns").alias("low"), "owns").select("label", "low", F.explode(F.filter("owns", lambda x: x >= F.col("low"))).alias("high"))
-        met = materialise(met.distinct(), "met")
+        core = materialise(cores(large.filter("own_tiles > 1").select("rep", "first", "part", "own_tiles"), texts, n, threshold), "cores")
+        # Members of one hub stay together, in tiles of their own where they are many.
+        spread = F.xxhash64(F.lit(2), "first", F.coalesce("near", F.lit(False)), "part")
+        own = F.when(F.col("own_tiles") > 1, spread).otherwise(F.xxhash64(F.lit(1), "label", F.pmod(F.xxhash64("first"), F.col("tiles"))))
+        large = large.join(core.select("rep", "near"), "rep", "left")
+        large = materialise(large.select("rep", "label", own.alias("own"), F.when(F.col("near"), F.col("first")).alias("core")), "tiles")
+        core = core.filter("near").select("rep", "first").join(copies.select("rep", "size"), "rep")
+        there = shared.join(large, F.col("node") == F.col("rep")).groupBy("bucket", "label").agg(F.collect_set(F.when(F.col("core").isNull(), F.col("own"))).alias("outer"), F.collect_set(F.when(F.col("core").isNotNull(), F.struct("core", "own"))).alias("inner"))
+        # All texts of one core are linked: its tiles need not meet each other.
+        everyone = F.concat("outer", F.transform("inner", lambda x: x["own"]))
+        pairs = there.select("label", F.explode("outer").alias("a"), everyone.alias("others")).select("label", "a", F.explode("others").alias("b"))
+        apart = there.filter(F.array_max(F.transform("inner", lambda x: x["core"])) > F.array_min(F.transform("inner", lambda x: x["core"])))
+        apart = apart.select("label", F.explode("inner").alias("x"), "inner").select("label", F.col("x.own").alias("a"), F.explode(F.filter("inner", lambda y: y["core"] > F.col("x.core"))).alias("y"))
+        pairs = pairs.unionByName(apart.select("label", "a", F.col("y.own").alias("b")))
+        met = materialise(pairs.select("label", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "met")
         low = large.join(met.withColumn("own", F.col("low")), ["label", "own"]).select("rep", "label", "low", "high", F.lit(0).alias("side"))
         high = large.join(met.filter("low <> high").withColumn("own", F.col("high")), ["label", "own"]).select("rep", "label", "low", "high", F.lit(1).alias("side"))
         units = small.unionByName(low).unionByName(high)
-    held = units.join(copies.select("rep", "size"), "rep").join(plain.select(F.col("row").alias("rep"), text_of("text").cast("binary").alias("text")), "rep")
+    held = units.join(copies.select("rep", "size"), "rep").join(texts, "rep")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep", ignore_index=True)
@@ -248,7 +296,12 @@ def near_duplicates(
         reps = frame["rep"].to_numpy()
         return pd.DataFrame({"rep": reps, "class_id": reps[label], "degree": degree})
 
-    verified = materialise(held.groupBy("label", "low", "high").applyInPandas(verify, "rep long, class_id long, degree long"), "verified")
+    verified = held.groupBy("label", "low", "high").applyInPandas(verify, "rep long, class_id long, degree long")
+    if core is not None:
+        # Written, so that the join with a large core can be split.
+        whole = materialise(core.groupBy("first").agg(F.min("rep").alias("class_id"), F.sum("size").alias("all")), "core-sizes")
+        verified = verified.unionByName(core.join(whole, "first").select("rep", "class_id", (F.col("all") - F.col("size")).alias("degree")))
+    verified = materialise(verified, "verified")
     degrees = verified.groupBy("rep").agg(F.sum("degree").alias("degree"))
     # A text of one unit has its class there already; one of several units joins their classes.
     joined = gathered(verified.select(F.col("rep").alias("node"), F.col("class_id").alias("hub")), "classes")

@@ -182,3 +182,27 @@ def test_column_order_against_sorting():
             w = s[rel[k] - off :][:length]
             same = len(w) == length and any(j != k and groups[j] == groups[k] and rel[j] >= off and stretches[j][rel[j] - off :][:length] == w for j in range(len(stretches)))
             assert found[k, off] == same
+
+
+def copies_of(n, words, seed, edits=1):
+    import random
+
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[rng.randrange(words)] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("words", "edits"), [(300, 1), (120, 1), (150, 2), (60, 1)])
+def test_links_of_many_near_copies(spark, words, edits):
+    """Cores, texts outside them, and both beside each other, with tiles of twenty texts: links equal those of all pairs."""
+    texts = copies_of(150, words, words, edits) + copies_of(30, words, words, 4 * edits) + copies_of(40, 2 * words, 7)
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in M.near_duplicates(frame, tile=20).collect())
+    assert got == sorted(expected(rows))
