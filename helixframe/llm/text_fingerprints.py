@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, table, text_of
-from .minhash_join import near_duplicates
+from .minhash_join import near_duplicates, ngrams
 from .trie_counts import slices
 
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 12
@@ -236,7 +236,22 @@ def similar(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Bands of the signatures are joined, and texts that meet are verified on their full
     sets. Nulls, empty texts and rows that repeat are as in near_duplicates.
     """
-    return near_duplicates(docs, n=SHINGLE, threshold=threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, known = Signer(), {}
+        for batch in batches:
+            for some in slices(batch, 2, 4 << 20):
+                sets = [ngrams(t, SHINGLE, known) for t in some.column(2).to_pylist()]
+                bands = [band_hashes(signer.minima((g >> np.uint64(32)).astype(np.uint32)) if len(g) else None) for g in sets]
+                keys = [hashlib.sha256(g.tobytes()).digest()[:16] for g in sets]
+                columns = [*some.columns[:2], pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "set_key", "grams", "bands"])
+
+    def sign(plain: DataFrame) -> DataFrame:
+        held = plain.select("row", "doc_id", text_of("text").cast("binary").alias("text"))
+        return held.mapInArrow(run, "row long, doc_id long, set_key binary, grams long, bands array<long>")
+
+    return near_duplicates(docs, n=SHINGLE, threshold=threshold, sign=sign)
 
 
 def op12_text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,20 @@ def test_the_same_text_alone_has_the_same_fingerprint(docs):
     alone = {(r["doc_id"], r["n_chars"], bytes(r["fingerprint"])) for r in T.fingerprints(docs).collect()}
     beside = {(r["doc_id"], r["n_chars"], bytes(r["fingerprint"])) for r in T.beside_next(docs).collect()}
     assert alone == beside
+
+
+def test_texts_that_share_a_band_are_verified(spark, plain_docs):
+    """Classes and links equal those of all pairs, compared on their shingle sets."""
+    from test_pairs_and_repeats import expected as all_pairs
+
+    rows = [(r["doc_id"], r["text"]) for r in plain_docs.collect()]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in T.similar(plain_docs).collect())
+    assert got == sorted(all_pairs(rows))
+
+
+def test_signatures_of_sets_and_of_texts_are_the_same():
+    from helixframe.llm.minhash_join import ngrams
+
+    signer = T.Signer()
+    for text in ("a b c d e f g a b c d e", "x", "One two THREE four five six"):
+        assert (signer.minima((ngrams(text.encode(), 5, {}) >> np.uint64(32)).astype(np.uint32)) == signer.signature(text)).all()
