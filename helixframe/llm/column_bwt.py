@@ -32,6 +32,8 @@ from .trie_counts import slices
 LENGTH, GRAM, WORDS = 400, 64, 51
 #: Distinct stretches that one group should hold; distances that go together where a larger one is split, step by step.
 GROUP, WIDTHS = 8192, (64, 8, 1)
+#: Rows that are alike in id and text of which one bucket should hold no more.
+REPEATED = 64
 #: Windows of a text that are handled at once, and bytes of stretches that are ordered at once.
 SLICE, CHUNK = 1 << 20, 12 << 20
 
@@ -410,8 +412,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Texts with such anchors, once, in buckets by row: neither of the two later reads moves them.
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"stretches_{uuid.uuid4().hex}"
-    sought = long_enough.select("row", "text").join(wanted.hint("merge"), "row").repartition(buckets, "row")
-    sought.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "row").saveAsTable(name)
+    texts, by = long_enough.select("row", "text"), ["row"]
+    # Rows that repeat in id and text many times are dealt to several buckets.
+    hot = materialise(listed.groupBy("row").count().filter(F.col("count") > REPEATED).select("row", F.ceil(F.col("count") / REPEATED).alias("ways")), "hot-rows")
+    if not hot.isEmpty():
+        by = ["row", "way"]
+        ways = F.coalesce("ways", F.lit(1).cast("long"))
+        texts = texts.withColumn("way", F.monotonically_increasing_id()).join(hot, "row", "left").withColumn("way", F.pmod("way", ways)).drop("ways")
+        wanted = wanted.join(hot, "row", "left").select("row", "anchors", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
+    sought = texts.join(wanted.hint("merge"), by).repartition(buckets, *by)
+    sought.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, *by).saveAsTable(name)
     sought = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # from the catalog alone; its files are read by path
 

@@ -127,6 +127,21 @@ def test_repeats_match_brute_force(docs, length, gram, words, most):
     assert not docs.sparkSession.sql("SHOW TABLES").filter("tableName like 'stretches%'").count()
 
 
+def test_rows_alike_are_dealt_to_several_buckets(spark, docs, monkeypatch):
+    """Rows that repeat in id and text, and the buckets of their texts; results as by brute force."""
+    monkeypatch.setattr(B, "REPEATED", 4)
+    rows = [(r["doc_id"], r["text"]) for r in docs.filter("length(text) < 3000").collect()]
+    rows += [(77, "copied " + "many times over, " * 20)] * 50 + [(78, rows[9][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt = []
+    made = type(frame).repartition
+    monkeypatch.setattr(type(frame), "repartition", lambda self, *a: dealt.append(a) or made(self, *a))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in B.remove_repeats(frame, length=40, gram=16, words=9).collect()]
+    wanted = [(r[0], *x) for r, x in zip(rows, removed([(t or "").encode() for _, t in rows], 40), strict=True)]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    assert any("way" in a for a in dealt)
+
+
 def test_repeats_of_none(no_docs):
     assert B.remove_repeats(no_docs).count() == 0
 
