@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import materialise, table, text_of
 from .trie_counts import slices
 
-#: Bytes of context; a context is in the tree if it occurs so often, or more rarely as long as the tree has no more than so many.
-DEPTH, LEAST, CONTEXTS = 6, 64, 1 << 17
+#: Bytes of context; a context is in the tree if it occurs so often, whatever the size of the corpus.
+DEPTH, LEAST = 6, 2
+#: Bytes that the contexts of one part end in alike.
+SPLIT = 3
 #: Ends a text and stands before it; no byte of UTF-8.
 END = 0xFF
 #: Steps of a bit in which code lengths are kept, rounded up.
@@ -117,13 +119,23 @@ def binary_counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(zeros, 1), np.concatenate(ones, 1)
 
 
+#: log Gamma of n + 1/2 and of n + 1 for the counts that most nodes have.
+_TABLE = 1 << 16
+_HALVES = math.lgamma(0.5) + np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE - 1) + 0.5))])
+_WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, _TABLE)))])
+
+
+def _looked_up(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    out = table[np.minimum(n, _TABLE - 1)]
+    large = np.nonzero(n >= _TABLE)
+    if len(large[0]):
+        out[large] = _lgamma(n[large].astype(float) + more)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    out = np.zeros(zeros.shape)
-    k = np.nonzero(zeros + ones)
-    a, b = zeros[k].astype(float), ones[k].astype(float)
-    out[k] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1)
-    return out
+    return _looked_up(zeros, _HALVES, 0.5) + _looked_up(ones, _HALVES, 0.5) - math.log(math.pi) - _looked_up(zeros + ones, _WHOLES, 1.0)
 
 
 def code_lengths(one: np.ndarray) -> np.ndarray:
@@ -311,8 +323,8 @@ def grow(rows: pd.DataFrame, depth: int) -> Tree:
     return Tree(symbol, np.ascontiguousarray(np.concatenate(child)), np.ascontiguousarray(np.concatenate(lengths)), depth)
 
 
-#: Contexts of one level that are weighed at once, and keys in a row of a written table.
-BLOCK, ROW_KEYS = 512, 1 << 20
+#: Keys in a row of a written table.
+ROW_KEYS = 1 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -336,168 +348,194 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def part_of(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
-    """Parts of strings: those whose contexts end in the same two bytes have the same one."""
-    ends = (keys >> 8) & ((1 << 8 * min(2, depth)) - 1)
-    return ((ends * 0x9E3779B1) & 0xFFFFFFFF) % parts
+    """Parts of strings: those whose contexts end in the same three bytes have the same one."""
+    ends = (keys >> 8) & ((1 << 8 * min(SPLIT, depth)) - 1)
+    return (((ends * 0x9E3779B1) & 0xFFFFFFFF) * parts) >> 32
+
+
+@dataclass(frozen=True)
+class _Nodes:
+    """One decision of a byte at all contexts of a level: each string's node, each node's first string, its weight, what stops there and estimates."""
+
+    of: np.ndarray
+    first: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    stop: np.ndarray
+    one: np.ndarray
+    rest_one: np.ndarray
 
 
 class Part:
-    """The contexts of two bytes and more of one part of the corpus's distinct strings, and their weights.
+    """The contexts of three bytes and more of one part of the corpus's distinct strings, and their weights.
 
-    A level's contexts lie in the order of their nearest bytes, so that what lies
-    below some of them is one run of the next level; a block of each level is held
-    in full at a time.
+    A level's strings are contexts of its length with a byte behind them, in order of
+    the nearest bytes. Only decisions on the way to a byte that some string has are
+    held: of most contexts eight for each of a few bytes, not all 255. Strings that
+    training does not have go along with counts of zero.
     """
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, least: int) -> None:
-        self.depth, self.split = depth, min(2, depth)
-        self.context, self.byte, self.n = _reversed(keys >> 8, depth), keys & 255, n
-        self.names, self.rows = {}, {}
-        for d in range(self.split, depth + 1):
-            seen = n > 0
-            u, count = _summed([((self.context[seen] >> 8 * (depth - d)) << 8) | self.byte[seen]], [n[seen]])
-            names, first = np.unique(u >> 8, return_index=True)
-            total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
-            self.names[d], held = names[total >= least], np.repeat(total >= least, np.diff(np.append(first, len(u))))
-            self.rows[d] = (u[held], count[held])
-            if least == 0:
-                self.rows[d] = total
-        if least:
-            self.first = {d: np.append(np.searchsorted(u >> 8, self.names[d]), len(u)) for d, (u, _) in self.rows.items()}
-            self.stops: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def below(self, d: int, a: int, b: int) -> tuple[int, int]:
-        """The run of the next level that lies below contexts a to b."""
-        if d == self.depth or a == b:
-            return 0, 0
-        low, high = np.searchsorted(self.names[d + 1], [self.names[d][a] << 8, (self.names[d][b - 1] + 1) << 8])
-        return int(low), int(high)
-
-    def counts(self, d: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of 256 counts of contexts a to b, what those below them leave over, and which have any below."""
-        out = np.zeros((b - a, 256), np.int64)
-        u, count = self.rows[d]
-        run = slice(self.first[d][a], self.first[d][b])
-        out[np.searchsorted(self.names[d][a:b], u[run] >> 8), u[run] & 255] = count[run]
-        rest, inner = out.copy(), np.zeros(b - a, bool)
-        low, high = self.below(d, a, b)
-        if low < high:
-            u, count = self.rows[d + 1]
-            run = slice(self.first[d + 1][low], self.first[d + 1][high])
-            up = np.searchsorted(self.names[d][a:b], u[run] >> 16)
-            np.subtract.at(rest, (up, u[run] & 255), count[run])
-            inner[up] = True
-        return out, rest, inner
-
-    def weigh(self, d: int, a: int, b: int) -> np.ndarray:
-        """Log of the weighted probability of contexts a to b at their 255 decisions."""
-        n, rest, inner = self.counts(d, a, b)
-        estimate = log_kt(*binary_counts(n))
-        if not inner.any():
-            return estimate
-        product = np.zeros(estimate.shape)
-        low, high = self.below(d, a, b)
-        for x in range(low, high, BLOCK):
-            y = min(x + BLOCK, high)
-            np.add.at(product, np.searchsorted(self.names[d][a:b], self.names[d + 1][x:y] >> 8), self.weigh(d + 1, x, y))
-        product[inner] += log_kt(*binary_counts(rest[inner]))
-        both = np.logaddexp(estimate, product) - math.log(2)
-        self.stops[d, a] = np.exp(np.minimum(estimate - both - math.log(2), 0))[inner].astype(np.float32)
-        return np.where(inner[:, None], both, estimate)
+        self.depth, self.split = depth, min(SPLIT, depth)
+        raw = keys.view(np.uint64)
+        self.byte = (raw & np.uint64(255)).astype(np.int64)
+        context = np.zeros_like(raw)
+        for k in range(depth):
+            context |= ((raw >> np.uint64(8 * (k + 1))) & np.uint64(255)) << np.uint64(8 * (depth - 1 - k))
+        self.parent = (context >> np.uint64(8 * (depth - self.split + 1))).astype(np.int64)
+        self.u, self.count, self.above, self.place, self.held = {}, {}, {}, {}, {}
+        u, place = np.unique((context << np.uint64(8)) | (raw & np.uint64(255)), return_inverse=True)
+        count = np.zeros(len(u), np.int64)
+        np.add.at(count, place, n)
+        starts = {}
+        for d in range(depth, self.split - 1, -1):
+            self.u[d], self.count[d], self.place[d] = u, count, place.astype(np.int32)
+            starts[d] = self._starts(u >> np.uint64(8))
+            rows = np.diff(np.append(starts[d], len(u)))
+            self.held[d] = np.repeat(np.add.reduceat(count, starts[d]) >= least, rows) if len(u) else np.zeros(0, bool)
+            if d > self.split:
+                u, above = np.unique(((u >> np.uint64(16)) << np.uint64(8)) | (u & np.uint64(255)), return_inverse=True)
+                self.above[d] = above.astype(np.int32)
+                count = np.bincount(above, count, len(u)).astype(np.int64)
+                place = above[place]
+        # Whether a string's context has longer ones in the tree.
+        self.inner = {}
+        for d in range(self.split, depth):
+            has = np.zeros(len(self.u[d]), bool)
+            has[self.above[d + 1][self.held[d + 1]]] = True
+            rows = np.diff(np.append(starts[d], len(has)))
+            self.inner[d] = np.repeat(np.logical_or.reduceat(has, starts[d]), rows) if len(has) else has
+
+    @staticmethod
+    def _starts(values: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+
+    def weigh(self, k: int) -> dict[int, _Nodes]:
+        """The nodes of the k-th decision on each level."""
+        out: dict[int, _Nodes] = {}
+        for d in range(self.depth, self.split - 1, -1):
+            u, count = self.u[d], self.count[d]
+            first = self._starts(u >> np.uint64(8 - k))
+            of = np.zeros(len(u), np.int32)
+            of[first[1:]] = 1
+            of = np.cumsum(of, dtype=np.int32)
+            bit = ((u >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+            ones = np.add.reduceat(np.where(bit, count, 0), first) if len(u) else np.zeros(0, np.int64)
+            zeros = (np.add.reduceat(count, first) if len(u) else ones) - ones
+            estimate = log_kt(zeros, ones)
+            one = (ones + 0.5) / (zeros + ones + 1.0)
+            if d == self.depth:
+                out[d] = _Nodes(of, first, zeros, ones, estimate, np.ones(len(first)), one, one)
+                continue
+            below = out[d + 1]
+            there = self.held[d + 1][below.first]
+            up = of[self.above[d + 1][below.first[there]]]
+            rest_zeros = zeros - np.bincount(up, below.zeros[there], len(first)).astype(np.int64)
+            rest_ones = ones - np.bincount(up, below.ones[there], len(first)).astype(np.int64)
+            product = np.bincount(up, below.weighted[there], len(first)) + log_kt(rest_zeros, rest_ones)
+            inner = self.inner[d][first]
+            both = np.logaddexp(estimate, product) - math.log(2)
+            stop = np.where(inner, np.exp(np.minimum(estimate - both - math.log(2), 0)), 1.0)
+            out[d] = _Nodes(of, first, zeros, ones, np.where(inner, both, estimate), stop, one, (rest_ones + 0.5) / (rest_zeros + rest_ones + 1.0))
+        return out
 
     def tops(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """By the context above the shortest ones here: counts, counts of the contexts here, and the product of their weights."""
         s = self.split
-        seen = self.n > 0
-        up = self.context[seen] >> 8 * (self.depth - s + 1)
-        for parent in np.unique(up):
-            mine = up == parent
-            everything = np.bincount(self.byte[seen][mine], self.n[seen][mine], 256).astype(np.int64)
-            a, b = np.searchsorted(self.names[s], [parent << 8, (parent + 1) << 8])
-            inside, product = np.zeros(256, np.int64), np.zeros(255)
-            for x in range(a, b, BLOCK):
-                y = min(x + BLOCK, b)
-                inside += self.counts(s, x, y)[0].sum(0)
-                product += self.weigh(s, x, y).sum(0)
-                self.stops.clear()
-            yield int(parent), everything, inside, product
+        u, held = self.u[s], self.held[s]
+        parents, up = np.unique((u >> np.uint64(16)).astype(np.int64), return_inverse=True)
+        at = up * 256 + (u & np.uint64(255)).astype(np.int64)
+        everything = np.bincount(at, self.count[s], len(parents) * 256).astype(np.int64).reshape(-1, 256)
+        inside = np.bincount(at[held], self.count[s][held], len(parents) * 256).astype(np.int64).reshape(-1, 256)
+        product = np.zeros((len(parents), 255))
+        for k in range(8):
+            nodes = self.weigh(k)[s]
+            first = nodes.first[held[nodes.first]]
+            np.add.at(product, (up[first], self._node(u[first], k)), nodes.weighted[nodes.of[first]])
+        yield from zip(parents.tolist(), everything, inside, product, strict=True)
+
+    @staticmethod
+    def _node(u: np.ndarray, k: int) -> np.ndarray:
+        """Which of the 255 decisions a string's k-th one is."""
+        return (1 << k) - 1 + ((u & np.uint64(255)) >> np.uint64(8 - k)).astype(np.int64)
 
     def lengths(self, upper: Upper) -> np.ndarray:
         """Code length of each string."""
-        out = upper.lengths[np.where(upper.known[self.context >> 8 * (self.depth - self.split + 1)], (self.context >> 8 * (self.depth - self.split + 1)) + 1, 0), self.byte]
-        place = np.argsort(self.context, kind="stable")
-        context = self.context[place]
-
-        def settle(d: int, a: int, b: int, mixed: np.ndarray, left: np.ndarray) -> None:
-            n, rest, inner = self.counts(d, a, b)
-            one, stop = _one(binary_counts(n)), np.ones((b - a, 255))
-            if inner.any():
-                stop[inner] = self.stops[d, a]
-            mixed, left = mixed + left * stop * one, left * (1 - stop)
-            final = mixed.copy()
-            if inner.any():
-                final[inner] += left[inner] * _one(binary_counts(rest[inner]))
-            long = code_lengths(final)
-            # Longer contexts write over this where they hold.
-            shift = 8 * (self.depth - d)
-            lo, hi = np.searchsorted(context, [self.names[d][a] << shift, (self.names[d][b - 1] + 1) << shift])
-            own = np.searchsorted(self.names[d][a:b], context[lo:hi] >> shift)
-            holds = self.names[d][a:b][np.minimum(own, b - a - 1)] == context[lo:hi] >> shift
-            at = place[lo:hi][holds]
-            out[at] = long[own[holds], self.byte[at]]
-            low, high = self.below(d, a, b)
-            for x in range(low, high, BLOCK):
-                y = min(x + BLOCK, high)
-                up = np.searchsorted(self.names[d][a:b], self.names[d + 1][x:y] >> 8)
-                settle(d + 1, x, y, mixed[up], left[up])
-
-        s = self.split
-        ups = self.names[s] >> 8
-        for parent in np.unique(ups):
-            a, b = np.searchsorted(self.names[s], [parent << 8, (parent + 1) << 8])
-            for x in range(a, b, BLOCK):
-                y = min(x + BLOCK, b)
-                self.weigh(s, x, y)
-                settle(s, x, y, *(np.repeat(m[parent][None], y - x, 0) for m in (upper.mixed, upper.left)))
-                self.stops.clear()
+        if not len(self.byte):
+            return np.zeros(0, np.uint16)
+        parents = np.searchsorted(upper.names, self.parent)
+        out = upper.lengths[upper.row[parents], self.byte]
+        # A context in the tree has its shorter ones there.
+        here = np.flatnonzero(self.held[self.split][self.place[self.split]])
+        parent, byte = parents[here], self.byte[here]
+        place = {d: p[here] for d, p in self.place.items()}
+        bits = np.zeros(len(here))
+        for k in range(8):
+            nodes = self.weigh(k)
+            node = (1 << k) - 1 + (byte >> (8 - k))
+            mixed, left = upper.mixed[parent, node], upper.left[parent, node]
+            alive = np.arange(len(here))
+            for d in range(self.split, self.depth + 1):
+                at = nodes[d].of[place[d][alive]]
+                stop, weight = nodes[d].stop[at], left[alive]
+                mixed[alive] += weight * stop * nodes[d].one[at]
+                left[alive] = weight * (1 - stop)
+                on = self.held[d + 1][place[d + 1][alive]] if d < self.depth else np.zeros(len(alive), bool)
+                ends = alive[~on]
+                mixed[ends] += left[ends] * nodes[d].rest_one[at[~on]]
+                alive = alive[on]
+            bits -= np.log2(np.where((byte >> (7 - k)) & 1, mixed, 1 - mixed))
+        out[here] = np.minimum(np.ceil(bits * STEPS), 65535).astype(np.uint16)
         return out
 
 
 @dataclass(frozen=True)
 class Upper:
-    """What contexts of one byte (of none, where depth is one) mix and leave over, and the code lengths there; row 0 of lengths is the root's."""
+    """The contexts shorter than those of the parts.
 
-    known: np.ndarray
+    names: the longest of them, in order; row: of each one's longest context in the tree,
+    among lengths (of all levels, the root first); whole: whether that is itself; mixed
+    and left: what the levels up to it mix and leave over.
+    """
+
+    names: np.ndarray
+    row: np.ndarray
+    whole: np.ndarray
     mixed: np.ndarray
     left: np.ndarray
     lengths: np.ndarray
 
 
-def upper_levels(n: np.ndarray, inside: np.ndarray, product: np.ndarray, depth: int, least: int) -> Upper:
-    """n, counts within longer contexts and products of their weights: a row for each context of one byte."""
+def upper_levels(names: np.ndarray, n: np.ndarray, inside: np.ndarray, product: np.ndarray, depth: int, least: int) -> Upper:
+    """names: contexts of all bytes but one of the parts' shortest, in order; n, counts within longer contexts and products of their weights: a row for each.
 
-    def node(n, rest, product, inner):
+    Two bytes at most, so 65,536 rows; their upper levels are sums of them.
+    """
+    levels = []
+    for d in range(min(SPLIT, depth) - 1, -1, -1):
         estimate = log_kt(*binary_counts(n))
-        product = product + log_kt(*binary_counts(rest))
-        both = np.logaddexp(estimate, product) - math.log(2)
-        return np.where(inner[:, None], both, estimate), np.where(inner[:, None], np.exp(np.minimum(estimate - both - math.log(2), 0)), 1.0)
-
-    def placed(n, rest, stop, mixed, left):
-        mixed, left = mixed + left * stop * _one(binary_counts(n)), left * (1 - stop)
-        return mixed, left, code_lengths(mixed + left * _one(binary_counts(rest)))
-
-    inner = inside.any(1)
-    if depth == 1:
-        known, (_, stop) = np.zeros(256, bool), node(n[:1], n[:1] - inside[:1], product[:1], inner[:1])
-        mixed, left, long = placed(n[:1], n[:1] - inside[:1], stop, np.zeros((1, 255)), np.ones((1, 255)))
-        return Upper(known, mixed, left, long)
-    known = n.sum(1) >= least
-    weighted, stop = node(n, n - inside, product, inner)
-    root, rest = n.sum(0, keepdims=True), n[~known].sum(0, keepdims=True)
-    _, root_stop = node(root, rest, weighted[known].sum(0, keepdims=True), known.any(keepdims=True))
-    mixed, left, long = placed(root, rest, root_stop, np.zeros((1, 255)), np.ones((1, 255)))
-    mixed, left, longer = placed(n, n - inside, stop, np.repeat(mixed, 256, 0), np.repeat(left, 256, 0))
-    return Upper(known, mixed, left, np.concatenate([long, longer]))
+        inner = inside.any(1)
+        rest = n - inside
+        both = np.logaddexp(estimate, product + log_kt(*binary_counts(rest))) - math.log(2)
+        weighted = np.where(inner[:, None], both, estimate)
+        stop = np.where(inner[:, None], np.exp(np.minimum(estimate - both - math.log(2), 0)), 1.0)
+        known = n.sum(1) >= least if d else np.ones(len(n), bool)
+        shorter, up = np.unique(names >> 8, return_inverse=True) if d else (names, np.zeros(len(n), np.int64))
+        levels.append((names, n, rest, stop, known, up))
+        names, inside, total, product = shorter, np.zeros((len(shorter), 256), np.int64), np.zeros((len(shorter), 256), np.int64), np.zeros((len(shorter), 255))
+        np.add.at(total, up, n)
+        np.add.at(inside, up[known], n[known])
+        np.add.at(product, up[known], weighted[known])
+        n = total
+    mixed, left, lengths, rows, row = np.zeros((1, 255)), np.ones((1, 255)), [], 0, np.zeros(1, np.int64)
+    for d, (names, n, rest, stop, known, up) in enumerate(reversed(levels)):
+        above = up if d else np.zeros(len(n), np.int64)
+        mixed, left = mixed[above] + left[above] * stop * _one(binary_counts(n)), left[above] * (1 - stop)
+        lengths.append(code_lengths(mixed + left * _one(binary_counts(rest))))
+        row = np.where(known, rows + np.arange(len(n)), row[above])
+        rows += len(n)
+    return Upper(names, row, known, mixed, left, np.concatenate(lengths))
 
 
 def _by(column: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
@@ -562,7 +600,7 @@ def chunk_strings(texts: DataFrame, depth: int, parts: int) -> DataFrame:
     return texts.select("chunk", "train", "text").mapInArrow(run, "chunk long, part int, keys binary, held binary")
 
 
-def string_lengths(pieces: DataFrame, depth: int, parts: int, least: int, most: int) -> DataFrame:
+def string_lengths(pieces: DataFrame, depth: int, parts: int, least: int) -> DataFrame:
     """part, keys, held: code length of every distinct string of the corpus. The tree is weighed part by part, its top on the driver."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -589,29 +627,21 @@ def string_lengths(pieces: DataFrame, depth: int, parts: int, least: int, most:
 
     strings = materialise(dealt(pieces.select("part", "keys", "held")).mapInArrow(merge, "part int, keys binary, held binary"), "strings")
 
-    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter[int] = Counter()
-        for _, _, p in whole(batches, 0):
-            for total in p.rows.values():
-                tally.update(np.floor(np.log2(total) * 4).astype(int).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.int32()), pa.array(list(tally.values()), pa.int64())], names=["level", "n"])
-
-    sizes = dealt(strings).mapInArrow(census, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
-    fits = [r["level"] for r, total in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if total <= most]
-    least = max(1, min(least, math.ceil(2 ** (min(fits) / 4) - 1e-9) if fits else least))
-
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("up", pa.int32()), ("n", pa.binary()), ("inside", pa.binary()), ("product", pa.binary())])
         for _, _, p in whole(batches, least):
             yield from _batch(((up, *(x.tobytes() for x in rest)) for up, *rest in p.tops()), schema)
 
-    n, inside, product = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64), np.zeros((256, 255))
-    # Written, so that the parts are weighed together; the driver then takes them one by one.
+    # Written, so that the parts are weighed together; the driver then takes them one by one: a row for each context of two bytes at most.
+    found: dict[int, list[np.ndarray]] = {}
+    kinds = (np.int64, np.int64, np.float64)
     for r in materialise(dealt(strings).mapInArrow(top, "up int, n binary, inside binary, product binary"), "tops").toLocalIterator():
-        n[r["up"]] += np.frombuffer(r["n"], np.int64)
-        inside[r["up"]] += np.frombuffer(r["inside"], np.int64)
-        product[r["up"]] += np.frombuffer(r["product"], np.float64)
-    shared = strings.sparkSession.sparkContext.broadcast(upper_levels(n, inside, product, depth, least))
+        given = [np.frombuffer(r[c], k) for c, k in zip(("n", "inside", "product"), kinds, strict=True)]
+        found[r["up"]] = [a + b for a, b in zip(found[r["up"]], given, strict=True)] if r["up"] in found else given
+    names = np.array(sorted(found) or [0], np.int64)
+    empty = [np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(255)]
+    n, inside, product = (np.stack(x) for x in zip(*(found.get(int(k), empty) for k in names), strict=True))
+    shared = strings.sparkSession.sparkContext.broadcast(upper_levels(names, n, inside, product, depth, least))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, keys, p in whole(batches, least):
@@ -658,7 +688,7 @@ def held_out(doc_id, folds: int = 7, fold: int = 2):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, most: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts have the end alone. A null id counts as the empty string
@@ -688,7 +718,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     numbered = materialise(numbered.withColumn("chunk", F.shiftright("row", shift)), "texts")
     parts = max(spark.sparkContext.defaultParallelism, -(-volume // PART_BYTES))
     pieces = materialise(chunk_strings(numbered.withColumn("train", ~held_out(F.col("doc_id"))), depth, parts), "pieces")
-    found = chunk_lengths(pieces, string_lengths(pieces, depth, parts, least, most), parts)
+    found = chunk_lengths(pieces, string_lengths(pieces, depth, parts, least), parts)
     shared = spark.sparkContext.broadcast(hot)  # bounded: so many words of a bounded length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
