@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import materialise, shared_dir
 
-__all__ = ["ascii_lower", "materialise", "shared_dir", "sum_before", "table", "text_of", "with_schema"]
+__all__ = ["ascii_lower", "forget", "materialise", "shared_dir", "sum_before", "table", "text_of", "with_schema"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,6 +41,15 @@ def sum_before(rows: DataFrame, key: str, value: str, name: str, block: int = 40
     return rows.withColumn("_own", own).join(totals, "_block").select(key, (F.col("_own") + F.col("_before")).cast("long").alias(name))
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialise wrote and that nothing will read again."""
+    for held in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in held.inputFiles()}:
+            spark = held.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_schema(schema: T.StructType, fields: str) -> T.StructType:
     """A schema with more fields, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(fields).fields])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of
+from .common import forget, materialise, table, text_of
 from .trie_counts import slices
 
 #: Bytes of context; a context is in the tree if it occurs so often, whatever the size of the corpus.
@@ -635,7 +635,8 @@ def string_lengths(pieces: DataFrame, depth: int, parts: int, least: int) -> Dat
     # Written, so that the parts are weighed together; the driver then takes them one by one: a row for each context of two bytes at most.
     found: dict[int, list[np.ndarray]] = {}
     kinds = (np.int64, np.int64, np.float64)
-    for r in materialise(dealt(strings).mapInArrow(top, "up int, n binary, inside binary, product binary"), "tops").toLocalIterator():
+    tops = materialise(dealt(strings).mapInArrow(top, "up int, n binary, inside binary, product binary"), "tops")
+    for r in tops.toLocalIterator():
         given = [np.frombuffer(r[c], k) for c, k in zip(("n", "inside", "product"), kinds, strict=True)]
         found[r["up"]] = [a + b for a, b in zip(found[r["up"]], given, strict=True)] if r["up"] in found else given
     names = np.array(sorted(found) or [0], np.int64)
@@ -647,7 +648,9 @@ def string_lengths(pieces: DataFrame, depth: int, parts: int, least: int) -> Dat
         for part, keys, p in whole(batches, least):
             yield from _batch(_cells(part, keys, p.lengths(shared.value)), _PART)
 
-    return materialise(dealt(strings).mapInArrow(place, "part int, keys binary, held binary"), "lengths")
+    lengths = materialise(dealt(strings).mapInArrow(place, "part int, keys binary, held binary"), "lengths")
+    forget(strings, tops)
+    return lengths
 
 
 def chunk_lengths(pieces: DataFrame, lengths: DataFrame, parts: int) -> DataFrame:
@@ -718,7 +721,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     numbered = materialise(numbered.withColumn("chunk", F.shiftright("row", shift)), "texts")
     parts = max(spark.sparkContext.defaultParallelism, -(-volume // PART_BYTES))
     pieces = materialise(chunk_strings(numbered.withColumn("train", ~held_out(F.col("doc_id"))), depth, parts), "pieces")
-    found = chunk_lengths(pieces, string_lengths(pieces, depth, parts, least), parts)
+    lengths = string_lengths(pieces, depth, parts, least)
+    found = chunk_lengths(pieces, lengths, parts)
     shared = spark.sparkContext.broadcast(hot)  # bounded: so many words of a bounded length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -773,6 +777,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     # Chunks meet by chance in a task; the more places there are, the fewer do.
     dealt = joined.repartition(3 * chunks, "chunk").sortWithinPartitions("chunk", F.col("row").asc_nulls_first())
     scored = materialise(dealt.mapInArrow(run, "row long, doc_id long, n_tokens long, found long, log double, score double, cold array<struct<token:binary,times:long>>"), "scored")
+    forget(numbered, pieces, lengths)  # all that follows reads what was scored
     rare = scored.select("row", F.explode("cold").alias("w")).select("row", "w.token", "w.times").join(words, "token")
     rare = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log"))
     end_known = int(texts > 0)
