@@ -50,6 +50,29 @@ def test_ranges_give_the_members(spark, tmp_path, form, split):
     assert (rows.rdd.getNumPartitions() > 10) == (split < 10_000)
 
 
+def test_tasks_find_the_headers(spark, tmp_path, monkeypatch):
+    """Members hold archives, whose headers are none of the outer one's; what tasks find is what one walk finds."""
+    packed(str(tmp_path / "in.tar"))
+    inner = (tmp_path / "in.tar").read_bytes()
+    with tarfile.open(tmp_path / "a.tar", "w", format=tarfile.GNU_FORMAT) as archive:
+        for k in range(40):
+            info = tarfile.TarInfo("long/" * 40 + str(k))
+            content = inner[: 30_000 * (k % 4)]
+            info.size = len(content)
+            archive.addfile(info, io.BytesIO(content))
+    path = str(tmp_path / "a.tar")
+    for split in (512, 20_000):
+        assert A.ranges(path, split, spark) == A.ranges(path, split)
+    got = [(r["name"], len(r["content"])) for r in A.load(spark, path, 20_000).collect()]
+    assert sorted(got) == sorted(("long/" * 40 + str(k), 30_000 * (k % 4)) for k in range(40))
+    alone = []
+    monkeypatch.setattr(A, "walked", lambda *given: alone.append(given) or ([given[1]], -1, [0, 0]))
+    packed(str(tmp_path / "b.tar"))
+    monkeypatch.setattr(A, "RANGES", 10)
+    found = A.ranges(str(tmp_path / "b.tar"), 512, spark)
+    assert len(found) == 10 and not alone  # the driver walks no header, and ranges stay few
+
+
 def test_compressed_and_broken_archives(spark, tmp_path):
     packed(str(tmp_path / "a.tgz"), mode="w:gz")
     assert held(A.load(spark, str(tmp_path / "a.tgz"))) == held(S.opened(spark.read.format("binaryFile").load(str(tmp_path / "a.tgz"))))
