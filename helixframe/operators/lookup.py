@@ -29,12 +29,12 @@ def missing(ids: DataFrame, table: DataFrame, name: str) -> DataFrame:
 
 
 def with_dictionary(df: DataFrame, dictionary: DataFrame, key: str, strict: bool = False) -> DataFrame:
-    """df with the dictionary's columns. A dictionary is a small table; Spark broadcasts it while it is one.
+    """df with the dictionary's columns. A dictionary is a small table, which is broadcast: dealt out by its keys, df would be in as few tasks as it has.
 
     strict: a key without an entry is an error, as soon as its row is computed.
     """
     value = next(c for c in dictionary.columns if c != key)
-    out = df.join(dictionary, key, "left")
+    out = df.join(F.broadcast(dictionary), key, "left")
     if strict:
         out = out.withColumn(value, F.coalesce(value, F.raise_error(F.concat(F.lit("no entry for "), F.col(key).cast("string")))))
     return out

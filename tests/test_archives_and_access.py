@@ -107,6 +107,15 @@ def test_selection_among_equal_rows(spark):
     assert L.at_index(df, ["a"], 400, most=10).first()["a"] == 3
 
 
+def test_a_dictionary_is_sent_to_the_rows(spark):
+    rows = spark.range(3000).select("id", F.element_at(F.array(*map(F.lit, "ANR")), (F.col("id") % 3 + 1).cast("int")).alias("flag"))
+    names = spark.createDataFrame([("A", "accepted"), ("N", "none"), ("R", "returned")], "flag string, label string")
+    out = L.with_dictionary(rows, names, "flag", strict=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert out.groupBy("label").count().count() == 3 and out.count() == 3000
+
+
 def test_the_cached_index_is_not_dealt_out(spark, tmp_path):
     rows = spark.createDataFrame([(f"n{i:03d}", f"c{i}".encode()) for i in range(300)], "name string, content binary")
     path = str(tmp_path / "db")
