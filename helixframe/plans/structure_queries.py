@@ -33,7 +33,7 @@ from ..sources import archive_format
 from ..sources import db_format as D
 from ..sources import keyed_db as K
 from ..sources import structures as S
-from ..sources.shared import local_path, shared_dir, write_files
+from ..sources.shared import local_path, materialise, shared_dir, write_files
 from . import structures as A
 from .queries import _BINS, _PTS, _TORSION, _fixed_sql, _points, _table, query
 
@@ -99,8 +99,8 @@ def s03_mmjson_scan(spark, sf_dir):
 
 
 def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows name, content: a gzipped file each, and an archive for each batch with a folder and all of them."""
-    for k, f in enumerate(frames):
+    """Of rows name, content: a gzipped file each, and an archive for each piece of a batch with a folder and all of them."""
+    for k, f in enumerate(S.in_pieces(frames)):
         yield pd.DataFrame({"path": "in/" + f["name"] + ".gz", "content": [gzip.compress(bytes(c), mtime=0) for c in f["content"]]})
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w:gz") as archive:
@@ -370,8 +370,8 @@ def _chain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 texts = [E.pdb_text(a).encode() for a in _models(some["vec_id"].tolist(), np.stack(some["embedding"]).astype(float))]
                 yield pd.DataFrame({"name": [f"c{v}.pdb" for v in some["vec_id"]], "content": texts})
 
-    # Many more bytes come out than go in, so the rows are dealt out first.
-    return _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(32, "vec_id").mapInPandas(run, "name string, content binary")
+    # Many more bytes come out than go in, so the rows are dealt out first. Written, since a text is read several times: for each format and for its name.
+    return materialise(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(32, "vec_id").mapInPandas(run, "name string, content binary"), "files")
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +403,7 @@ def w12_round_trip(spark, sf_dir):
     """Atoms placed again from entries, against the texts' own; the distance that quantising leaves is small."""
     files = _chain_files(spark, sf_dir)
     given = S.pdb_atoms(files).withColumn("name", F.regexp_replace("name", "pdb$", "fcz"))
-    report = A.compare(given, E.decompress(_entries(spark, sf_dir)), key="name")
+    report = A.compare(given, E.decompress(A.compress_texts(files)), key="name")
     return report.select("name", F.col("n_residue").cast("long").alias("n_residue"), F.col("n_atom").cast("long").alias("n_atom"), (F.col("all_rmsd") < 0.25).alias("close"), (F.col("backbone_rmsd") < 0.15).alias("backbone_close"))
 
 
@@ -476,16 +476,14 @@ def k10_output_name(spark, sf_dir):
 
 @query(_CHAINS + " SELECT vec_id, 'c' || vec_id AS title, CAST(97 + 80 + strlen('c' || vec_id) + 9 * n_residue + n_side AS BIGINT) AS size, CAST(n_atom AS BIGINT) AS atom_lines, CAST(n_residue AS BIGINT) AS n_phi, sequence, CAST(n_residue - 1 AS BIGINT) AS measured FROM c")
 def x02_api(spark, sf_dir):
-    """The calls for single structures, row by row."""
+    """The calls for structures in memory, entries decoded together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in E.together(frames):
+            texts = [bytes(c).decode() for c in f["content"]]
+            blobs = [api.compress(n.removesuffix(".pdb"), text) for n, text in zip(f["name"], texts, strict=True)]
             rows = []
-            for n, c in zip(f["name"], f["content"], strict=True):
-                text = bytes(c).decode()
-                blob = api.compress(n.removesuffix(".pdb"), text)
-                title, back = api.decompress(blob)
-                stored = api.get_data(blob)
+            for n, text, blob, (title, back), stored in zip(f["name"], texts, blobs, api.decompress_many(blobs), api.get_data_many(blobs), strict=True):
                 rows.append((int(n[1:-4]), title, len(blob), back.count("\nATOM"), len(stored["phi"]), stored["residues"], len(api.get_data(text)["phi"])))
             yield pd.DataFrame(rows, columns=["vec_id", "title", "size", "atom_lines", "n_phi", "sequence", "measured"])
 

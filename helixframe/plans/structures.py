@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.strings import confidence_digits
+from ..functions.strings import base_name, confidence_digits
 from ..operators import entry_codec as E
 from ..operators import lookup as L
 from ..operators import report as P
@@ -26,45 +24,43 @@ def fragments(atoms: DataFrame) -> DataFrame:
     return M.gap_fragments(chains, ["entry", "model", "segment"], ["pos"], "residue_index", F.col("atom") == "N")
 
 
-def _stem(name: str) -> str:
-    """A file's name without folders and ending."""
-    return re.sub(r"\.[^.]*$", "", re.split(r"[/\\]", name)[-1])
-
-
 def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinuous: bool = False, hetero: bool = False, titled: bool = False, timed: bool = False) -> DataFrame:
     """name (of the output), source (the input's name), entry, blob and error for each chain fragment of texts (name, content and, where names repeat, entry).
 
     A text without a fragment, be it null, empty, broken or without atoms, gives one
     row with an error. titled: the entry's title is what the text says it is; else, and
-    where it says nothing, its file's name. The fragments of one text come together
-    once, beside its row. timed: also seconds, what encoding the fragment took.
+    where it says nothing, its file's name. A text that comes twice gives its fragments
+    once. timed: also seconds, what encoding the fragment took.
     """
-    columns = ["name", "source", "entry", "blob", "error", "seconds"]
     keyed = S._keyed(texts)
     rows = fragments(S.atoms(keyed).filter(F.lit(hetero) | (F.col("record") == "ATOM")))
     named = S.titles(keyed) if titled else keyed.select("entry", "name", F.lit("").alias("title"))
 
-    def run(given: pd.DataFrame, atoms: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if not len(given):
-            return pd.DataFrame(out, columns=columns)
-        entry, name, title = given.iloc[0][["entry", "name", "title"]]
-        stem = _stem(name or "")
-        segments = {k: x for k, x in atoms.groupby(["model", "segment"], sort=True)}
-        for (_, _), own in segments.items():
-            pieces = dict(list(own.groupby("fragment", sort=True)))
-            if skip_discontinuous and len(pieces) > 1:
-                continue
-            for fragment, part in pieces.items():
-                parts = (stem, str(part["chain"].iloc[0]) if len(segments) > 1 else "", f"_{fragment}" if len(pieces) > 1 else "")
-                began = time.perf_counter()
-                out.append(("".join(parts) + ".fcz", name, entry, *E.encoded(part, title or stem, interval), time.perf_counter() - began))
-        if not out:
-            out.append((stem + ".fcz", name, entry, None, "no atoms that can be encoded" if not len(atoms) else "discontinuous", 0.0))
-        return pd.DataFrame(out, columns=columns)
-
-    out = named.groupBy("entry").cogroup(rows.groupBy("entry")).applyInPandas(run, "name string, source string, entry string, blob binary, error string, seconds double")
-    return out if timed else out.drop("seconds")
+    # A row for each fragment, whose entry, segment and numbers all lie in the partition that the atoms are in.
+    held = F.array_sort(F.collect_list(F.struct("pos", *E.ATOM_FIELDS)))
+    pieces = rows.groupBy("entry", "model", "segment", "fragment").agg(F.first("chain").alias("chain"), held.alias("atoms"))
+    text, segment = W.partitionBy("entry"), W.partitionBy("entry", "model", "segment")
+    pieces = pieces.withColumn("_pieces", F.count(F.lit(1)).over(segment)).withColumn("_segments", F.size(F.collect_set(F.struct("model", "segment")).over(text)))
+    if skip_discontinuous:
+        pieces = pieces.withColumn("atoms", F.when(F.col("_pieces") == 1, F.col("atoms"))).withColumn("_whole", F.count("atoms").over(text))
+        # Of a text all of whose segments are discontinuous one row stays, to tell it.
+        first = F.row_number().over(text.orderBy("model", "segment", "fragment"))
+        pieces = pieces.withColumn("_first", first).filter("atoms is not null or (_whole = 0 and _first = 1)")
+    chain = F.coalesce("chain", F.lit("None"))
+    pieces = pieces.select(
+        F.col("entry").alias("_entry"), "atoms", chain.alias("chain"), F.lit(True).alias("_any"),
+        F.concat(F.when(F.col("_segments") > 1, chain).otherwise(""), F.when(F.col("_pieces") > 1, F.concat(F.lit("_"), F.col("fragment").cast("string"))).otherwise("")).alias("_part"),
+    )
+    out = named.dropDuplicates(["entry"]).join(pieces, F.col("entry").eqNullSafe(F.col("_entry")), "left")
+    stem = F.regexp_replace(base_name(F.coalesce("name", F.lit(""))), r"\.[^.]*$", "")
+    missing = F.when(F.col("_any"), "discontinuous").otherwise("no atoms that can be encoded")
+    part = F.when(F.col("atoms").isNotNull(), F.col("_part")).otherwise("")
+    given = out.select(
+        F.concat(stem, part, F.lit(".fcz")).alias("name"), F.col("name").alias("source"), "entry",
+        F.coalesce(F.nullif("title", F.lit("")), stem).alias("title"), "chain", "atoms", F.when(F.col("atoms").isNull(), missing).alias("error"),
+    )
+    made = E.encoded_fragments(given, interval)
+    return made if timed else made.drop("seconds")
 
 
 def observed(made: DataFrame, stage: str, content: str = "blob") -> tuple[DataFrame, Observation]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import json
 import os
 import re
@@ -26,8 +27,18 @@ ATOM_SCHEMA = "entry string, name string, model int, pos long, atom_index long,
 _COLUMNS = [c.split()[0] for c in ATOM_SCHEMA.split(", ")]
 
 
-#: Bytes of content that a batch of rows holds before it is handed on.
-BATCH_BYTES = 16 << 20
+#: Bytes of content, and atoms, that a batch of rows holds before it is handed on.
+BATCH_BYTES, BATCH_ATOMS = 4 << 20, 20_000
+
+
+def in_pieces(frames: Iterator[pd.DataFrame], content: str = "content") -> Iterator[pd.DataFrame]:
+    """Frames cut after about BATCH_BYTES of content each."""
+    for f in frames:
+        sizes = f[content].map(lambda c: 0 if c is None else len(c)).cumsum().to_numpy()
+        cuts = [0, *((sizes[:-1] // BATCH_BYTES != sizes[1:] // BATCH_BYTES).nonzero()[0] + 1), len(f)]
+        for a, b in itertools.pairwise(cuts):
+            if a < b:
+                yield f.iloc[a:b]
 
 
 def entries(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
@@ -286,7 +297,7 @@ def parsed_atoms(texts: DataFrame, kind: str) -> DataFrame:
                     rows += [(e, n, r[0], k, *r[1:]) for k, r in enumerate(table(found))]
                 except (ValueError, TypeError, OverflowError):
                     pass
-                if len(rows) > 200_000:
+                if len(rows) > BATCH_ATOMS:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             yield pd.DataFrame(rows, columns=columns)

@@ -199,3 +199,31 @@ def test_format_behind_long_comments(spark):
     texts = {"cif": comments + b"DATA_x\nloop_", "mmjson": comments + b'{"data_x": {}}', "pdb": comments + b"ATOM      1", "entry": b"FCMP" + comments + b"{"}
     rows = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()], "kind string, content binary")
     assert all(r["kind"] == r["found"] for r in rows.select("kind", S.sniff(rows["content"]).alias("found")).collect())
+
+
+def test_fragments_are_encoded_in_batches(spark, texts):
+    """No group in Python for each text: fragments come as arrays, many to a batch."""
+    out = P.compress_texts(texts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
+    twice = P.compress_texts(texts.unionByName(texts))
+    assert sorted((r["name"], r["blob"]) for r in twice.collect()) == sorted((r["name"], r["blob"]) for r in out.collect())
+
+
+def test_entries_together_are_as_one_by_one():
+    from helixframe import api
+
+    blobs = [api.compress(n, (DATA / "test_af.pdb").read_text(), anchor_residue_threshold=k) for n, k in (("a", 25), ("b", 7), ("c", 3))]
+    assert api.decompress_many(blobs) == [api.decompress(b) for b in blobs]
+    assert api.get_data_many(blobs) == [api.get_data(b) for b in blobs]
+    assert api.decompress_many([]) == [] and api.get_data_many([]) == []
+
+
+def test_batches_are_cut_by_their_bytes(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(S, "BATCH_BYTES", 100)
+    frame = pd.DataFrame({"name": [str(k) for k in range(30)], "content": [None if k == 5 else b"x" * (250 if k == 7 else 30) for k in range(30)]})
+    parts = list(S.in_pieces(iter([frame, frame.iloc[:0]])))
+    assert [n for p in parts for n in p["name"]] == frame["name"].tolist()
+    assert max(len(p) for p in parts) <= 6 and len(parts) > 8
