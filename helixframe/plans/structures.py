@@ -30,37 +30,28 @@ def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinu
     A text without a fragment, be it null, empty, broken or without atoms, gives one
     row with an error. titled: the entry's title is what the text says it is; else, and
     where it says nothing, its file's name. A text that comes twice gives its fragments
-    once. timed: also seconds, what encoding the fragment took.
+    once. timed: also seconds, the fragment's share of what
+    encoding its batch took.
     """
     keyed = S._keyed(texts)
-    rows = fragments(S.atoms(keyed).filter(F.lit(hetero) | (F.col("record") == "ATOM")))
-    named = S.titles(keyed) if titled else keyed.select("entry", "name", F.lit("").alias("title"))
-
-    # A row for each fragment, whose entry, segment and numbers all lie in the partition that the atoms are in.
-    held = F.array_sort(F.collect_list(F.struct("pos", *E.ATOM_FIELDS)))
-    pieces = rows.groupBy("entry", "model", "segment", "fragment").agg(F.first("chain").alias("chain"), held.alias("atoms"))
-    text, segment = W.partitionBy("entry"), W.partitionBy("entry", "model", "segment")
-    pieces = pieces.withColumn("_pieces", F.count(F.lit(1)).over(segment)).withColumn("_segments", F.size(F.collect_set(F.struct("model", "segment")).over(text)))
+    stem = F.regexp_replace(base_name(F.coalesce("name", F.lit(""))), r"\.[^.]*$", "")
+    named = S.titles(keyed, contents=True) if titled else keyed.select("entry", "name", "content", F.lit("").alias("title"))
+    named = named.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), stem))
+    # A text is in one row: its atoms are never rows, which windows would sort again and again. What moves is its entries.
+    made = E.encoded_texts(S.record_arrays(named), S.parsed_records, interval, hetero)
+    made = made.groupBy("entry").agg(F.max(F.struct(F.size("made").alias("n"), "name", "made")).alias("_")).select("entry", "_.name", "_.made")
     if skip_discontinuous:
-        pieces = pieces.withColumn("atoms", F.when(F.col("_pieces") == 1, F.col("atoms"))).withColumn("_whole", F.count("atoms").over(text))
+        whole = F.filter("made", lambda f: f["pieces"] == 1)
+        none = F.lit(None).cast("binary")
         # Of a text all of whose segments are discontinuous one row stays, to tell it.
-        first = F.row_number().over(text.orderBy("model", "segment", "fragment"))
-        pieces = pieces.withColumn("_first", first).filter("atoms is not null or (_whole = 0 and _first = 1)")
-    chain = F.coalesce("chain", F.lit("None"))
-    pieces = pieces.select(
-        F.col("entry").alias("_entry"), "atoms", chain.alias("chain"), F.lit(True).alias("_any"),
-        F.concat(F.when(F.col("_segments") > 1, chain).otherwise(""), F.when(F.col("_pieces") > 1, F.concat(F.lit("_"), F.col("fragment").cast("string"))).otherwise("")).alias("_part"),
-    )
-    out = named.dropDuplicates(["entry"]).join(pieces, F.col("entry").eqNullSafe(F.col("_entry")), "left")
-    stem = F.regexp_replace(base_name(F.coalesce("name", F.lit(""))), r"\.[^.]*$", "")
-    missing = F.when(F.col("_any"), "discontinuous").otherwise("no atoms that can be encoded")
-    part = F.when(F.col("atoms").isNotNull(), F.col("_part")).otherwise("")
-    given = out.select(
-        F.concat(stem, part, F.lit(".fcz")).alias("name"), F.col("name").alias("source"), "entry",
-        F.coalesce(F.nullif("title", F.lit("")), stem).alias("title"), "chain", "atoms", F.when(F.col("atoms").isNull(), missing).alias("error"),
-    )
-    made = E.encoded_fragments(given, interval)
-    return made if timed else made.drop("seconds")
+        told = F.transform(F.slice("made", 1, 1), lambda f: f.withField("blob", none).withField("error", F.lit("discontinuous")).withField("segments", F.lit(1)).withField("pieces", F.lit(1)))
+        made = made.withColumn("made", F.when(F.size(whole) > 0, whole).otherwise(told))
+    out = made.select("entry", "name", F.explode_outer("made").alias("f"))
+    chain = F.when(F.col("f.segments") > 1, F.coalesce("f.chain", F.lit("None"))).otherwise("")
+    part = F.concat(chain, F.when(F.col("f.pieces") > 1, F.concat(F.lit("_"), F.col("f.fragment").cast("string"))).otherwise(""))
+    error = F.when(F.col("f").isNull(), "no atoms that can be encoded").otherwise(F.col("f.error"))
+    columns = [F.concat(stem, part, F.lit(".fcz")).alias("name"), F.col("name").alias("source"), "entry", F.col("f.blob").alias("blob"), error.alias("error")]
+    return out.select(*columns, *([F.coalesce("f.seconds", F.lit(0.0)).alias("seconds")] if timed else []))
 
 
 def observed(made: DataFrame, stage: str, content: str = "blob") -> tuple[DataFrame, Observation]:

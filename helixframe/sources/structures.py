@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import base_name, cut, hybrid_number, without_extension
+from ..operators.entry_codec import ATOM_FIELDS
 from ..operators.lookup import keyed_offsets
 from . import archive_format
 from .shared import local_path, materialise, write_parts
@@ -137,6 +138,22 @@ def _keyed(texts: DataFrame) -> DataFrame:
     return texts if "entry" in texts.columns else texts.withColumn("entry", F.col("name"))
 
 
+def _pdb_fields(line: Column) -> dict[str, Column]:
+    """Columns of an ATOM or HETATM record."""
+    return {
+        "atom_index": F.coalesce(hybrid_number(cut(line, 7, 11), 5), F.lit(0)),
+        "atom": cut(line, 13, 16),
+        "altloc": F.nullif(cut(line, 17, 17), F.lit("")),
+        "residue": cut(line, 18, 20),
+        "chain": cut(line, 21, 22),
+        "residue_index": hybrid_number(cut(line, 23, 26), 4).cast("int"),
+        "icode": F.nullif(cut(line, 27, 27), F.lit("")),
+        **{n: cut(line, a, b).try_cast("double") for n, a, b in (("x", 31, 38), ("y", 39, 46), ("z", 47, 54))},
+        "occupancy": F.coalesce(cut(line, 55, 60).try_cast("double"), F.lit(1.0)),
+        "temp_factor": F.coalesce(cut(line, 61, 66).try_cast("double"), F.lit(0.0)),
+    }
+
+
 def pdb_atoms(texts: DataFrame, hetero: bool = True) -> DataFrame:
     """Atom rows of PDB texts (name, content and, where names repeat, entry), by column expressions alone.
 
@@ -155,16 +172,7 @@ def pdb_atoms(texts: DataFrame, hetero: bool = True) -> DataFrame:
     line = F.col("line")
     rows = rows.filter(F.col("record").isin(*wanted)).select(
         "entry", "name", "model", "line_no",
-        F.coalesce(hybrid_number(cut(line, 7, 11), 5), F.lit(0)).alias("atom_index"),
-        cut(line, 13, 16).alias("atom"),
-        F.nullif(cut(line, 17, 17), F.lit("")).alias("altloc"),
-        cut(line, 18, 20).alias("residue"),
-        cut(line, 21, 22).alias("chain"),
-        hybrid_number(cut(line, 23, 26), 4).cast("int").alias("residue_index"),
-        F.nullif(cut(line, 27, 27), F.lit("")).alias("icode"),
-        *(cut(line, a, b).try_cast("double").alias(n) for n, a, b in (("x", 31, 38), ("y", 39, 46), ("z", 47, 54))),
-        F.coalesce(cut(line, 55, 60).try_cast("double"), F.lit(1.0)).alias("occupancy"),
-        F.coalesce(cut(line, 61, 66).try_cast("double"), F.lit(0.0)).alias("temp_factor"),
+        *(c.alias(n) for n, c in _pdb_fields(line).items()),
         F.trim("record").alias("record"),
     )
     return _regrouped(rows)
@@ -317,8 +325,40 @@ def atoms(texts: DataFrame) -> DataFrame:
     return out
 
 
-def titles(texts: DataFrame) -> DataFrame:
-    """entry, name and title: the entry's id that its text has, else its title, else its file's name without ending.
+def record_arrays(texts: DataFrame) -> DataFrame:
+    """entry, name, title, kind, atoms and content of texts (entry, name, title, content), a row each.
+
+    atoms: a PDB text's records in order, those that end a text or begin a model among
+    them, as structs of entry_codec.ATOM_FIELDS. Texts that column expressions cannot
+    follow keep their content instead.
+    """
+    kind = sniff(F.col("content"))
+    lines = F.split(F.decode(F.col("content"), "ISO-8859-1"), r"\r?\n")
+
+    def record(line: Column) -> Column:
+        return F.rpad(F.substring(line, 1, 6), 6, " ")
+
+    def fields(line: Column) -> Column:
+        found = _pdb_fields(line) | {"record": F.trim(record(line)), "model": F.lit(None).cast("int")}
+        return F.struct(*(found[n].alias(n) for n in ATOM_FIELDS))
+
+    held = texts.select("entry", "name", "title", "content", kind.alias("kind"))
+    atoms = F.transform(F.filter(lines, lambda x: record(x).isin("ATOM  ", "HETATM", "MODEL ", "END   ")), fields)
+    return held.select("entry", "name", "title", "kind", F.when(F.col("kind") == "pdb", atoms).alias("atoms"), F.when(F.col("kind").isin("cif", "mmjson"), F.col("content")).alias("content"))
+
+
+def parsed_records(content: bytes, kind: str) -> list[tuple]:
+    """Tuples of entry_codec.ATOM_FIELDS of a CIF or mmJSON text; a broken one has none."""
+    try:
+        found = _parsed(content.decode("utf-8", "replace"), kind)[0]
+        table = _category if any(k.startswith("_atom_site.") for k in found) else _component
+        return [(group, model, chain, residue, number, icode, atom, i, x, y, z, temp) for model, i, atom, _, residue, chain, number, icode, x, y, z, _, temp, group in table(found)]
+    except (ValueError, TypeError, OverflowError):
+        return []
+
+
+def titles(texts: DataFrame, contents: bool = False) -> DataFrame:
+    """entry, name and title, and with contents content: the entry's id that its text has, else its title, else its file's name without ending.
 
     Of PDB texts the id is that of the HEADER record and the title what its TITLE records say.
     """
@@ -342,10 +382,12 @@ def titles(texts: DataFrame) -> DataFrame:
                 except (ValueError, TypeError):
                     pass
                 found.append((ident, name))
-            yield pd.DataFrame({"entry": f["entry"], "name": f["name"], "ident": [x[0] for x in found], "struct": [x[1] for x in found]})
+            out = pd.DataFrame({"entry": f["entry"], "name": f["name"], "ident": [x[0] for x in found], "struct": [x[1] for x in found]})
+            yield out.assign(content=f["content"]) if contents else out
 
-    rows = held.mapInPandas(run, "entry string, name string, ident string, struct string")
-    return rows.select("entry", "name", title(F.col("ident"), F.col("struct"), F.col("name")).alias("title"))
+    kept = ["content"] if contents else []
+    rows = held.mapInPandas(run, "entry string, name string, ident string, struct string" + ", content binary" * contents)
+    return rows.select("entry", "name", *kept, title(F.col("ident"), F.col("struct"), F.col("name")).alias("title"))
 
 
 def single_chain(rows: DataFrame) -> DataFrame:

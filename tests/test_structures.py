@@ -227,3 +227,32 @@ def test_batches_are_cut_by_their_bytes(monkeypatch):
     parts = list(S.in_pieces(iter([frame, frame.iloc[:0]])))
     assert [n for p in parts for n in p["name"]] == frame["name"].tolist()
     assert max(len(p) for p in parts) <= 6 and len(parts) > 8
+
+
+def test_fragments_of_a_text_are_cut_within_its_row(spark, texts):
+    """Atoms are not rows that windows sort; the fragments are those that windows over atom rows find, also where a residue comes up again and the text comes twice."""
+    lines = (DATA / "test_af.pdb").read_text().splitlines()
+    moved = [*lines[:40], *lines[60:120], *lines[40:60], *lines[130:]]  # numbers leave a gap, and a residue's atoms are apart
+    odd = {"moved.pdb": moved, "models.pdb": ["MODEL        1", *lines[:-2], "ENDMDL", "MODEL        2", *lines], "ended.pdb": [*lines[:90], "END", *lines[90:]], "chains.pdb": [x[:21] + "B" + x[22:] if k > 100 else x for k, x in enumerate(lines)]}
+    given = texts.unionByName(spark.createDataFrame([(n, bytearray("\r\n".join(x).encode())) for n, x in odd.items()], "name string, content binary"))
+    out = P.compress_texts(given)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    wanted = {tuple(r) for r in P.fragments(S.atoms(given).filter("record = 'ATOM'")).groupBy("name", "model", "segment", "fragment").agg(F.count("*").alias("n")).select("name", "n").collect()}
+    # A fragment that cannot be an entry has an error.
+    assert {(r["source"], E.parse(bytes(r["blob"])).n_atom) for r in rows if r["error"] is None} <= wanted and len(rows) > len(wanted) / 2
+    twice = P.compress_texts(given.unionByName(given)).collect()
+    assert sorted(map(str, twice)) == sorted(map(str, rows))
+
+
+def test_fragments_encoded_together_are_as_one_by_one():
+    known = ["GLY", "TRP", "PRO", "ALA"]
+    whole = [E.Atoms(*map(np.array, zip(*[(a, x, i + 1, 9) for i, x in enumerate(known) for a in E.dictionary()[x].atoms], strict=True)), np.empty(0), np.empty(0)) for _ in range(3)]
+    for k, a in enumerate(whole):
+        a.coord, a.temp = np.random.default_rng(k).normal(size=(len(a.atom), 3)), np.full(len(a.atom), 7.5 * k)
+    whole[1].atom[9], whole[2].residue[:] = "OXT", "ODD"
+    joined = E.Atoms(*(np.concatenate([getattr(a, c) for a in whole]) for c in ("atom", "residue", "number", "serial", "coord", "temp")))
+    blobs, errors = E.encode_many(joined, np.cumsum([0, *(len(a.atom) for a in whole)]), ["a", "", "c"], ["A", None, "C"])
+    assert errors == [None, None, "unknown residue ODD"] and blobs[2] is None
+    whole[1].chain = ""
+    assert blobs[:2] == [E.encode(whole[0], "a"), E.encode(whole[1], "")]
