@@ -39,7 +39,9 @@ def compress_texts(texts: DataFrame, interval: int = E.INTERVAL, skip_discontinu
     named = named.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), stem))
     # A text is in one row: its atoms are never rows, which windows would sort again and again. What moves is its entries.
     made = E.encoded_texts(S.record_arrays(named), S.parsed_records, interval, hetero)
-    made = made.groupBy("entry").agg(F.max(F.struct(F.size("made").alias("n"), "name", "made")).alias("_")).select("entry", "_.name", "_.made")
+    # A number of partitions of one's own: by their bytes, which are few, entries would be dealt to a few tasks, in which all that is made of them runs.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = made.repartition(parts, "entry").groupBy("entry").agg(F.max(F.struct(F.size("made").alias("n"), "name", "made")).alias("_")).select("entry", "_.name", "_.made")
     if skip_discontinuous:
         whole = F.filter("made", lambda f: f["pieces"] == 1)
         none = F.lit(None).cast("binary")

@@ -256,3 +256,10 @@ def test_fragments_encoded_together_are_as_one_by_one():
     assert errors == [None, None, "unknown residue ODD"] and blobs[2] is None
     whole[1].chain = ""
     assert blobs[:2] == [E.encode(whole[0], "a"), E.encode(whole[1], "")]
+
+
+def test_entries_lie_in_many_partitions(spark, texts):
+    """Small as they are, they are not put together in one task, in which all that is made of them would run."""
+    entries = P.compress_texts(texts)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts > 1 and entries.rdd.getNumPartitions() == E.extract(entries).rdd.getNumPartitions() == parts
