@@ -263,3 +263,17 @@ def test_entries_lie_in_many_partitions(spark, texts):
     entries = P.compress_texts(texts)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert parts > 1 and entries.rdd.getNumPartitions() == E.extract(entries).rdd.getNumPartitions() == parts
+
+
+def test_rows_of_atoms_are_made_for_many_entries_at_once(spark, texts, monkeypatch):
+    """Columns of a batch, not a frame for each entry; entries with errors are rows between the others."""
+    import pyarrow as pa
+
+    blob = bytes(P.compress_texts(texts.filter("name = 'test_af.pdb'")).first()["blob"])
+    monkeypatch.setattr("pandas.concat", None)
+    made = E._atom_rows(pa.RecordBatch.from_arrays([pa.array(list("abcd")), pa.array([None, blob, b"x", blob], pa.binary())], names=["name", "blob"]), False)
+    rows, atoms = made.to_pylist(), E.decode(E.parse(blob))
+    assert [(r["name"], r["atom"], r["error"]) for r in (rows[0], rows[244])] == [("a", None, "no entry"), ("c", None, "not an entry")]
+    for name, own in (("b", rows[1:244]), ("d", rows[245:])):
+        assert {r["name"] for r in own} == {name} and [r["pos"] for r in own] == list(range(243)) and {r["error"] for r in own} == {None}
+        assert [[r[c] for c in "xyz"] for r in own] == atoms.coord.tolist() and [r["atom"] for r in own] == atoms.atom.tolist() and [r["residue_index"] for r in own] == atoms.number.tolist()
