@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,41 +54,81 @@ def zip_rows(a: DataFrame, b: DataFrame, keys: list[str], order: list[str], name
     return sides[0].join(sides[1], ["_key", "place"], "full").select(*(F.col("_key")[k].alias(k) for k in keys), "place", *names)
 
 
-#: Ranges that a selection counts at once, and rows that it sorts.
-RANGES, SORTED = 64, 100_000
+#: Rows that a selection samples for each place at a time, and that it sorts.
+SAMPLED, SORTED = 32_768, 100_000
 
 
 def at_index(df: DataFrame, order: list[str], index: int, most: int = SORTED) -> DataFrame:
     """The row at a place from 0 in order (null first), or from the end for a negative one. Beyond the ends there is none.
 
-    Rows are counted by ranges whose bounds are a sample's values, and only the range
-    that has the place is gone into, until it is short enough to be sorted. A place
-    among rows alike in the order may be any of theirs.
+    A place among rows alike in the order may be any of theirs.
+    """
+    return at_indices(df, order, [index], "_place", most).drop("_place")
+
+
+def at_indices(df: DataFrame, order: list[str], indices: Iterable[int], name: str, most: int = SORTED) -> DataFrame:
+    """As at_index, the rows at several places, with the place as a column.
+
+    A place lies between two values of a sample that stand a little before and behind it;
+    rows below and between are counted, for all places in one scan, and what holds the
+    place is sampled again until it is short enough to be sorted. The sample bears on the
+    time alone.
     """
     place = F.struct(*order)
     kind = df.select(place.alias("p")).schema["p"].dataType
-    rows, total = df, df.count()
-    if index < 0:
-        index += total
-    if not 0 <= index < total:
-        return df.limit(0)
-    while total > most:
-        # Some rows' values; which ones they are bears on the time alone.
-        sample = rows.select(*order).sample(min(1.0, 4 * RANGES / total), 7).limit(8 * RANGES).distinct().orderBy(*order).collect()
-        bounds = sample[:: max(1, len(sample) // RANGES)]
-        if not bounds:
-            break
-        held = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind.fields, strict=True)]) for b in bounds])
-        under = F.size(F.filter(held, lambda b: b <= place))
-        counts = {r["k"]: r["count"] for r in rows.groupBy(under.alias("k")).count().collect()}  # so many ranges
-        k = 0
-        while index >= counts.get(k, 0):
-            index -= counts.get(k, 0)
-            k += 1
-        if counts[k] == total:
-            break  # no value of the sample parts the rows
-        rows, total = rows.filter(under == k), counts[k]
-    return rows.orderBy(*order).offset(index).limit(1)
+    total = df.count()
+    # Of each place its bounds, (value, whether with it), the rows before them and those within.
+    spans = [{"index": i, "place": i + total * (i < 0), "low": None, "high": None, "before": 0, "rows": total, "alike": False, "stuck": False} for i in indices]
+    spans = [s for s in spans if 0 <= s["place"] < total]
+
+    def value(v: tuple) -> Column:
+        return F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(v, kind.fields, strict=True)])
+
+    def inside(s: dict) -> Column:
+        out = F.lit(True)
+        for end, under, upto in (("low", place.__gt__, place.__ge__), ("high", place.__lt__, place.__le__)):
+            if s[end] is not None:
+                v, with_it = s[end]
+                out = out & (upto if with_it else under)(value(v))
+        return out
+
+    seed = 0
+    while wide := [s for s in spans if s["rows"] > most and not s["alike"]]:
+        seed += 1
+        held = df.select(*order, F.array(*map(inside, wide)).alias("_in")).filter(F.exists("_in", lambda x: x))
+        share = min(1.0, SAMPLED * len(wide) / sum(s["rows"] for s in wide))
+        sample = held.sample(share, seed).orderBy(*order).collect()
+        counts, cuts = [], {}
+        for k, s in enumerate(wide):
+            own = [tuple(r[c] for c in order) for r in sample if r["_in"][k]]
+            if own:
+                part = (s["place"] - s["before"] + 0.5) / s["rows"]
+                at, off = part * len(own), 0.0 if s["stuck"] or share == 1 else 4 * math.sqrt(len(own) * part * (1 - part)) + 4
+                low = own[math.floor(at - off)] if at >= off else None
+                high = own[math.floor(at + off)] if at + off < len(own) else None
+                cuts[k] = low, high
+                begins = F.lit(True) if low is None else place >= value(low)
+                ends = F.lit(True) if high is None else place <= value(high)
+                counts += [F.count_if(inside(s) & ~begins).alias(f"_below{k}"), F.count_if(inside(s) & begins & ends).alias(f"_between{k}")]
+        found = df.agg(*counts).first() if counts else None
+        for k, (low, high) in cuts.items():
+            s, below, between = wide[k], found[f"_below{k}"], found[f"_between{k}"]
+            was, own = s["rows"], s["place"] - s["before"]
+            if own < below:
+                s |= {"high": (low, False), "rows": below}
+            elif own < below + between:
+                s |= {"low": s["low"] if low is None else (low, True), "high": s["high"] if high is None else (high, True), "before": s["before"] + below, "rows": between, "alike": low is not None and low == high}
+            else:
+                s |= {"low": (high, False), "before": s["before"] + below + between, "rows": was - below - between}
+            # Where nothing was parted off, by few values that come often, the next cut is at one value.
+            s["stuck"] = s["rows"] == was
+
+    out = df.limit(0).withColumn(name, F.lit(0))
+    for s in spans:
+        rows = df.filter(inside(s))
+        row = rows.limit(1) if s["alike"] else rows.orderBy(*order).offset(s["place"] - s["before"]).limit(1)
+        out = out.unionByName(row.withColumn(name, F.lit(s["index"])))
+    return out
 
 
 def by_key(index: DataFrame, key: int) -> DataFrame:

@@ -487,13 +487,9 @@ _SELECTED = (0, 5000, -300)
 @query("WITH n AS (SELECT l_extendedprice, l_partkey, l_orderkey, row_number() OVER (ORDER BY l_extendedprice, l_partkey, l_orderkey) AS n, count(*) OVER () AS total FROM lineitem) SELECT a.i AS place, l_extendedprice, l_partkey, l_orderkey FROM n JOIN (VALUES "
 + ", ".join(f"({i})" for i in _SELECTED) + ") a(i) ON n = CASE WHEN i < 0 THEN total + i ELSE i END + 1")
 def o07_selection(spark, sf_dir):
-    """Rows at places of an order, found by counting ranges; only a range of some thousand rows is sorted."""
+    """Rows at places of an order, found by counting rows between values of a sample; only some thousand rows are sorted."""
     rows, order = _table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_partkey", "l_orderkey"]
-    found = [L.at_index(rows, order, i, most=3000).select(F.lit(i).alias("place"), *order) for i in _SELECTED]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return L.at_indices(rows, order, _SELECTED, "place", most=3000).select("place", *order)
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1 OFFSET 17")

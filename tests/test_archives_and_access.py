@@ -107,6 +107,19 @@ def test_selection_among_equal_rows(spark):
     assert L.at_index(df, ["a"], 400, most=10).first()["a"] == 3
 
 
+def test_places_are_found_by_a_few_counts(spark, monkeypatch):
+    """All places in one scan a round, and comparisons with two values for each, not with 64; few values that come often are parted too."""
+    monkeypatch.setattr(L, "SAMPLED", 400)
+    counted = []
+    agg = type(spark.range(1)).agg
+    monkeypatch.setattr(type(spark.range(1)), "agg", lambda self, *c: (counted.append(len(c)), agg(self, *c))[1])
+    df = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("a"), (F.col("id") % 2).alias("b"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("c")).cache()
+    places = [0, 1999, -1, 777, -778, 2000, -2001]
+    assert {r["at"]: r["a"] for r in L.at_indices(df, ["a"], places, "at", most=20).collect()} == {0: 0, 1999: 1999, -1: 1999, 777: 777, -778: 1222}
+    assert len(counted) < 12 and max(counted) <= 2 * len(places)
+    assert {r["at"]: (r["c"], r["b"]) for r in L.at_indices(df, ["c", "b"], [0, 400, 700, -1], "at", most=1).collect()} == {0: (None, 0), 400: (None, 1), 700: (1, 0), -1: (2, 1)}
+
+
 def test_a_dictionary_is_sent_to_the_rows(spark):
     rows = spark.range(3000).select("id", F.element_at(F.array(*map(F.lit, "ANR")), (F.col("id") % 3 + 1).cast("int")).alias("flag"))
     names = spark.createDataFrame([("A", "accepted"), ("N", "none"), ("R", "returned")], "flag string, label string")
